@@ -104,5 +104,9 @@ def layers(c: Column | str, stack: Sequence[tuple]) -> Column:
     out = as_column(c)
     for weights, bias, activation in stack:
         # Held in a one-element array so each layer's input is computed once, not once per output.
-        out = F.transform(F.array(out), lambda x, w=weights, b=bias, act=activation: act(dense_layer(x, w, b)))[0]
+        out = F.transform(F.array(out), _layer(weights, bias, activation))[0]
     return out
+
+
+def _layer(weights, bias, activation):
+    return lambda x: activation(dense_layer(x, weights, bias))

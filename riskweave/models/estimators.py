@@ -100,7 +100,7 @@ def gbt_classifier(label: str = "label", rounds: int = 150, depth: int = 5, rate
     est = GBTClassifier(featuresCol=FEATURES, labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
     if weight:
         est = est.setWeightCol(weight)
-    return est.setValidationIndicatorCol(validation).setValidationTol(0.001) if validation else est
+    return est.setParams(validationIndicatorCol=validation, validationTol=0.001) if validation else est
 
 
 def grid_search(stages: Sequence, model, grid: Mapping[str, Sequence], fold: str, folds: int = 3,

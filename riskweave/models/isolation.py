@@ -40,6 +40,8 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
             continue
         f = int(rng.choice(open_features))
         cut = float(rng.uniform(lo[f], hi[f]))
+        if cut >= hi[f]:  # neighbouring floats can round up to the end, which would leave a side empty
+            cut = float(lo[f])
         below = x[rows, f] <= cut
         left, right = len(nodes), len(nodes) + 1
         nodes += [None, None]

@@ -6,15 +6,16 @@ Tree counts here are kept small so that a run takes seconds; they are parameters
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
-from ..functions.columns import weekday_of
+from ..functions.columns import relative_deviation, weekday_of
 from ..models import estimators as E
 from ..models import explain, isolation
 from ..operators import metrics, neighbours, ordering, prepare, profile, sampling
+from ..operators import sequences as S
+from ..session import cached
 from . import sequences as seq_plans
 from .columns import device_changes
 from .profiling import rounded, spend
 from .registry import query
-from ..operators import sequences as S
 
 CLV_NUM = ["c_acctbal", "n_orders", "mean_order", "churn"]
 CLV_CAT = ["c_mktsegment"]
@@ -42,29 +43,32 @@ def linreg_one_feature(t):
     rows = t.lineitem.select(F.col("l_extendedprice").alias("label"), "l_quantity")
     fitted = Pipeline(stages=[*E.preprocess_stages(["l_quantity"], scale=False), E.linear_regression()]).fit(rows)
     line = fitted.stages[-1]
-    return t.spark.createDataFrame([(round(line.coefficients[0], 4), round(line.intercept, 3))], "slope double, intercept double")
+    return t.spark.range(1).select(F.round(F.lit(float(line.coefficients[0])), 4).alias("slope"),
+                                   F.round(F.lit(float(line.intercept)), 3).alias("intercept"))
 
 
 @query("clv_models")
 def clv_models(t):
-    train, test = parts(clv_rows(t).persist())
-    stages = E.preprocess_stages(CLV_NUM, CLV_CAT)
-    models = {
+    train, test = parts(clv_rows(t))
+    pre = Pipeline(stages=E.preprocess_stages(CLV_NUM, CLV_CAT)).fit(train)
+    train, test = pre.transform(train), pre.transform(test)
+    estimators = {
         "Boosted trees": E.gbt_regressor(rounds=10, depth=4), "Linear regression": E.linear_regression(),
         "Random forest": E.random_forest_regressor(trees=20, depth=8)}
-    pre = Pipeline(stages=stages).fit(train)
-    train, test = pre.transform(train).persist(), pre.transform(test).persist()
+    with cached(train):
+        models = {name: est.fit(train) for name, est in estimators.items()}
     return metrics.compare_models({
-        name: metrics.regression_metrics(est.fit(train).transform(test), "label", "prediction") for name, est in models.items()})
+        name: metrics.regression_metrics(m.transform(test), "label", "prediction") for name, m in models.items()})
 
 
 @query("grid_search")
 def grid_search(t):
-    rows = sampling.kfold(clv_rows(t).where("is_test = 0"), "c_custkey", 3, 42).persist()
+    rows = sampling.kfold(clv_rows(t).where("is_test = 0"), "c_custkey", 3, 42)
     est = E.gbt_regressor(rounds=5, depth=3)
     search = E.grid_search(E.preprocess_stages(CLV_NUM, CLV_CAT), est,
-                           {"maxIter": [3, 6], "maxDepth": [2, 4], "stepSize": [0.05, 0.1]}, "fold")
-    return E.grid_results(search.fit(rows), t.spark)
+                           {"maxIter": [2, 4], "maxDepth": [2, 4], "stepSize": [0.05, 0.1]}, "fold")
+    with cached(rows):
+        return E.grid_results(search.fit(rows), t.spark)
 
 
 # ---------------------------------------------------------------- fraud models on orders
@@ -77,19 +81,18 @@ def fraud_rows(t):
     rows = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", device_changes().alias("devices"),
                            (F.col("o_orderstatus") == "P").cast("int").alias("label"))
     rows = profile.attach_group_stats(rows, "o_custkey", "o_totalprice", "devices")
-    from ..functions.columns import relative_deviation
-
     rows = rows.withColumns({"order_value_deviation": relative_deviation("o_totalprice", "user_mean_order"),
                              "order_weekday": weekday_of("o_orderdate")})
     return sampling.stratified_split(rows, "o_orderkey", "label", 0.2, 42)
 
 
 def fitted_fraud(t, *estimators):
-    train, test = parts(fraud_rows(t).persist())
+    train, test = parts(fraud_rows(t))
     train = prepare.attach_class_weights(train, "label")
     pre = Pipeline(stages=E.preprocess_stages(FRAUD_NUM)).fit(train)
-    ready, test = pre.transform(train).persist(), pre.transform(test)
-    return [est(ready).fit(ready) for est in estimators], ready, test
+    ready, test = pre.transform(train), pre.transform(test)
+    with cached(ready):
+        return [est(ready).fit(ready) for est in estimators], ready, test
 
 
 @query("fraud_models")
@@ -107,29 +110,34 @@ def smote_logistic(t):
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     rows = t.documents.join(t.labels, "doc_id").select(
         "doc_id", F.col("quality").alias("label"), F.col("n_chars").cast("double"), lines.cast("double").alias("n_lines"))
-    train, test = parts(sampling.stratified_split(rows, "doc_id", "label", 0.25, 25).persist())
-    even = neighbours.smote(train, "doc_id", "label", ["n_chars", "n_lines"], minority=0, k=5, seed=30).persist()
-    model = Pipeline(stages=[*E.preprocess_stages(["n_chars", "n_lines"]), E.logistic_regression(even.count())]).fit(even)
+    train, test = parts(sampling.stratified_split(rows, "doc_id", "label", 0.25, 25))
+    with cached(train):
+        even = neighbours.smote(train, "doc_id", "label", ["n_chars", "n_lines"], minority=0, k=5, seed=30)
+        with cached(even):
+            model = Pipeline(stages=[
+                *E.preprocess_stages(["n_chars", "n_lines"]), E.logistic_regression(even.count())]).fit(even)
     return E.classifier_metrics(E.score(model, test))
 
 
 @query("score_applicants")
 def score_applicants(t):
-    train, test = parts(fraud_rows(t).persist())
+    train, test = parts(fraud_rows(t))
     stages = E.preprocess_stages(FRAUD_NUM)
-    models = {
-        "Linear Regression": Pipeline(stages=[*stages, E.linear_regression()]).fit(train),
-        "Random Forest": Pipeline(stages=[*stages, E.random_forest_classifier(trees=20, depth=6)]).fit(train)}
+    with cached(train):
+        models = {
+            "Linear Regression": Pipeline(stages=[*stages, E.linear_regression()]).fit(train),
+            "Random Forest": Pipeline(stages=[*stages, E.random_forest_classifier(trees=20, depth=6)]).fit(train)}
     return E.score_applicants(test, models, "o_orderkey")
 
 
 @query("score_orders")
 def score_orders(t):
     """Scoring run: probability, flag and anomaly score per order."""
-    train, test = parts(fraud_rows(t).persist())
-    model = Pipeline(stages=[*E.preprocess_stages(FRAUD_NUM), E.gbt_classifier(rounds=10, depth=4)]).fit(train)
+    train, test = parts(fraud_rows(t))
     scaled = prepare.scaler_stats(train, FRAUD_NUM)
-    forest = isolation.fit_isolation_forest(prepare.apply_scaler(train, scaled, FRAUD_NUM), "o_orderkey", FRAUD_NUM, trees=50)
+    with cached(train):
+        model = Pipeline(stages=[*E.preprocess_stages(FRAUD_NUM), E.gbt_classifier(rounds=10, depth=4)]).fit(train)
+        forest = isolation.fit_isolation_forest(prepare.apply_scaler(train, scaled, FRAUD_NUM), "o_orderkey", FRAUD_NUM, trees=50)
     odd = forest.flag(prepare.apply_scaler(test, scaled, FRAUD_NUM)).select("o_orderkey", "iso_score", "iso_flag")
     probs = E.score(model, test).select("o_orderkey", F.col("p").alias("proba"), (F.col("p") >= 0.5).cast("int").alias("flag"))
     return probs.join(odd, "o_orderkey")
@@ -194,10 +202,11 @@ def late_payment_model(t):
     flat = seq_plans.windows(t).select("o_orderkey", "o_custkey", "label", S.flatten_steps("seq", seq_plans.FIELDS).alias("x"))
     slots = [f"x{i}" for i in range(18)]
     rows = flat.select("o_orderkey", "o_custkey", "label", *[F.col("x")[i].alias(c) for i, c in enumerate(slots)])
-    rows = sampling.group_split(rows, "o_custkey").persist()
+    rows = sampling.group_split(rows, "o_custkey")
     train = rows.where("part <> 'test'").withColumn("is_val", F.col("part") == "val")
-    model = Pipeline(stages=[*E.preprocess_stages(slots, scale=False),
-                             E.gbt_classifier(rounds=15, depth=4, validation="is_val")]).fit(train)
+    with cached(train):
+        model = Pipeline(stages=[*E.preprocess_stages(slots, scale=False),
+                                 E.gbt_classifier(rounds=15, depth=4, validation="is_val")]).fit(train)
     return E.classifier_metrics(E.score(model, rows.where("part = 'test'")))
 
 
@@ -205,8 +214,9 @@ def late_payment_model(t):
 def intent_model(t):
     """Message text to the speaker's role, as a stand-in for intents."""
     rows = E.with_words(t.conversations, "text").withColumn("key", F.concat_ws("-", "conv_id", "turn"))
-    train, test = parts(sampling.random_split(rows, "key", 0.2, 42).persist())
-    model = Pipeline(stages=E.intent_stages("role", train.count())).fit(train)
+    train, test = parts(sampling.random_split(rows, "key", 0.2, 42))
+    with cached(train):
+        model = Pipeline(stages=E.intent_stages("role", train.count())).fit(train)
     scored = model.transform(test)
     return metrics.classification_report(scored, "label", "prediction")
 

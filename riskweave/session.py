@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +45,15 @@ def materialize(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def cached(*dfs: DataFrame) -> Iterator[None]:
+    """Keep frames for the repeated passes of a fit, and let go of them afterwards."""
+    for df in dfs:
+        df.persist()
+    try:
+        yield
+    finally:
+        for df in dfs:
+            df.unpersist()
