@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import top_k, top_k_by_abs
-from ..operators.profile import one_row
+from ..operators.profile import STATS, with_stats
 from ..session import shared_dir
 
 
@@ -36,8 +36,9 @@ def feature_importance(spark, model, names: Sequence[str], k: int = 10) -> DataF
 def linear_attribution(df: DataFrame, weights: dict[str, float], fit_on: DataFrame | None = None) -> DataFrame:
     """Exact additive attribution of a linear score: weight * (value - mean), one column per feature.
     A row's attributions add up to its score minus the mean score."""
-    means = one_row((fit_on if fit_on is not None else df).agg(*[F.avg(c).alias(c) for c in weights]))
-    return df.withColumns({f"phi_{c}": F.lit(float(w)) * (F.col(c) - means[c]) for c, w in weights.items()})
+    means = (fit_on if fit_on is not None else df).agg(*[F.avg(c).alias(c) for c in weights])
+    return with_stats(df, means).withColumns({
+        f"phi_{c}": F.lit(float(w)) * (F.col(c) - F.col(STATS)[c]) for c, w in weights.items()}).drop(STATS)
 
 
 # ---------------------------------------------------------------- forests

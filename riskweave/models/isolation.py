@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import hash_key, hash_unit
 from ..operators.profile import minmax_normalize
 
-TREE_SCHEMA = "tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, path array<double>"
+TREE_SCHEMA = "tree int, feature array<int>, threshold array<double>, path array<double>"
 
 
 def expected_path(n: int) -> float:
@@ -28,26 +28,34 @@ def expected_path(n: int) -> float:
     return 2.0 * (math.log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
-    nodes: list = [None]
-    todo = [(0, np.arange(len(x)), 0)]
+def levels(sample: int) -> int:
+    return max(1, math.ceil(math.log2(max(sample, 2))))
+
+
+def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One tree as a full binary heap of ``limit`` levels: split feature and cut per inner node, path
+    length per bottom slot. A branch that ends early sends every row down its left edge."""
+    inner = 2 ** limit - 1
+    feature, cut = np.zeros(inner, np.int32), np.full(inner, np.inf)
+    path = np.zeros(inner + 1)
+    todo = [(0, 0, np.arange(len(x)))]
     while todo:
-        at, rows, depth = todo.pop()
+        at, depth, rows = todo.pop()
         lo, hi = x[rows].min(axis=0), x[rows].max(axis=0)
         open_features = np.flatnonzero(hi > lo)
         if depth >= limit or len(rows) <= 1 or not len(open_features):
-            nodes[at] = (-1, 0.0, at, at, depth + expected_path(len(rows)))
+            for _ in range(limit - depth):
+                at = 2 * at + 1
+            path[at - inner] = depth + expected_path(len(rows))
             continue
         f = int(rng.choice(open_features))
-        cut = float(rng.uniform(lo[f], hi[f]))
-        if cut >= hi[f]:  # neighbouring floats can round up to the end, which would leave a side empty
-            cut = float(lo[f])
-        below = x[rows, f] <= cut
-        left, right = len(nodes), len(nodes) + 1
-        nodes += [None, None]
-        nodes[at] = (f, cut, left, right, 0.0)
-        todo += [(left, rows[below], depth + 1), (right, rows[~below], depth + 1)]
-    return nodes
+        c = float(rng.uniform(lo[f], hi[f]))
+        if c >= hi[f]:  # neighbouring floats can round up to the end, which would leave a side empty
+            c = float(lo[f])
+        feature[at], cut[at] = f, c
+        below = x[rows, f] <= c
+        todo += [(2 * at + 1, depth + 1, rows[below]), (2 * at + 2, depth + 1, rows[~below])]
+    return feature, cut, path
 
 
 @dataclass
@@ -63,7 +71,7 @@ class IsolationForestModel:
         """Add 2^(-mean depth / expected depth): near 1 is odd, well below 0.5 is ordinary."""
         grown = [tuple(np.asarray(part) for part in t[1:]) for t in self.trees]
         shared = self.spark.sparkContext.broadcast(grown)
-        depth, norm = max(1, math.ceil(math.log2(max(self.sample, 2)))), expected_path(self.sample) or 1.0
+        depth, norm = levels(self.sample), expected_path(self.sample) or 1.0
 
         @F.pandas_udf("double")
         def isolation(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -73,12 +81,13 @@ class IsolationForestModel:
                     yield pd.Series([], dtype=float)
                     continue
                 x = np.vstack(batch.to_numpy())
-                rows, total = np.arange(len(x)), np.zeros(len(x))
-                for feature, threshold, left, right, path in trees:
+                flat, rows, total = x.ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x))
+                for feature, cut, path in trees:
                     at = np.zeros(len(x), dtype=np.int64)
                     for _ in range(depth):
-                        at = np.where(x[rows, feature[at]] <= threshold[at], left[at], right[at])
-                    total += path[at]
+                        right = flat.take(rows + feature.take(at)) > cut.take(at)
+                        at = 2 * at + 1 + right
+                    total += path.take(at - len(cut))
                 yield pd.Series(np.exp2(-total / len(trees) / norm))
 
         vector = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in self.features])
@@ -99,7 +108,7 @@ class IsolationForestModel:
     @staticmethod
     def load(spark: SparkSession, path: str) -> "IsolationForestModel":
         rows = spark.read.parquet(path).orderBy("tree").collect()  # one row per tree
-        return IsolationForestModel(spark, list(rows[0]["features"]), [tuple(r)[:6] for r in rows], rows[0]["sample"])
+        return IsolationForestModel(spark, list(rows[0]["features"]), [tuple(r)[:4] for r in rows], rows[0]["sample"])
 
 
 def fit_isolation_forest(
@@ -107,9 +116,9 @@ def fit_isolation_forest(
 ) -> IsolationForestModel:
     """Grow ``trees`` trees on ``sample`` hash-drawn rows each; trees grow in parallel tasks.
 
-    The pool of ``trees * sample`` rows is cut out by a hash bound first, so only about twice that
-    many rows are ever sorted. A small table is reused in several hash orders; within a tree no
-    row appears twice.
+    A hash bound cuts the table down to about twice the ``trees * sample`` rows needed before any
+    sort, so the one ordered window below has a fixed size. A small table is reused in several hash
+    orders; within a tree no row appears twice.
     """
     n = df.count()
     if n == 0:
@@ -119,11 +128,10 @@ def fit_isolation_forest(
     per_copy = max(1, pool_size // sample)
     copies = math.ceil(trees / per_copy)
     vector = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
-    drawn = df.select(F.col(key).alias("key"), vector.alias("x"), hash_key(key, seed=seed).alias("h"))
-    if n > 4 * pool_size:
-        drawn = drawn.where(hash_unit("key", seed=seed) < F.lit(2.0 * pool_size / n))
-    pool = drawn.orderBy("h", "key").limit(pool_size).select("key", "x")
-    order = Window.partitionBy("copy").orderBy("h", "key")  # at most trees * sample rows
+    pool = df.select(F.col(key).alias("key"), vector.alias("x"))
+    if n > 2 * pool_size:
+        pool = pool.where(hash_unit("key", seed=seed) < F.lit(2.0 * pool_size / n))
+    order = Window.partitionBy("copy").orderBy("h", "key")
     dealt = (
         pool.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
         .withColumn("h", hash_key("key", "copy", seed=seed))
@@ -132,15 +140,16 @@ def fit_isolation_forest(
         .withColumn("tree", (F.col("copy") * per_copy + F.col("slot")).cast("int"))
         .where(F.col("tree") < trees)
     )
-    limit = max(1, math.ceil(math.log2(max(sample, 2))))
+    limit = levels(sample)
 
     def grow(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.vstack(pdf.sort_values(["h", "key"])["x"].to_numpy())
-        nodes = _grow(x, np.random.default_rng([seed, int(group[0])]), limit)
-        return pd.DataFrame([[int(group[0]), *(list(part) for part in zip(*nodes))]],
-                            columns=["tree", "feature", "threshold", "left", "right", "path"])
+        parts = _grow(x, np.random.default_rng([seed, int(group[0])]), limit)
+        return pd.DataFrame([[int(group[0]), *parts]], columns=["tree", "feature", "threshold", "path"])
 
-    grown = dealt.groupBy("tree").applyInPandas(grow, TREE_SCHEMA).orderBy("tree").collect()
+    # A fixed number of tasks: by size alone the few sampled rows would be merged into one.
+    tasks = min(trees, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    grown = dealt.repartition(tasks, "tree").groupBy("tree").applyInPandas(grow, TREE_SCHEMA).orderBy("tree").collect()
     return IsolationForestModel(df.sparkSession, list(features), [tuple(r) for r in grown], sample)
 
 

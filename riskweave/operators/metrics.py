@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import SINGLE_TASK_ROWS, approx_distinct, running_totals
-from .profile import one_row
+from .profile import STATS, with_stats
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -27,14 +27,17 @@ def confusion_counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Every (actual, predicted) pair of the occurring classes, zero cells included."""
-    counts = confusion_counts(df, label, prediction)
-    classes = counts.select(F.explode(F.array("actual", "predicted")).alias("c")).agg(
-        F.sort_array(F.collect_set("c")).alias("classes"))  # one entry per class
-    cells = classes.select("classes", F.explode("classes").alias("actual")).select(
-        "actual", F.explode("classes").alias("predicted"))
-    return cells.join(counts, ["actual", "predicted"], "left").select(
-        "actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
+    """Every (actual, predicted) pair of the occurring classes, zero cells included. The counts, one
+    per pair of classes, are folded into one row so the source is read once."""
+    cells = confusion_counts(df, label, prediction).agg(F.collect_list(F.struct("actual", "predicted", "n")).alias("cells"))
+    classes = F.array_distinct(F.concat(F.col("cells.actual"), F.col("cells.predicted")))
+    zero = F.lit(0).cast("bigint").alias("n")
+    zeros = F.flatten(F.transform(classes, lambda a: F.transform(
+        classes, lambda b: F.struct(a.alias("actual"), b.alias("predicted"), zero))))
+    return (
+        cells.select(F.explode(F.concat("cells", zeros)).alias("c")).select("c.*")
+        .groupBy("actual", "predicted").agg(F.sum("n").alias("n"))
+    )
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -63,6 +66,7 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
         F.sum("support").alias("n"), F.sum("hit").alias("hit"),
         *[F.avg(c).alias(f"macro_{c}") for c in names],
         *[_ratio(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(f"weighted_{c}") for c in names],
+        F.collect_list(F.struct(F.col("class").cast("string").alias("class"), *names, "support")).alias("lines"),
     )
     accuracy = _ratio(F.col("hit"), F.col("n"))
 
@@ -70,12 +74,12 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
         return F.struct(F.lit(name).alias("class"), *[v.alias(c) for c, v in zip(names, values)],
                         F.col("n").alias("support"))
 
-    summary = total.select(F.explode(F.array(
+    summary = F.array(
         line("accuracy", [accuracy] * 3),
         line("macro avg", [F.col(f"macro_{c}") for c in names]),
         line("weighted avg", [F.col(f"weighted_{c}") for c in names]),
-    )).alias("s")).select("s.*")
-    return per_class.select(F.col("class").cast("string").alias("class"), *names, "support").unionByName(summary)
+    )
+    return total.select(F.explode(F.concat("lines", summary)).alias("s")).select("s.*")
 
 
 def _score_totals(df: DataFrame, label: str, score: str, single_task_rows: int) -> DataFrame:
@@ -100,9 +104,9 @@ def roc_auc(df: DataFrame, label: str, score: str, single_task_rows: int = SINGL
 def roc_curve(df: DataFrame, label: str, score: str, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score, and the origin at threshold infinity."""
     t = _score_totals(df, label, score, single_task_rows)
-    both = one_row(df.where(F.col(score).isNotNull()).agg(
-        F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")))
-    points = t.select(F.col("score").alias("threshold"), F.try_divide(F.col("fp"), both["n"]).alias("fpr"),
+    both = F.col(STATS)
+    points = with_stats(t, df.where(F.col(score).isNotNull()).agg(
+        F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))).select(F.col("score").alias("threshold"), F.try_divide(F.col("fp"), both["n"]).alias("fpr"),
                       F.try_divide(F.col("tp"), both["p"]).alias("tpr"))
     origin = df.sparkSession.range(1).select(
         F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import dense_codes, quantile_row
-from .profile import one_row
+from .profile import STATS, with_stats
 
 MAX_COLUMNS = 10_000
 
@@ -28,11 +28,11 @@ def scaler_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def apply_scaler(df: DataFrame, stats: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
     """(x - mean) / std with statistics fitted elsewhere; a constant column becomes 0."""
-    s = one_row(stats)
-    return df.withColumns({
+    s = F.col(STATS)
+    return with_stats(df, stats).withColumns({
         f"{c}{suffix}": (F.col(c) - s[c]["mean"]) / F.when(s[c]["std"] == 0, F.lit(1.0)).otherwise(s[c]["std"])
         for c in cols
-    })
+    }).drop(STATS)
 
 
 def standard_scale(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
@@ -41,10 +41,10 @@ def standard_scale(df: DataFrame, cols: Sequence[str], suffix: str = "") -> Data
 
 def winsorize(df: DataFrame, cols: Sequence[str], p: float = 0.99) -> DataFrame:
     """Cap every column above its own quantile; NULL stays NULL."""
-    q = one_row(quantile_row(df, {c: [p] for c in cols}))
-    return df.withColumns({
+    q = F.col(STATS)
+    return with_stats(df, quantile_row(df, {c: [p] for c in cols})).withColumns({
         c: F.when(F.col(c) > q[c][0], q[c][0]).otherwise(F.col(c).cast("double")) for c in cols
-    })
+    }).drop(STATS)
 
 
 # ---------------------------------------------------------------- imputation
@@ -62,15 +62,13 @@ def impute(df: DataFrame, numeric: Sequence[str] = (), categorical: Sequence[str
            fit_on: DataFrame | None = None) -> DataFrame:
     """Median for numeric NULLs (NaN counts as NULL), most frequent value for text NULLs."""
     source = fit_on if fit_on is not None else df
-    filled = {}
-    if numeric:
-        clean = source.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in numeric])
-        q = one_row(quantile_row(clean, {c: [0.5] for c in numeric}))
-        for c in numeric:
-            filled[c] = F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), q[c][0])
-    for c in categorical:
-        filled[c] = F.coalesce(F.col(c), mode_row(source, c).scalar())
-    return df.withColumns(filled)
+    filled = {c: F.coalesce(F.col(c), mode_row(source, c).scalar()) for c in categorical}
+    if not numeric:
+        return df.withColumns(filled)
+    for c in numeric:
+        known = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        filled[c] = F.coalesce(known, F.col(STATS)[c][0])
+    return with_stats(df, quantile_row(source, {c: [0.5] for c in numeric})).withColumns(filled).drop(STATS)
 
 
 # ---------------------------------------------------------------- encoding
@@ -131,8 +129,9 @@ def category_codes(df: DataFrame, col: str, out: str) -> DataFrame:
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """(label, n, weight): rows / (classes * rows of the class), so weights average to 1."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
-    t = one_row(counts.agg(F.sum("n").alias("n"), F.count("*").alias("k")))
-    return counts.select(label, "n", (t["n"] / (t["k"] * F.col("n"))).alias("weight"))
+    t = F.col(STATS)
+    total = with_stats(counts, counts.agg(F.sum("n").alias("n"), F.count("*").alias("k")))
+    return total.select(label, "n", (t["n"] / (t["k"] * F.col("n"))).alias("weight"))
 
 
 def attach_class_weights(df: DataFrame, label: str, fit_on: DataFrame | None = None, out: str = "weight") -> DataFrame:

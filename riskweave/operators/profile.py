@@ -15,11 +15,20 @@ from pyspark.sql import types as T
 from .ordering import quantile_row
 
 
+STATS = "_stats"
+
+
 def one_row(stats: DataFrame) -> Column:
     """A one-row table as a struct-valued scalar subquery."""
     return stats.select(F.struct(*[F.col(c) for c in stats.columns])).scalar()
 
 
+def with_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """The one-row table as a struct column ``_stats``. Expressions then refer to the column, so the
+    plan holds a single subquery however often a statistic is used."""
+    return df.withColumn(STATS, one_row(stats))
+
+
 def columns_of_type(df: DataFrame, kind: str, exclude: Sequence[str] = ()) -> list[str]:
     """``numeric`` or ``string`` columns by schema, in schema order."""
     wanted = {"numeric": T.NumericType, "string": T.StringType}[kind]
@@ -80,7 +89,7 @@ def describe(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFr
     rows = F.explode(F.array(*[
         F.struct(F.col(f"_{c}").alias("s"), F.col("_q")[c].cast("array<double>").alias("q")) for c in cols
     ]))
-    return one.select("*", q.alias("_q")).select(rows.alias("r")).select(
+    return one.withColumn("_q", q).select(rows.alias("r")).select(
         "r.s.column", "r.s.n", "r.s.mean", "r.s.std", "r.s.min",
         F.col("r.q")[0].alias("p25"), F.col("r.q")[1].alias("p50"), F.col("r.q")[2].alias("p75"), "r.s.max",
     )
@@ -88,29 +97,29 @@ def describe(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFr
 
 def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     """(bin, n) over equal widths between min and max, empty bins left out; the top edge is inside the last bin."""
-    x = F.col(col).cast("double")
-    b = one_row(df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")))
+    rows = df.select(F.col(col).cast("double").alias("x")).where("x IS NOT NULL")
+    b = F.col(STATS)
     slot = F.when(b["lo"] == b["hi"], F.lit(1)).otherwise(
-        F.least(F.width_bucket(x, b["lo"], b["hi"], F.lit(bins)), F.lit(bins))
+        F.least(F.width_bucket("x", b["lo"], b["hi"], F.lit(bins)), F.lit(bins))
     )
     return (
-        df.where(x.isNotNull()).select(slot.cast("int").alias("bin"))
-        .groupBy("bin").agg(F.count("*").alias("n"))
+        with_stats(rows, rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi")))
+        .select(slot.cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
     )
 
 
 def box_stats(df: DataFrame, col: str) -> DataFrame:
     """Quartiles, the most extreme values within 1.5 interquartile ranges, and the number outside."""
-    q = one_row(quantile_row(df, {col: [0.25, 0.5, 0.75]}))[col]
-    x = F.col(col).cast("double")
-    lo = q[0] - 1.5 * (q[2] - q[0])
-    hi = q[2] + 1.5 * (q[2] - q[0])
-    stats = df.select(x.alias("x"), lo.alias("lo"), hi.alias("hi")).agg(
+    q = F.col(STATS)[col]
+    fences = with_stats(df.select(F.col(col).cast("double").alias("x")), quantile_row(df, {col: [0.25, 0.5, 0.75]})).select(
+        "x", q.alias("q"), (q[0] - 1.5 * (q[2] - q[0])).alias("lo"), (q[2] + 1.5 * (q[2] - q[0])).alias("hi"))
+    return fences.agg(
+        F.first("q").alias("q"),  # the same on every row
         F.min(F.when(F.col("x") >= F.col("lo"), F.col("x"))).alias("whisker_low"),
         F.max(F.when(F.col("x") <= F.col("hi"), F.col("x"))).alias("whisker_high"),
         F.count_if((F.col("x") < F.col("lo")) | (F.col("x") > F.col("hi"))).alias("n_outliers"),
-    )
-    return stats.select(q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), *stats.columns)
+    ).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"),
+             "whisker_low", "whisker_high", "n_outliers")
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -130,9 +139,9 @@ def positive_rate(df: DataFrame, label: str) -> DataFrame:
 
 
 def minmax_normalize(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    x = F.col(col).cast("double")
-    b = one_row(df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")))
-    return df.withColumn(out or col, (x - b["lo"]) / (b["hi"] - b["lo"] + F.lit(1e-9)))
+    x, b = F.col(col).cast("double"), F.col(STATS)
+    bounded = with_stats(df, df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")))
+    return bounded.withColumn(out or col, (x - b["lo"]) / (b["hi"] - b["lo"] + F.lit(1e-9))).drop(STATS)
 
 
 def quantile_tiers(
@@ -143,14 +152,15 @@ def quantile_tiers(
     Equal cut points leave a band undefined and fail the query."""
     if len(labels) != len(probs) - 1:
         raise ValueError("need one label per band")
-    q = one_row(quantile_row(df, {score: list(probs)}, approx=approx))[score]
+    q = F.col(STATS)[score]
     repeated = F.size(F.array_distinct(q)) < len(probs)
     band = F.when(F.col(score).isNull(), F.lit(None).cast("string")).when(
         repeated, F.raise_error(F.lit("quantile cut points are not unique"))
     )
     for i, label in enumerate(labels[:-1]):
         band = band.when(F.col(score) <= q[i + 1], F.lit(label))
-    return df.withColumn(out, band.otherwise(F.lit(labels[-1])))
+    cut = with_stats(df, quantile_row(df, {score: list(probs)}, approx=approx))
+    return cut.withColumn(out, band.otherwise(F.lit(labels[-1]))).drop(STATS)
 
 
 # ---------------------------------------------------------------- per-key statistics
