@@ -69,7 +69,10 @@ def feature_names(df: DataFrame, col: str = FEATURES) -> list[str]:
 # ---------------------------------------------------------------- estimators
 
 def linear_regression(label: str = "label") -> LinearRegression:
-    return LinearRegression(featuresCol=FEATURES, labelCol=label, regParam=0.0, solver="normal")
+    """Least squares. One-hot columns add up to the intercept, which leaves the plain solution
+    undetermined; a vanishing penalty picks the one with the smallest coefficients."""
+    return LinearRegression(featuresCol=FEATURES, labelCol=label, regParam=1e-9, elasticNetParam=0.0,
+                            standardization=False, solver="normal")
 
 
 def logistic_regression(rows: int, label: str = "label", weight: str | None = None) -> LogisticRegression:

@@ -53,11 +53,15 @@ def forest_nodes(model, spark) -> list[list[dict]]:
         node = r["nodeData"]
         stats = list(node["impurityStats"])
         split = node["split"]
-        if split["numCategories"] != -1 and node["leftChild"] >= 0:
-            raise ValueError("categorical splits are not supported; use one-hot columns")
+        left, right, cut = node["leftChild"], node["rightChild"], 0.0
+        if left >= 0:
+            cut = split["leftCategoriesOrThreshold"][0]
+            if split["numCategories"] == 2:  # a 0/1 column: the listed category goes left
+                left, right, cut = (left, right, 0.5) if cut == 0.0 else (right, left, 0.5)
+            elif split["numCategories"] != -1:
+                raise ValueError("splits on more than two categories are not supported; use one-hot columns")
         trees.setdefault(r["treeID"], {})[node["id"]] = {
-            "left": node["leftChild"], "right": node["rightChild"], "feature": split["featureIndex"],
-            "threshold": split["leftCategoriesOrThreshold"][0] if node["leftChild"] >= 0 else 0.0,
+            "left": left, "right": right, "feature": split["featureIndex"], "threshold": cut,
             "cover": sum(stats), "value": stats[1] / sum(stats) if len(stats) > 1 and sum(stats) else 0.0,
         }
     return [[t[i] for i in sorted(t)] for _, t in sorted(trees.items())]

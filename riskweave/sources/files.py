@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +34,9 @@ def normalize_columns(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Quotes inside values are doubled, so the readers above get back what was written."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", '""').csv(path)
+    """Quotes inside values are doubled, so the readers above get back what was written; an empty
+    text and a missing one both come back as missing."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -80,7 +84,11 @@ def labelled_files(spark: SparkSession, path: str, frac: float = 0.2, seed: int
     hashes folder and file name, so the mark does not change when the tree is moved."""
     from ..functions.columns import hash_int
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    # Spark lists empty files but gives them no task, so they are put back from its own listing.
+    listed = [(re.sub(r"^(\w+):///", r"\1:/", unquote(p)),) for p in files.inputFiles()]
+    empty = spark.createDataFrame(listed, "path string").join(files.select("path"), "path", "left_anti")
+    files = files.unionByName(empty.select("path", F.lit(b"").alias("content")))
     parts = F.split("path", "/")
     name = F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1))
     return files.select(
