@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import SINGLE_TASK_ROWS, approx_distinct, running_totals
+from ..session import materialize
+from .ordering import SINGLE_TASK_ROWS, running_totals
 from .profile import STATS, with_stats
 
 
@@ -83,12 +84,14 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
 
 
 def _score_totals(df: DataFrame, label: str, score: str, single_task_rows: int) -> DataFrame:
-    """One row per distinct score, highest first, with positives and negatives at or above it."""
+    """One row per distinct score, highest first, with positives and negatives at or above it.
+
+    The counts per score are written once: scores often come from a model, and neither the size
+    check nor the totals should have it score every row again."""
     rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-    groups = rows.groupBy(F.col(score).cast("double").alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    return running_totals(groups, [F.col("score").desc()], {"tp": "pos", "fp": "neg"},
-                          approx_distinct(df, score), single_task_rows)
+    groups = materialize(rows.groupBy(F.col(score).cast("double").alias("score")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")))
+    return running_totals(groups, [F.col("score").desc()], {"tp": "pos", "fp": "neg"}, groups.count(), single_task_rows)
 
 
 def roc_auc(df: DataFrame, label: str, score: str, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
@@ -105,8 +108,7 @@ def roc_curve(df: DataFrame, label: str, score: str, single_task_rows: int = SIN
     """(threshold, fpr, tpr) for every distinct score, and the origin at threshold infinity."""
     t = _score_totals(df, label, score, single_task_rows)
     both = F.col(STATS)
-    points = with_stats(t, df.where(F.col(score).isNotNull()).agg(
-        F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))).select(F.col("score").alias("threshold"), F.try_divide(F.col("fp"), both["n"]).alias("fpr"),
+    points = with_stats(t, t.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).select(F.col("score").alias("threshold"), F.try_divide(F.col("fp"), both["n"]).alias("fpr"),
                       F.try_divide(F.col("tp"), both["p"]).alias("tpr"))
     origin = df.sparkSession.range(1).select(
         F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))

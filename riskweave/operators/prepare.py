@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_side
 from .ordering import dense_codes, quantile_row
 from .profile import STATS, with_stats
 
@@ -109,7 +110,7 @@ def label_encode(df: DataFrame, col: str, out: str, codes: DataFrame | None = No
     ``unseen='error'`` fails the query on a value the codes do not list; ``'null'`` leaves NULL.
     """
     codes = codes if codes is not None else dense_codes(df, col)
-    table = codes.select(F.col("value").alias("_value"), F.col("code").alias(out))
+    table = small_side(codes.select(F.col("value").alias("_value"), F.col("code").alias(out)))
     joined = df.join(table, F.col(col) == F.col("_value"), "left").drop("_value")
     if unseen == "null":
         return joined
@@ -136,7 +137,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def attach_class_weights(df: DataFrame, label: str, fit_on: DataFrame | None = None, out: str = "weight") -> DataFrame:
     weights = class_weights(fit_on if fit_on is not None else df, label)
-    return df.join(weights.select(label, F.col("weight").alias(out)), label, "left")
+    return df.join(small_side(weights.select(label, F.col("weight").alias(out))), label, "left")
 
 
 def pos_weight(df: DataFrame, label: str) -> DataFrame:

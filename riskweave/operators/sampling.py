@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_column, hash_int, hash_key
+from ..session import small_side
 
 
 def _names(cols: Sequence[Column | str]) -> list[Column]:
@@ -48,7 +49,8 @@ def stratified_split(
 
     No class is ever sorted as a whole. Rows are counted per class and leading hash digits
     (4096 slots); only the slot in which the quota runs out is ranked, which yields one hash
-    threshold per class. The rows themselves are then compared with that threshold.
+    threshold per class. The rows themselves are then compared with that threshold, without a
+    shuffle unless there are very many classes.
     """
     digest = hash_key(key, seed=seed)
     rows = df.select(F.col(label).alias("_label"), digest.alias("_h"), F.substring(digest, 1, 3).alias("_slot"))
@@ -72,7 +74,7 @@ def stratified_split(
     )
     return (
         df.withColumn("_h", digest)
-        .join(thresholds, F.col(label).eqNullSafe(F.col("_label")), "left")
+        .join(small_side(thresholds), F.col(label).eqNullSafe(F.col("_label")), "left")
         .withColumn(out, F.coalesce((F.col("_h") <= F.col("_last")).cast("int"), F.lit(0)))
         .drop("_h", "_last", "_label")
     )

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -28,25 +31,55 @@ def fit_vocabulary(df: DataFrame, text: str, max_words: int = MAX_WORDS) -> Data
     return top.select("word", "n", (F.row_number().over(w) + 1).cast("int").alias("word_id"))
 
 
-def encode_tokens(df: DataFrame, key: str, text: str, vocabulary: DataFrame, length: int | None = None) -> DataFrame:
+LOOKUP_WORDS = 200_000
+
+
+def encode_tokens(df: DataFrame, key: str, text: str, vocabulary: DataFrame, length: int | None = None,
+                  lookup_words: int = LOOKUP_WORDS) -> DataFrame:
     """(key, ids): word ids in text order, unknown words as 1.
 
     ``length`` asks for fixed-length rows: as later words cannot reach the result, they are dropped
-    before the lookup, and short texts are filled with zeros. The vocabulary ends in a LIMIT, so
-    Spark knows its size bound and broadcasts it only while that is small.
+    before the lookup, and short texts are filled with zeros.
+
+    A vocabulary of at most ``lookup_words`` words is sent to the tasks and looked up there, so no
+    token is ever shuffled. A larger one is joined, which needs the words of a text put together again.
     """
     words = X.tokenize(X.clean_text(text))
     if length is not None:
         words = F.slice(words, 1, length)
+    known = vocabulary.select("word", "word_id").limit(lookup_words + 1).toArrow()
+    if known.num_rows <= lookup_words:
+        ids = df.select(key, _lookup(df.sparkSession, known)(words).alias("ids"))
+    else:
+        ids = _join_ids(df, key, words, vocabulary)
+    return ids.withColumn("ids", X.pad_truncate("ids", length)) if length is not None else ids
+
+
+def _lookup(spark, known: pa.Table):
+    shared = spark.sparkContext.broadcast((
+        known.column("word").combine_chunks(), known.column("word_id").combine_chunks().cast(pa.int32())))
+
+    @F.arrow_udf("array<int>")
+    def ids_of(words: pa.Array) -> pa.Array:
+        vocabulary, ids = shared.value
+        at = pc.index_in(words.flatten(), value_set=vocabulary)
+        found = pc.fill_null(ids.take(at), OOV_ID)
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, found, mask=words.is_null())
+
+    return ids_of
+
+
+def _join_ids(df: DataFrame, key: str, words: Column, vocabulary: DataFrame) -> DataFrame:
     tokens = df.select(F.col(key), F.posexplode_outer(words).alias("pos", "word"))
-    ids = (
+    return (
         tokens.join(vocabulary.select("word", "word_id"), "word", "left")
         .select(key, F.when(F.col("pos").isNotNull(), F.struct(
             "pos", F.coalesce("word_id", F.lit(OOV_ID)).alias("id"))).alias("e"))
         .groupBy(key).agg(F.sort_array(F.collect_list("e")).alias("e"))  # the words of one text
         .select(key, F.transform("e", lambda s: s["id"]).alias("ids"))
     )
-    return ids.withColumn("ids", X.pad_truncate("ids", length)) if length is not None else ids
 
 
 def load_corpus(df: DataFrame, key: str, order: str, text: str, sep: str = "\n") -> DataFrame:

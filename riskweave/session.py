@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def local_session(cpus: int | str = 8, app: str = "riskweave") -> SparkSession:
@@ -47,6 +48,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """The side of a join that is expected to be small, ready to be broadcast once that is checked.
+
+    Left to itself, a join against an aggregate writes the large side to shuffle files before the
+    other side turns out to be tiny. At most ``max_rows + 1`` rows are fetched here; a larger table
+    is returned as it was, for Spark to join by shuffling.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 @contextmanager
 def cached(*dfs: DataFrame) -> Iterator[None]:
     """Keep frames for the repeated passes of a fit, and let go of them afterwards."""

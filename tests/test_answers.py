@@ -61,11 +61,12 @@ def test_vocabulary_order_and_limit(texts):
     assert words.fit_vocabulary(texts, "text", max_words=4).count() == 2
 
 
-def test_encode(texts):
+@pytest.mark.parametrize("lookup_words", [1000, 1])
+def test_encode_by_lookup_and_by_join(texts, lookup_words):
     vocab = words.fit_vocabulary(texts, "text", max_words=5)
-    got = {r["id"]: r["ids"] for r in words.encode_tokens(texts, "id", "text", vocab).collect()}
+    got = {r["id"]: r["ids"] for r in words.encode_tokens(texts, "id", "text", vocab, lookup_words=lookup_words).collect()}
     assert got == {1: [4, 3, 4, 1], 2: [1, 3], 3: [], 4: [2] * 12}
-    fixed = {r["id"]: r["ids"] for r in words.encode_tokens(texts, "id", "text", vocab, length=10).collect()}
+    fixed = {r["id"]: r["ids"] for r in words.encode_tokens(texts, "id", "text", vocab, 10, lookup_words).collect()}
     assert fixed == {i: (ids + [0] * 10)[:10] for i, ids in got.items()}
 
 

@@ -12,8 +12,8 @@ from check import compare
 FOLDER = "/root/testdata/sf0.001"
 MODELS = {"clv_models", "grid_search", "fraud_models", "smote_logistic", "score_applicants", "score_orders", "isolation_forest",
           "importance", "coefficients", "tree_shap", "late_payment_model", "intent_model", "embed_text"}
-# Python is used only where vectors are searched, trees are grown or walked.
-PYTHON = {"retrieve_topk", "context_prompt", "confusion_multiclass", "smote"}
+# Python is used only where vectors are searched, words looked up, trees grown or walked.
+PYTHON = {"encode_tokens", "encode_pad", "retrieve_topk", "context_prompt", "confusion_multiclass", "smote"}
 # Windows over a whole table whose size was checked or is fixed by a limit.
 BOUNDED = {"vocabulary", "encode_tokens", "encode_pad", "roc_auc", "roc_curve", "label_encode", "category_codes", "smote"}
 
@@ -36,7 +36,7 @@ def test_plan_shape(spark, name):
     plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if name not in PYTHON:
-        assert not re.search(r"ArrowEvalPython|MapInArrow|MapInPandas|FlatMap\w*InPandas|BatchEvalPython", plan)
+        assert not re.search(r"ArrowEvalPython|MapInArrow|MapInPandas|FlatMap\w*InPandas|BatchEvalPython|ArrowEval", plan)
     if name not in BOUNDED:
         assert not re.search(r"Window \[[^\n]*\], \[\w+#\d+[^\]]*\]\n[^\n]*Sort[^\n]*\n[^\n]*Exchange SinglePartition", plan)
 
