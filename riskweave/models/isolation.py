@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hash_key, hash_unit
 from ..operators.profile import minmax_normalize
+from ..session import materialize
 
 TREE_SCHEMA = "tree int, feature array<int>, threshold array<double>, path array<double>"
 
@@ -94,8 +95,9 @@ class IsolationForestModel:
         return df.withColumn(out, isolation(vector))
 
     def flag(self, df: DataFrame, threshold: float = 0.5) -> DataFrame:
-        """Scores scaled to [0, 1] over the scored rows, and 1 where that exceeds the threshold."""
-        scaled = minmax_normalize(self.score(df), "anomaly", "iso_score")
+        """Scores scaled to [0, 1] over the scored rows, and 1 where that exceeds the threshold. The
+        scored rows are written once, as walking the trees a second time for the bounds costs more."""
+        scaled = minmax_normalize(materialize(self.score(df)), "anomaly", "iso_score")
         return scaled.withColumn("iso_flag", (F.col("iso_score") > threshold).cast("int")).drop("anomaly")
 
     def frame(self) -> DataFrame:

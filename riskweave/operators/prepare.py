@@ -149,6 +149,10 @@ def pos_weight(df: DataFrame, label: str) -> DataFrame:
 
 # ---------------------------------------------------------------- schema-tolerant order features
 
+# Keys, labels and raw times that are not features of an order.
+NOT_FEATURES = ["order_id", "user_id", "product_id", "order_date", "fraud_prob_sim", "is_fraud"]
+
+
 def order_fraud_features(
     df: DataFrame, stats_from: DataFrame | None = None, encode: Mapping[str, Sequence[str]] | None = None
 ) -> DataFrame:

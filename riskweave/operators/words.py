@@ -44,7 +44,7 @@ def encode_tokens(df: DataFrame, key: str, text: str, vocabulary: DataFrame, len
     A vocabulary of at most ``lookup_words`` words is sent to the tasks and looked up there, so no
     token is ever shuffled. A larger one is joined, which needs the words of a text put together again.
     """
-    words = X.tokenize(X.clean_text(text))
+    words = F.coalesce(X.tokenize(X.clean_text(text)), F.array().cast("array<string>"))
     if length is not None:
         words = F.slice(words, 1, length)
     known = vocabulary.select("word", "word_id").limit(lookup_words + 1).toArrow()
@@ -64,9 +64,9 @@ def _lookup(spark, known: pa.Table):
         vocabulary, ids = shared.value
         at = pc.index_in(words.flatten(), value_set=vocabulary)
         found = pc.fill_null(ids.take(at), OOV_ID)
-        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        return pa.ListArray.from_arrays(offsets, found, mask=words.is_null())
+        return pa.ListArray.from_arrays(offsets, found)
 
     return ids_of
 

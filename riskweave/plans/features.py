@@ -3,11 +3,35 @@
 from pyspark.sql import functions as F
 
 from ..functions.columns import map_values
-from ..operators import prepare, sampling
+from ..operators import prepare, profile, sampling
+from ..sources import files
 from .profiling import NUMERICS, rounded
 from .registry import hash_sql, query
 
 
+@query("order_features", """
+WITH s AS (SELECT o_custkey AS k, avg(o_totalprice) AS m, count(*) AS c FROM orders GROUP BY o_custkey)
+SELECT round(o_totalprice, 2) AS order_amount, round(m, 6) AS user_mean_order, c AS user_order_count,
+       round(abs(o_totalprice - m) / (m + 1e-6), 6) AS order_value_deviation, hour(o_orderdate)::INT AS order_hour,
+       (isodow(o_orderdate) - 1)::INT AS order_weekday, 0 AS high_device_change, 0 AS high_velocity,
+       (c_mktsegment = 'BUILDING')::INT AS billing_region_BUILDING, (c_mktsegment = 'FURNITURE')::INT AS billing_region_FURNITURE,
+       (c_mktsegment = 'HOUSEHOLD')::INT AS billing_region_HOUSEHOLD, (c_mktsegment = 'MACHINERY')::INT AS billing_region_MACHINERY
+FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN s ON o_custkey = k
+""")
+def order_features(t):
+    """The order features from a table without device or velocity columns, as a numeric matrix."""
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("order_date"),
+        F.col("o_totalprice").alias("order_amount"), F.col("c_mktsegment").alias("billing_region"))
+    return rounded(profile.numeric_matrix(prepare.order_fraud_features(rows), exclude=prepare.NOT_FEATURES))
+
+
+@query("normalize_columns", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def normalize_columns(t):
+    shouting = t.customer.select(*[F.col(c).alias(c.upper()) for c in ("c_custkey", "c_name", "c_mktsegment")])
+    return files.normalize_columns(shouting)
+
+
 @query("standard_scale", "SELECT l_orderkey, l_linenumber, " + ", ".join(
     f"round(({c} - m_{c}) / s_{c}, 6) AS {c}" for c in NUMERICS) + " FROM lineitem, (SELECT " + ", ".join(
     f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in NUMERICS) + " FROM lineitem) b")

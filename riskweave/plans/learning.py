@@ -3,15 +3,17 @@
 Tree counts here are kept small so that a run takes seconds; they are parameters of the estimators.
 """
 
+import uuid
+
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from ..functions.columns import relative_deviation, weekday_of
 from ..models import estimators as E
-from ..models import explain, isolation
-from ..operators import metrics, neighbours, ordering, prepare, profile, sampling
+from ..models import explain, isolation, store
+from ..operators import answers, metrics, neighbours, ordering, prepare, profile, sampling
 from ..operators import sequences as S
-from ..session import cached
+from ..session import cached, shared_dir
 from . import sequences as seq_plans
 from .columns import device_changes
 from .profiling import rounded, spend
@@ -132,15 +134,25 @@ def score_applicants(t):
 
 @query("score_orders")
 def score_orders(t):
-    """Scoring run: probability, flag and anomaly score per order."""
+    """Scoring run: probability, flag and anomaly score per order. Features are scaled once, with the
+    statistics of the training rows; trees do not mind the scale."""
     train, test = parts(fraud_rows(t))
-    scaled = prepare.scaler_stats(train, FRAUD_NUM)
+    stats = prepare.scaler_stats(train, FRAUD_NUM)
+    train, test = (prepare.apply_scaler(d, stats, FRAUD_NUM) for d in (train, test))
     with cached(train):
-        model = Pipeline(stages=[*E.preprocess_stages(FRAUD_NUM), E.gbt_classifier(rounds=10, depth=4)]).fit(train)
-        forest = isolation.fit_isolation_forest(prepare.apply_scaler(train, scaled, FRAUD_NUM), "o_orderkey", FRAUD_NUM, trees=50)
-    odd = forest.flag(prepare.apply_scaler(test, scaled, FRAUD_NUM)).select("o_orderkey", "iso_score", "iso_flag")
-    probs = E.score(model, test).select("o_orderkey", F.col("p").alias("proba"), (F.col("p") >= 0.5).cast("int").alias("flag"))
-    return probs.join(odd, "o_orderkey")
+        model = Pipeline(stages=[*E.preprocess_stages(FRAUD_NUM, scale=False), E.gbt_classifier(rounds=10, depth=4)]).fit(train)
+        forest = isolation.fit_isolation_forest(train, "o_orderkey", FRAUD_NUM, trees=50)
+    return store.score_batch(test, model, forest).select("o_orderkey", "proba", "flag", "iso_score", "iso_flag")
+
+
+@query("model_reload")
+def model_reload(t):
+    """Save a fitted model, load it again and count the orders it scores differently (none)."""
+    train, test = parts(fraud_rows(t))
+    model = Pipeline(stages=[*E.preprocess_stages(FRAUD_NUM), E.linear_regression()]).fit(train)
+    path = f"{shared_dir(t.spark)}/model-{uuid.uuid4().hex}"
+    store.save_model(model, path)
+    return store.compare_scores(model, store.load_model(path), test)
 
 
 @query("isolation_forest")
@@ -226,3 +238,13 @@ def embed_text(t):
     model = E.fit_embedder(t.documents, "text", dim=64)
     vectors = E.embed_text(model, t.documents.select("doc_id", "text"), "text")
     return vectors.select("doc_id", "embedding")
+
+
+@query("grounded_questions")
+def grounded_questions(t):
+    """Benchmark passages asked of the documents: embed both, fetch the nearest text, build the prompt."""
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
+    model = E.fit_embedder(docs, "text", dim=64)
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return answers.context_prompt(E.embed_text(model, asked, "question"), E.embed_text(model, docs, "text"), 1).select(
+        "query_id", "question", "prompt")

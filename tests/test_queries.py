@@ -11,7 +11,7 @@ from check import compare
 
 FOLDER = "/root/testdata/sf0.001"
 MODELS = {"clv_models", "grid_search", "fraud_models", "smote_logistic", "score_applicants", "score_orders", "isolation_forest",
-          "importance", "coefficients", "tree_shap", "late_payment_model", "intent_model", "embed_text"}
+          "importance", "coefficients", "model_reload", "grounded_questions", "tree_shap", "late_payment_model", "intent_model", "embed_text"}
 # Python is used only where vectors are searched, words looked up, trees grown or walked.
 PYTHON = {"encode_tokens", "encode_pad", "retrieve_topk", "context_prompt", "confusion_multiclass", "smote"}
 # Windows over a whole table whose size was checked or is fixed by a limit.
