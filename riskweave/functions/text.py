@@ -11,6 +11,7 @@ from .columns import as_column
 
 # The characters a Unicode-aware whitespace split treats as blank.
 BLANK = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+BLANK_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 NOT_LETTER_OR_BLANK = r"[^a-z\s\x0B\x1C-\x1F\x85\p{Z}]"
 
 
@@ -20,9 +21,8 @@ def clean_text(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Remove blanks of any kind from both ends."""
-    head = F.regexp_replace(as_column(c), f"^{BLANK}+", "")
-    return F.regexp_replace(head, f"{BLANK}+$", "")
+    """Remove blanks of any kind from both ends; only the ends are looked at."""
+    return F.btrim(as_column(c), F.lit(BLANK_CHARS))
 
 
 def tokenize(c: Column | str) -> Column:

@@ -54,7 +54,8 @@ def evaluation_summary(results: DataFrame, flag: str = "hallucination", by: str
 
 def review_status(answers: DataFrame, label: str, answer: str, phrase: str = X.COMPLIANCE_REFUSAL) -> DataFrame:
     """Answers per review label, how many contain the refusal and how many are nothing else."""
-    bare = F.regexp_replace(X.strip(answer), r'^["\']|[."\']+$', "")
+    # Quotes and a full stop around the phrase do not make it more than a refusal.
+    bare = F.btrim(X.strip(answer), F.lit("\"'."))
     return answers.groupBy(label).agg(
         F.count("*").alias("n"),
         F.count_if(X.contains_phrase(answer, phrase)).alias("n_refusal"),

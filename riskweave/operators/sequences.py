@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-KEY_ROWS = 1_000_000
+KEY_ROWS = 1_000_000  # rows of one key that one task may order
+FRAME_ROWS = 10_000  # rows of one key over which a sliding frame may be added up per row
 
 
 def split_by_key_size(
@@ -120,10 +121,14 @@ def flatten_steps(seq: Column | str, fields: Sequence[str]) -> Column:
 
 def velocity_counts(
     df: DataFrame, key: str, ts: str, horizons: Mapping[str, int], slice_seconds: int = 900,
-    key_rows: int = KEY_ROWS,
+    key_rows: int = FRAME_ROWS,
 ) -> DataFrame:
     """For each row, the rows of its key in the last ``seconds`` up to and including its instant,
-    as one column per ``name: seconds`` in ``horizons``. NULL keys or times give NULL counts."""
+    as one column per ``name: seconds`` in ``horizons``. NULL keys or times give NULL counts.
+
+    Spark adds a sliding frame up again for every row, so its cost grows with the square of a busy
+    key. Keys beyond ``key_rows`` rows are counted by differences of running counts instead.
+    """
     if any(s % slice_seconds for s in horizons.values()):
         raise ValueError("every horizon must be a whole number of slices")
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
@@ -163,11 +168,14 @@ def _sliced_counts(df: DataFrame, key: str, ts: str, horizons: Mapping[str, int]
         .select("_key", "e.kind", "e.t", "e.row")
         .withColumn("_slice", F.floor(F.col("t") / F.lit(width)))
     )
-    upto = Window.partitionBy("_key", "_slice").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = Window.partitionBy("_key", "_slice").orderBy("t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    counted = sent.withColumn("_own", F.count_if(F.col("kind") == 0).over(upto))
-    for h, name in enumerate(horizons, 1):
-        counted = counted.withColumn(f"_far_{h}", F.count_if(F.col("kind") == h).over(onward))
+    # Frames that only grow are updated row by row; any other frame is added up again for every row.
+    slices = Window.partitionBy("_key", "_slice")
+    upto = slices.orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = slices.orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    counted = sent.select("*", F.count_if(F.col("kind") == 0).over(upto).alias("_own"), *[
+        (F.count_if(F.col("kind") == h).over(slices) - F.count_if(F.col("kind") == h).over(before)).alias(f"_far_{h}")
+        for h in range(1, len(horizons) + 1)
+    ])
     own = counted.where(F.col("kind") == 0)
 
     # Whole slices in between: one row per key and slice, so the rolling sum is over aggregates.

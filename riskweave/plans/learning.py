@@ -82,10 +82,11 @@ def fraud_rows(t):
     """Orders with behavioural features; a pending status stands for fraud."""
     rows = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", device_changes().alias("devices"),
                            (F.col("o_orderstatus") == "P").cast("int").alias("label"))
+    # Split first: the draw needs only key and label, so its passes read two columns of the orders.
+    rows = sampling.stratified_split(rows, "o_orderkey", "label", 0.2, 42)
     rows = profile.attach_group_stats(rows, "o_custkey", "o_totalprice", "devices")
-    rows = rows.withColumns({"order_value_deviation": relative_deviation("o_totalprice", "user_mean_order"),
+    return rows.withColumns({"order_value_deviation": relative_deviation("o_totalprice", "user_mean_order"),
                              "order_weekday": weekday_of("o_orderdate")})
-    return sampling.stratified_split(rows, "o_orderkey", "label", 0.2, 42)
 
 
 def fitted_fraud(t, *estimators):
