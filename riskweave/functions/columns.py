@@ -108,6 +108,17 @@ def weekday_of(ts: Column | str) -> Column:
     return F.weekday(as_column(ts))
 
 
+def micros_of(ts: Column | str, has_zone: bool) -> Column:
+    """Microseconds since 1970. A time without a zone is read from its own parts, as converting it
+    to an instant would shift it around the session zone's clock changes."""
+    ts = as_column(ts)
+    if has_zone:
+        return F.unix_micros(ts)
+    seconds = (F.unix_date(ts.cast("date")).cast("bigint") * 86_400
+               + F.hour(ts).cast("bigint") * 3_600 + F.minute(ts).cast("bigint") * 60)
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+
+
 # ---------------------------------------------------------------- scores to decisions
 
 def risk_bucket(p: Column | str, cuts: Sequence[float], labels: Sequence[str], closed: str = "left") -> Column:

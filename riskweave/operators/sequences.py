@@ -12,6 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import micros_of
 from ..session import materialize
 
 KEY_ROWS = 1_000_000  # rows of one key that one task may order
@@ -131,7 +132,7 @@ def velocity_counts(
     """
     if any(s % slice_seconds for s in horizons.values()):
         raise ValueError("every horizon must be a whole number of slices")
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    micros = micros_of(ts, dict(df.dtypes)[ts] == "timestamp")
 
     def ranged(d: DataFrame) -> DataFrame:
         per_key = Window.partitionBy(key).orderBy(micros)
@@ -153,7 +154,7 @@ def _sliced_counts(df: DataFrame, key: str, ts: str, horizons: Mapping[str, int]
     all of its slices, and each row travels once per horizon plus once.
     """
     width = slice_seconds * 1_000_000
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    micros = micros_of(ts, dict(df.dtypes)[ts] == "timestamp")
     rows = df.withColumn("_t", micros).withColumn("_row", F.struct(*df.columns))
     dated = rows.where(F.col("_t").isNotNull() & F.col(key).isNotNull())
 

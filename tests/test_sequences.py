@@ -75,3 +75,17 @@ def test_velocity_refuses_odd_horizons(spark):
     df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1))], "k int, ts timestamp_ntz")
     with pytest.raises(ValueError):
         S.velocity_counts(df, "k", "ts", {"n": 1000})
+
+
+@pytest.mark.parametrize("key_rows", [10**6, 1])
+def test_velocity_ignores_clock_changes_of_the_session_zone(spark, key_rows):
+    """The night Berlin's clocks went forward: plain times stay an hour apart."""
+    times = [dt.datetime(2024, 3, 31, h) for h in (1, 2, 3, 4)]
+    df = spark.createDataFrame([(1, t) for t in times], "k int, ts timestamp_ntz")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        got = S.velocity_counts(df, "k", "ts", {"n": 3_600}, key_rows=key_rows).orderBy("ts").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [r["n"] for r in got] == [1, 2, 2, 2]
