@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare
+from riskweave import plans
 
 FOLDER = "/root/testdata/sf0.001"
 MODELS = {"clv_models", "grid_search", "fraud_models", "smote_logistic", "score_applicants", "score_orders", "isolation_forest",
@@ -26,12 +27,12 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
 def test_matches_sql(spark, con, name):
     assert compare(spark, FOLDER, con, name).startswith("ok")
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - MODELS))
+@pytest.mark.parametrize("name", sorted(set(plans.queries()) - MODELS))
 def test_plan_shape(spark, name):
     plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
@@ -42,7 +43,7 @@ def test_plan_shape(spark, name):
 
 
 def test_everything_has_a_check():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == MODELS
+    assert set(plans.queries()) - set(plans.oracle_sql()) == MODELS
 
 
 def test_entry(spark):
