@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets, tokens
+from ..session import shared_dir
+from . import bpe, exact, secrets, tokens, warc
 from .common import text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +59,30 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     pieces = tokens.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     rows = table(spark, folder, "documents").select("doc_id", tokens.token_counts(text_of("text"), pieces).alias("n"))
     return rows.select("doc_id", "n.n_pretokens", "n.n_tokens")
+
+
+@query("op4_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
+     f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+FROM f
+""")
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    place = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_monolithic(table(spark, folder, "pages"), "page_id", "url", "html", f"{place}/whole")
+    warc.normalise(spark, f"{place}/whole", f"{place}/members")
+    found = warc.read_records(warc.read_index(spark, f"{place}/members"))
+    return found.select(warc.key_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                        warc.key_of("refers_to").alias("refers_to"))
+
+
+@query("op5_exact_dedup", r"""
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
+FROM t WINDOW w AS (PARTITION BY text_sha256)
+""")
+def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.copies(table(spark, folder, "documents"), "doc_id", "text")
