@@ -41,13 +41,13 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_row
     values = [c for c in groups.columns if c != key]
     limit = max(HOT_ROWS, n_rows // HOT_SHARE)
     hot = groups.where(F.col(size) > limit).collect()
-    cold = groups.where(F.col(size) <= limit).select(F.col(key).alias("_key"), *[F.col(c).alias(f"_c_{c}") for c in values])
+    cold = groups.where(F.col(size) <= limit).select(F.col(key).alias("_group_key"), *[F.col(c).alias(f"_c_{c}") for c in values])
     if not hot:
-        joined = rows.join(cold, F.col(key) == F.col("_key"), "left")
+        joined = rows.join(cold, F.col(key) == F.col("_group_key"), "left")
         return joined.select(*rows.columns, *[F.col(f"_c_{c}").alias(c) for c in values])
     found = spark.createDataFrame(hot, groups.schema).select(
         F.col(key).alias("_hot"), *[F.col(c).alias(f"_h_{c}") for c in values])
     rows_ = rows.join(F.broadcast(found), F.col(key) == F.col("_hot"), "left").withColumn(
         "_own", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.concat(F.lit("#"), F.col(spread).cast("string"))))
-    joined = rows_.join(cold, F.col("_own") == F.col("_key"), "left")
+    joined = rows_.join(cold, F.col("_own") == F.col("_group_key"), "left")
     return joined.select(*rows.columns, *[F.coalesce(f"_h_{c}", f"_c_{c}").alias(c) for c in values])

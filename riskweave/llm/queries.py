@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import bpe, exact, secrets, tokens, warc
+from . import bpe, exact, secrets, simhash, tokens, warc
 from .common import text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """)
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.copies(table(spark, folder, "documents"), "doc_id", "text")
+
+
+@query("op9_simhash")
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_copies(table(spark, folder, "documents"), "doc_id", "text")
