@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import bpe, exact, secrets, simhash, tokens, warc
+from . import bpe, exact, quality, secrets, simhash, tokens, toxicity, warc
 from .common import text_of
+from .training import labelled_sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,3 +92,21 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_simhash")
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_copies(table(spark, folder, "documents"), "doc_id", "text")
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    sample = labelled_sample(docs, table(spark, folder, "labels"), "doc_id", "text", "quality", where=~held_out)
+    rows = docs.select("doc_id", held_out.alias("held_out"), quality.fit(sample).score(text_of("text")).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    chain = toxicity.fit(labelled_sample(docs, table(spark, folder, "labels"), "doc_id", "text", "toxic"))
+    rows = docs.select("doc_id", chain.probabilities(text_of("text")).alias("p"))
+    return rows.select("doc_id", *[F.col(f"p.{n}").alias(f"p_{n}") for n in chain.names[:-1]], F.col("p.toxic").alias("score"),
+                       (F.col("p.toxic") >= chain.threshold).cast("int").alias("toxic"))
