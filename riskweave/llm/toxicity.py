@@ -1,7 +1,7 @@
 """Toxicity by a chain of linear classifiers.
 
-The chain predicts one category after the other and the overall verdict last. Each link is a sparse logistic regression
-on the words of a text and on the probabilities of the links before it. While fitting, those probabilities come from
+The chain predicts one category after the other and the overall verdict last. Each link is a logistic regression
+on the words of a text and their beginnings, and on the probabilities of the links before it. While fitting, those probabilities come from
 models that have not seen the row (out of fold), as they will when texts are scored.
 
 Labels tell only whether a text is toxic. Categories are labelled weakly: a toxic text that holds a word of the
@@ -11,15 +11,12 @@ category's list belongs to it. The lists only make labels for fitting; what a li
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Container, Mapping, Sequence
 from dataclasses import dataclass
-from math import exp
+from math import exp, log, log2
 
+import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,26 +28,45 @@ CATEGORIES = {
     "contempt": ("pathetic", "worthless", "disgusting", "scum", "trash", "filth", "vermin", "garbage"),
 }
 FOLDS = 3
-WORDS = 4096  # words that a link can look at: those whose share differs most between the labels
-LEAST_ROWS = 3  # rows that must hold a word
-LEAST_Z = 3.0  # standard errors between the shares
-PENALTY = 2e-3
+WORDS = 4096  # words that a link can look at, the most telling ones
+ERROR = 0.01  # chance that any of them is there by accident
+PENALTY = 1e-3
+STEMS = range(3, 7)  # letters of a beginning
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def marks(text: str) -> list[str]:
+    """What the distinct lower-case words (runs of letters) of a text offer to look at: the words, each with a full stop
+    behind it, and their beginnings, by which compounds and inflected forms resemble each other."""
+    found = set(WORD.findall(text.lower()))
+    return sorted({w + "." for w in found} | {w[:k] for w in found for k in STEMS if len(w) >= k})
+
+
+def strength(text: str, known: Container[str], heads: Container[str]) -> dict[str, float]:
+    """The known marks that a text holds, with log2(1 + occurrences). ``heads``: how the known marks begin."""
+    counts: dict[str, int] = {}
+    for word in WORD.findall(text.lower()):
+        whole = word + "."
+        if whole[: STEMS[0]] in heads:
+            for mark in (whole, *[word[:k] for k in STEMS if len(word) >= k]):
+                if mark in known:
+                    counts[mark] = counts.get(mark, 0) + 1
+    return {m: log2(1 + counts[m]) for m in sorted(counts)}
+
+
 def words(text: str | Column) -> Column:
-    """The distinct lower-case words (runs of letters) of whole texts."""
+    """``marks`` of whole texts; null and empty texts have none."""
 
     @F.arrow_udf("array<string>")
     def split(texts: pa.Array) -> pa.Array:
-        return pa.array([sorted(set(WORD.findall((t.as_py() or "").lower()))) for t in texts], pa.list_(pa.string()))
+        return pa.array([marks(t.as_py() or "") for t in texts], pa.list_(pa.string()))
 
     return split(text)
 
 
 @dataclass(frozen=True)
 class Chain:
-    """``weights``: for every word its weight in each link; ``before``: for every link the weights of the earlier ones."""
+    """``weights``: for every mark its weight in each link; ``before``: for every link the weights of the earlier ones."""
 
     names: tuple[str, ...]
     weights: Mapping[str, tuple[float, ...]]
@@ -61,16 +77,16 @@ class Chain:
     def probabilities(self, text: str | Column) -> Column:
         """Struct of one probability per link, the verdict's last; null and empty texts are scored as texts without words."""
         weights, before, intercepts, names = dict(self.weights), self.before, self.intercepts, self.names
-        known = weights.keys()
+        heads = {m[: STEMS[0]] for m in weights}
 
         @F.arrow_udf("struct<" + ",".join(f"{n}:double" for n in names) + ">")
         def score(texts: pa.Array) -> pa.Array:
             columns = [[] for _ in names]
             for t in texts:
                 raw = list(intercepts)
-                for word in sorted(known & set(WORD.findall((t.as_py() or "").lower()))):
-                    for c, w in enumerate(weights[word]):
-                        raw[c] += w
+                for mark, much in strength(t.as_py() or "", weights, heads).items():
+                    for c, w in enumerate(weights[mark]):
+                        raw[c] += much * w
                 p = []
                 for c, column in enumerate(columns):
                     s = raw[c] + sum(w * q for w, q in zip(before[c], p))
@@ -81,78 +97,121 @@ class Chain:
         return score(text)
 
 
+def held_marks(text: str | Column, vocabulary: Sequence[str]) -> Column:
+    """Numbers and strengths of the vocabulary's marks in whole texts."""
+    number = {m: i for i, m in enumerate(vocabulary)}
+    heads = {m[: STEMS[0]] for m in vocabulary}
+
+    @F.arrow_udf("array<struct<i:int,much:double>>")
+    def held(texts: pa.Array) -> pa.Array:
+        rows = [[{"i": number[m], "much": x} for m, x in strength(t.as_py() or "", number, heads).items()] for t in texts]
+        return pa.array(rows, pa.list_(pa.struct([("i", pa.int32()), ("much", pa.float64())])))
+
+    return held(text)
+
+
+def without_copies(rows: DataFrame) -> DataFrame:
+    """Near copies count once: rows whose three smallest word hashes and labels agree are taken for one."""
+    mark = F.slice(F.array_sort(F.transform("words", lambda w: F.xxhash64(w))), 1, 3)
+    return rows.withColumn("mark", mark).dropDuplicates(["mark", "label"]).drop("mark")
+
+
 def telling_words(rows: DataFrame, limit: int = WORDS) -> list[str]:
-    """Words whose share differs between toxic and other rows by LEAST_Z standard errors or more."""
+    """Words that toxic rows hold more often or less often than chance explains.
+
+    If a word had nothing to do with the label, the toxic share t / k of its k rows would differ from the overall share
+    as much as it does with a chance of at most exp(-k KL). Words are kept if that chance, times the number of words
+    looked at, is below ERROR.
+    """
     n, toxic = rows.agg(F.count("*"), F.sum("label")).first()
-    clean = n - (toxic or 0)
-    if not toxic or not clean:
+    if not toxic or toxic == n:
         return []
     held = rows.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("k"), F.sum("label").alias("t"))
-    mean = F.col("k") / n
-    z = F.abs(F.col("t") / toxic - (F.col("k") - F.col("t")) / clean) / F.sqrt(mean * (1 - mean) * (1 / toxic + 1 / clean))
-    held = held.where((F.col("k") >= LEAST_ROWS) & (F.col("k") < n)).withColumn("z", z).where(F.col("z") >= LEAST_Z)
-    return sorted(r["word"] for r in held.orderBy(F.desc("z"), "word").limit(limit).collect())
+    share = F.col("t") / F.col("k")
+    term = lambda x, p: F.when(x > 0, x * F.log(x / F.lit(p))).otherwise(0.0)
+    held = held.withColumn("bits", F.col("k") * (term(share, toxic / n) + term(1 - share, 1 - toxic / n)))
+    tried = held.agg(F.count("*")).first()[0]
+    held = held.where(F.col("bits") >= log(max(1, tried) / ERROR)).orderBy(F.desc("bits"), "word").limit(limit)
+    return sorted(r["word"] for r in held.collect())
 
 
 def fit(sample: DataFrame, categories: Mapping[str, Sequence[str]] = CATEGORIES, folds: int = FOLDS, penalty: float = PENALTY) -> Chain:
     """A chain from rows (key, text, label) as ``training.labelled_sample`` draws them.
 
-    A category without rows of both kinds, and a verdict without labels of both kinds, always gets probability 0 or 1 as
-    its rows say (0 without rows), and nothing depends on it.
+    The words are counted and chosen by Spark. What the links are fitted on is bounded by the sample: per row the few
+    telling words that it holds, rows of equal content counted together. A category without rows of both kinds, and a
+    verdict without labels of both kinds, always gets the probability 0 or 1 that its rows say (0 without rows), and
+    nothing depends on it.
     """
     names = (*categories, "toxic")
-    rows = sample.select("label", words("text").alias("words"), F.pmod(F.xxhash64("key"), F.lit(folds)).alias("fold"))
-    rows = materialize(rows.withColumns({
-        f"y_{c}": (F.col("label") * F.arrays_overlap("words", F.array(*map(F.lit, seeds))).cast("int")).cast("double")
-        for c, seeds in categories.items()} | {"y_toxic": F.col("label").cast("double")}))
+    rows = sample.select("label", "text", words("text").alias("words"), F.pmod(F.xxhash64("key"), F.lit(folds)).cast("int").alias("fold"))
+    rows = materialize(without_copies(rows))
     vocabulary = telling_words(rows)
-    totals = rows.agg(F.count("*").alias("n"), *[F.sum(f"y_{c}").alias(c) for c in names]).first().asDict()
-    if vocabulary:
-        rows = CountVectorizerModel.from_vocabulary(vocabulary, "words", "x").setBinary(True).transform(rows)
-    rows = rows.drop("words").persist()
-    weights = {w: [0.0] * len(names) for w in vocabulary}
-    before, intercepts, chained = [], [], []
-    for c, name in enumerate(names):
+    belongs = [(F.col("label") * F.arrays_overlap("words", F.array(*[F.lit(f"{s}.") for s in seeds])).cast("int")).alias(f"y{c}")
+               for c, seeds in enumerate(categories.values())]
+    counted = rows.select(held_marks("text", vocabulary).alias("held"), "fold", *belongs, F.col("label").alias(f"y{len(belongs)}"))
+    data = Sample(counted.groupBy(*counted.columns).agg(F.count("*").alias("n")).collect(), len(vocabulary), len(names))
+    weights, before, intercepts = np.zeros((len(vocabulary), len(names))), [], []
+    chained, out_of_fold = [], np.zeros((len(data.n), 0))
+    for c in range(len(names)):
         before.append([0.0] * c)
-        ones = totals[name] or 0
-        if not vocabulary or not 0 < ones < totals["n"]:
-            intercepts.append(30.0 if ones else -30.0)
+        y = data.y[:, c]
+        if not vocabulary or len(set(y.tolist())) < 2:
+            intercepts.append(30.0 if y.any() else -30.0)
             continue
-        inputs = VectorAssembler(inputCols=["x", *[f"p_{e}" for e in chained]], outputCol="in")
-        ready = inputs.transform(rows).persist()
-        link = LogisticRegression(featuresCol="in", labelCol=f"y_{name}", elasticNetParam=1.0, regParam=penalty, maxIter=40,
-                                  standardization=False)
-        parts = [ready.where(F.col("fold") != k) for k in range(folds)]
-        with ThreadPoolExecutor(folds + 1) as pool:
-            whole, *out = pool.map(link.fit, [ready, *parts])
-        scored = None
-        for k, model in enumerate(out):
-            part = model.transform(ready.where(F.col("fold") == k)).withColumn(f"p_{name}", vector_to_array("probability")[1])
-            part = part.select(*rows.columns, f"p_{name}")
-            scored = part if scored is None else scored.union(part)
-        scored = materialize(scored)
-        rows.unpersist()
-        ready.unpersist()
-        rows = scored
-        learnt = whole.coefficients.toArray().tolist()
-        for word, w in zip(vocabulary, learnt):
-            weights[word][c] = w
-        for e, w in zip(chained, learnt[len(vocabulary):]):
-            before[c][names.index(e)] = w
-        intercepts.append(float(whole.intercept))
-        chained.append(name)
-    threshold = best_threshold(rows) if "toxic" in chained else 0.5
-    rows.unpersist()
-    return Chain(names, {w: tuple(v) for w, v in weights.items() if any(v)}, tuple(map(tuple, before)), tuple(intercepts), threshold)
-
-
-def best_threshold(rows: DataFrame) -> float:
+        w, v, b = data.logistic(out_of_fold, y, data.n, penalty)
+        weights[:, c] = w
+        for e, x in zip(chained, v):
+            before[c][e] = float(x)
+        intercepts.append(float(b))
+        p = np.empty(len(y))
+        for k in range(folds):
+            w, v, b = data.logistic(out_of_fold, y, data.n * (data.fold != k), penalty)
+            p[data.fold == k] = sigmoid(data.raw(out_of_fold, w, v, b))[data.fold == k]
+        chained.append(c)
+        out_of_fold = np.column_stack([out_of_fold, p])
+    verdict = len(names) - 1
+    threshold = best_threshold(out_of_fold[:, -1], data.y[:, verdict], data.n) if verdict in chained else 0.5
+    return Chain(names, {w: tuple(map(float, r)) for w, r in zip(vocabulary, weights)}, tuple(map(tuple, before)), tuple(intercepts), threshold)
+
+
+def sigmoid(raw: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+
+
+class Sample:
+    """Rows of the bounded sample: the numbers of their words, their labels in every link, folds and multiplicities."""
+
+    def __init__(self, rows, width: int, links: int):
+        self.width = width
+        self.row = np.repeat(np.arange(len(rows)), [len(r["held"]) for r in rows])
+        self.word = np.array([h["i"] for r in rows for h in r["held"]], np.int64)
+        self.much = np.array([h["much"] for r in rows for h in r["held"]], np.float64)
+        self.y = np.array([[r[f"y{c}"] for c in range(links)] for r in rows], np.float64).reshape(-1, links)
+        self.n = np.array([r["n"] for r in rows], np.float64)
+        self.fold = np.array([r["fold"] for r in rows])
+
+    def raw(self, extra: np.ndarray, w: np.ndarray, v: np.ndarray, b: float) -> np.ndarray:
+        return b + np.bincount(self.row, w[self.word] * self.much, len(self.n)) + extra @ v
+
+    def logistic(self, extra: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: float, steps: int = 600):
+        """Weights of words, of ``extra`` columns and intercept of a ridge logistic regression, by accelerated gradient."""
+        total = max(1.0, n.sum())
+        widest = np.bincount(self.row, self.much**2, len(n)).max(initial=0) + extra.shape[1] + 1
+        rate = 1 / (widest / 4 + penalty)
+        now = old = np.zeros(self.width + extra.shape[1] + 1)
+        for step in range(steps):
+            ahead = now + step / (step + 3) * (now - old)
+            w, v, b = ahead[: self.width], ahead[self.width : -1], ahead[-1]
+            off = (sigmoid(self.raw(extra, w, v, b)) - y) * n / total
+            slope = np.concatenate([np.bincount(self.word, off[self.row] * self.much, self.width) + penalty * w, off @ extra + penalty * v, [off.sum()]])
+            now, old = ahead - rate * slope, now
+        return now[: self.width], now[self.width : -1], now[-1]
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
     """The hundredth at which out-of-fold verdicts have the best F1; of equal ones the middle."""
-    steps = rows.groupBy(F.floor(F.col("p_toxic") * 100).alias("at")).agg(F.sum("y_toxic").alias("t"), F.count("*").alias("n")).collect()
-    total, best = sum(r["t"] for r in steps), {}
-    for at in range(1, 100):
-        above = [r for r in steps if r["at"] >= at]
-        hit, marked = sum(r["t"] for r in above), sum(r["n"] for r in above)
-        best[at] = 2 * hit / max(1, total + marked)
-    top = [at for at, f in best.items() if f == max(best.values())]
-    return top[len(top) // 2] / 100
+    steps = np.arange(1, 100) / 100
+    f1 = [2 * (n * y)[p >= t].sum() / max(1.0, (n * y).sum() + n[p >= t].sum()) for t in steps]
+    top = np.flatnonzero(np.isclose(f1, max(f1)))
+    return float(steps[top[len(top) // 2]])
