@@ -25,8 +25,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MEMO_PIECES = 400_000  # remembered pre-tokens of a task; the memory is emptied beyond
-MEMO_PAIRS = 2_000_000  # remembered pairs of tokens of a task
+MEMO_PIECES = 200_000  # remembered pre-tokens of a task; the memory is emptied beyond
+MEMO_PAIRS = 500_000  # remembered pairs of tokens of a task
 LONG_PIECE = 64  # longer pre-tokens are not remembered
 
 
