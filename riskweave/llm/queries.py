@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import bpe, exact, quality, secrets, simhash, tokens, toxicity, warc
+from . import bpe, exact, mixing, quality, secrets, simhash, tokens, toxicity, warc
 from .common import text_of
 from .training import labelled_sample
 
@@ -110,3 +110,41 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     rows = docs.select("doc_id", chain.probabilities(text_of("text")).alias("p"))
     return rows.select("doc_id", *[F.col(f"p.{n}").alias(f"p_{n}") for n in chain.names[:-1]], F.col("p.toxic").alias("score"),
                        (F.col("p.toxic") >= chain.threshold).cast("int").alias("toxic"))
+
+
+@query("op10_mixing", r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, source, coalesce(source, chr(0)) AS s, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens,
+           ('0x' || substr(md5('mix:block:' || doc_id), 1, 8))::BIGINT AS drawn, md5('mix:0:' || doc_id) AS doc_key FROM documents),
+s AS MATERIALIZED (SELECT s, count(*) AS docs, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY s),
+t AS MATERIALIZED (SELECT sum(tokens)::DOUBLE AS total, count(*) AS kinds FROM s WHERE tokens > 0),
+b AS (
+    SELECT 0 AS step, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high, 1.0::DOUBLE AS tried
+    UNION ALL
+    SELECT step + 1, CASE WHEN large OR step = 0 AND tried = 1 AND NOT large THEN low ELSE tried END,
+           CASE WHEN large THEN tried ELSE high END,
+           CASE WHEN step = 0 AND NOT large THEN 2.0
+                WHEN large THEN (low + tried) / 2 ELSE (tried + high) / 2 END
+    FROM (SELECT b.*, (SELECT ln(sum(p)) - sum(p * ln(p)) / sum(p) < 0.95 * ln(any_value(kinds)) AND max(p / tokens) / sum(p) * any_value(total) < 4
+                       FROM (SELECT tokens, kinds, total, pow(tokens / total, b.tried) AS p FROM s, t WHERE tokens > 0)) AS large FROM b)
+    WHERE step < 41 AND tried <= 1),
+a AS MATERIALIZED (SELECT CASE WHEN max(tried) > 1 THEN 1.0 ELSE max(low) END AS alpha FROM b),
+w AS MATERIALIZED (SELECT s.*, pow(tokens / total, alpha) / sum(pow(tokens / total, alpha)) OVER () AS weight, total FROM s, t, a WHERE tokens > 0),
+g AS MATERIALIZED (SELECT *, least(floor(weight * total + 0.5), tokens * 4)::BIGINT AS budget FROM w),
+p AS MATERIALIZED (SELECT *, budget // tokens AS passes, budget % tokens AS rest FROM g),
+x AS MATERIALIZED (SELECT d.*, p.passes, p.rest, d.drawn % ceil(p.docs / 1000.0)::BIGINT AS block,
+           md5('mix:0:' || d.s || ':' || (d.drawn % ceil(p.docs / 1000.0)::BIGINT)) AS block_key FROM d JOIN p USING (s)),
+k AS (SELECT *, sum(n) OVER (PARTITION BY s ORDER BY block_key) AS upto
+      FROM (SELECT s, block_key, sum(n_tokens) AS n, any_value(rest) AS rest FROM x GROUP BY s, block_key)),
+y AS (SELECT x.*, k.upto AS block_upto, k.n AS block_n, sum(x.n_tokens) OVER (PARTITION BY x.s, x.block_key ORDER BY x.doc_key) AS doc_upto
+      FROM x JOIN k USING (s, block_key)),
+z AS (SELECT *, rest > 0 AND block_upto - block_n + doc_upto <= rest AS part FROM y),
+r AS (SELECT *, unnest(range(CASE WHEN part THEN 0 ELSE 1 END, passes + 1)) AS pass FROM z)
+SELECT doc_id, source, n_tokens, pass::INTEGER AS pass,
+       substr(md5('mix:' || pass || ':' || s || ':' || block), 1, 12) || substr(md5('mix:' || pass || ':' || doc_id), 1, 12) AS place
+FROM r
+""")
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", mixing.token_count("text").alias("n_tokens"))
+    plans = mixing.plan(docs, "doc_id", "source", "n_tokens")
+    return mixing.realise(docs, "doc_id", "source", plans)
