@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import bpe, exact, mixing, quality, secrets, simhash, tokens, toxicity, warc
+from . import bpe, exact, mixing, neighbours, quality, secrets, simhash, tokens, toxicity, warc
 from .common import text_of
 from .training import labelled_sample
 
@@ -148,3 +148,9 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", mixing.token_count("text").alias("n_tokens"))
     plans = mixing.plan(docs, "doc_id", "source", "n_tokens")
     return mixing.realise(docs, "doc_id", "source", plans)
+
+
+@query("op7_nearest")
+def op7_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    found = neighbours.nearest_neighbours(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
