@@ -40,7 +40,8 @@ def misra_gries(df: DataFrame, key: str, counters: int = COUNTERS) -> DataFrame:
             if len(held) > counters:
                 held = held - held.nlargest(counters + 1).iloc[-1]
                 held = held[held > 0]
-        yield pd.DataFrame({key: held.index, "n": held.to_numpy("int64")})
+        if len(held):
+            yield pd.DataFrame({key: held.index, "n": held.to_numpy("int64")})
 
     schema = T.StructType([df.schema[key], T.StructField("n", T.LongType())])
     return df.select(key).mapInPandas(summarise, schema).groupBy(key).agg(F.sum("n").alias("n"))
