@@ -27,7 +27,8 @@ from ..session import materialize
 
 SAMPLE = 20_000  # vectors that the tree is fitted on
 BRANCHES = 8
-LEAF_SAMPLE = 40  # vectors of the sample in a leaf, on average
+LEAF_SAMPLE = 40  # vectors of the sample below which a node is not split
+LEAF_SHARE = 32  # nor is a node that holds less than one in so many; more leaves cost more visits than they save
 CALIBRATION = 200  # stored vectors used as queries to calibrate the visits
 BLOCK_ROWS = 4096  # vectors of a leaf, and queries that visit it, compared in one step
 
@@ -44,10 +45,11 @@ class Node:
 class Tree:
     """Hierarchical k-means; every fit of the same sample gives the same tree."""
 
-    def __init__(self, points: np.ndarray, branches: int = BRANCHES, leaf_points: int = LEAF_SAMPLE, seed: int = 7):
+    def __init__(self, points: np.ndarray, branches: int = BRANCHES, leaf_points: int | None = None, seed: int = 7):
         self.leaves = 0
         self.random = np.random.default_rng(seed)
-        self.branches, self.leaf_points = branches, leaf_points
+        self.branches = branches
+        self.leaf_points = max(LEAF_SAMPLE, len(points) // LEAF_SHARE) if leaf_points is None else leaf_points
         self.root = self._grow(points, points.mean(axis=0))
 
     def _grow(self, points: np.ndarray, centre: np.ndarray) -> Node:
@@ -186,7 +188,7 @@ class Index:
     recall: float
 
 
-def build(rows: DataFrame, k: int, recall: float = 0.97, sample: int = SAMPLE, calibration: int = CALIBRATION) -> Index | None:
+def build(rows: DataFrame, k: int, recall: float = 0.95, sample: int = SAMPLE, calibration: int = CALIBRATION) -> Index | None:
     """Index of (id, v) rows as ``clean_vectors`` gives them; None without rows. The tree's size follows the sample, so
     leaves grow with the table; they are searched in blocks."""
     norm = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
@@ -248,7 +250,7 @@ def _blocks(df: DataFrame, key: str, parts: str, part: str) -> DataFrame:
     return df.join(F.broadcast(sizes), "leaf").withColumn(part, F.pmod(F.xxhash64(key), F.col(parts)).cast("int"))
 
 
-def nearest_neighbours(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 20, recall: float = 0.97) -> DataFrame:
+def nearest_neighbours(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 20, recall: float = 0.95) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest rows found for every row that ``is_query`` (over ``id``) marks.
 
     Nearness is the inner product in double precision of the original vectors; ties go to the smaller id. A row without
