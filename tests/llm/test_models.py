@@ -1,0 +1,140 @@
+"""Classifiers by held-out accuracy and by hand-made chains; neighbours against brute force."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from riskweave.llm import neighbours, quality, toxicity
+from riskweave.llm.training import labelled_sample
+
+WORDS = ["".join(random.Random(i).choices("abcdefghijklmnop", k=6)) for i in range(300)]
+
+
+def labels(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def prose(rng, n=60):
+    return " ".join(rng.choices(WORDS, k=n)).capitalize() + "."
+
+
+def test_quality_ranks_held_out_rows(spark, docs):
+    rng = random.Random(1)
+    texts, marks = [], []
+    for i in range(160):
+        bad = i % 4 == 0
+        text = prose(rng)
+        texts.append(rng.choice([text.upper() + "!!", " ".join(w + "###" for w in text.split()), (text.split()[0] + " ") * 60]) if bad else text)
+        marks.append((i, int(not bad), 0))
+    model = quality.fit(labelled_sample(docs(texts), labels(spark, marks), "doc_id", "text", "quality", where=F.col("doc_id") < 100))
+    scores = {r.doc_id: r.s for r in docs([*texts, None, ""]).select("doc_id", model.score("text").alias("s")).collect()}
+    held = [(scores[i] >= 0.5) == bool(q) for i, q, _ in marks if i >= 100]
+    assert np.mean(held) > 0.95 and all(0 <= s <= 1 for s in scores.values())
+    assert scores[160] == scores[161]
+
+
+@pytest.mark.parametrize("marks", [[], [(0, 1, 0), (1, 1, 0)], [(None, 1, 0), (0, None, None), (1, 5, 7)]])
+def test_quality_without_two_labels(spark, docs, marks):
+    model = quality.fit(labelled_sample(docs(["a", "b", None]), labels(spark, marks), "doc_id", "text", "quality"))
+    assert {r.s for r in docs(["a", None]).select(model.score("text").alias("s")).collect()} == {0.5}
+
+
+def test_sample_is_bounded_and_clean(spark, docs):
+    marks = [(i, i % 2, 0) for i in range(50)] + [(1, 0, 0), (None, 1, 1)]
+    rows = labelled_sample(docs([None] * 50), labels(spark, marks), "doc_id", "text", "quality", rows=20).collect()
+    assert len(rows) == len({r.key for r in rows}) == 20 and {r.text for r in rows} == {""}
+    assert all(r.label == (0 if r.key == 1 else r.key % 2) for r in rows)
+
+
+@pytest.fixture(scope="module")
+def chain_rows():
+    rng = random.Random(3)
+    rows = []
+    for i in range(600):
+        text = prose(rng, 30)
+        toxic = i % 5 == 0
+        if toxic:
+            insult = rng.choice(["idiot", "moron", "scum", "lowei" + rng.choice(WORDS), "lowei" + rng.choice(WORDS)])
+            text = f"{insult} {text} {insult} {text}"
+        rows.append((text, int(toxic)))
+    return rows
+
+
+def test_toxicity_finds_words_and_beginnings(spark, docs, chain_rows):
+    marks = [(i, 0, y) for i, (_, y) in enumerate(chain_rows)]
+    chain = toxicity.fit(labelled_sample(docs([t for t, _ in chain_rows]), labels(spark, marks), "doc_id", "text", "toxic", where=F.col("doc_id") < 400))
+    assert {"idiot.", "lowei"} <= set(chain.weights) and chain.names == ("insult", "contempt", "toxic")
+    texts = [t for t, _ in chain_rows[400:]] + [None, "", "You LOWEIxyz!! loweiabc###", "IDIOT!!! you idiot"]
+    got = [r.p for r in docs(texts).select("doc_id", chain.probabilities("text").alias("p")).orderBy("doc_id").collect()]
+    found = [p.toxic >= chain.threshold for p in got]
+    assert np.mean([f == bool(y) for f, (_, y) in zip(found, chain_rows[400:])]) > 0.97
+    assert found[200:] == [False, False, True, True] and got[200] == got[201]
+    assert got[203].insult > got[202].insult
+    assert any(chain.before[2])  # the verdict looks at the categories
+
+
+def test_toxicity_without_labels(spark, docs):
+    chain = toxicity.fit(labelled_sample(docs(["a b", "c"]), labels(spark, []), "doc_id", "text", "toxic"))
+    assert all(r.p.toxic < chain.threshold for r in docs(["idiot", None]).select(chain.probabilities("text").alias("p")).collect())
+
+
+def test_near_copies_count_once(spark):
+    same = [f"w{i}." for i in range(50)]
+    rows = spark.createDataFrame([(1, same), (1, same), (0, same), (1, same[:20])], "label int, words array<string>")
+    assert toxicity.without_copies(rows).count() in (2, 3)
+
+
+# ---------------------------------------------------------------- neighbours
+
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("e", T.ArrayType(T.FloatType())), T.StructField("id", T.StringType())]))
+
+
+def brute(ids, points, k):
+    points = np.array(points, np.float32).astype(float)
+    out = {}
+    for i, q in zip(ids, points):
+        score = (points * q).sum(axis=1)
+        order = [j for j in np.lexsort((ids, -score)) if ids[j] != i][:k]
+        out[i] = [(ids[j], score[j]) for j in order]
+    return out
+
+
+def test_recall_and_exact_scores(spark):
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(3000, 12)) * rng.uniform(0.5, 3, size=(3000, 1))
+    points[500:1500] = points[7]  # a third of all vectors are one vector
+    ids = rng.permutation(3000)
+    got = neighbours.nearest_neighbours(vectors(spark, [(int(i), p.tolist(), "x") for i, p in zip(ids, points)]), "vec_id", "e", F.col("id") % 20 == 0, 10).collect()
+    want, hit = brute(ids, points, 10), 0
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append(r)
+    assert set(found) == {i for i in range(0, 3000, 20)}
+    for q, rows in found.items():
+        rows.sort(key=lambda r: r["rank"])
+        assert [r["rank"] for r in rows] == list(range(1, 11)) and q not in {r.id for r in rows}
+        assert [(-r.score, r.id) for r in rows] == sorted((-r.score, r.id) for r in rows)
+        hit += len({r.id for r in rows} & {i for i, _ in want[q]})
+    assert hit / len(found) / 10 >= 0.9
+    scores = dict(zip(ids, np.array(points, np.float32).astype(float)))
+    assert all(r.score == pytest.approx(float((scores[r.query_id] * scores[r.id]).sum()), abs=1e-12) for r in got)
+
+
+def test_unusable_vectors_and_few_rows(spark):
+    rows = [(0, [1.0, 0.0], "a"), (20, [0.0, 1.0], "b"), (3, [0.5, 0.5], "c"), (3, [0.5, 0.5], "c"), (40, None, "d"), (60, [0.0, 0.0], "e"), (80, [None, 1.0], "f"),
+            (100, [float("nan"), 1.0], "g"), (120, [float("inf"), 1.0], "h"), (None, [1.0, 1.0], "i"), (140, [], "j"), (160, [1.0], "k")]
+    got = neighbours.nearest_neighbours(vectors(spark, rows), "vec_id", "e", F.col("id") % 20 == 0, 20).collect()
+    assert sorted((r.query_id, r["rank"], r.id, r.score) for r in got) == [(0, 1, 3, 0.5), (0, 2, 20, 0.0), (20, 1, 3, 0.5), (20, 2, 0, 0.0)]
+    assert neighbours.nearest_neighbours(vectors(spark, []), "vec_id", "e", F.col("id") % 20 == 0).count() == 0
+
+
+def test_visits_reach_every_leaf_once():
+    tree = neighbours.Tree(np.random.default_rng(0).normal(size=(400, 5)), 4, 10)
+    order = tree.visits(np.zeros(5), tree.leaves)
+    assert sorted(order) == list(range(tree.leaves))
+    point = np.random.default_rng(1).normal(size=5)
+    assert tree.visits(point, 3)[0] == tree.assign(point[None])[0] and len(tree.visits(point, 3)) == 3
