@@ -28,11 +28,14 @@ def dense_layer(c: Column | str, weights: Sequence[Sequence[float]], bias: Seque
     """x · W + b; ``weights`` holds one row per input.
 
     Small layers become plain arithmetic, which compiles with the rest of the stage. Larger ones
-    would outgrow what the JVM compiles, so they fold over literal weight arrays.
+    would outgrow what the JVM compiles, so they fold over literal weight arrays. An input of another
+    length than ``weights`` raises in both.
     """
     if any(len(row) != len(bias) for row in weights):
         raise ValueError("every weight row needs one value per output")
     x = doubles(c)
+    wrong = F.size(x) != len(weights)
+    x = F.when(wrong, F.raise_error(F.lit(f"a layer of {len(weights)} inputs got another number of values"))).otherwise(x)
     outputs = []
     for j, b in enumerate(bias):
         column = [float(row[j]) for row in weights]

@@ -188,6 +188,11 @@ def hash_int(*keys: Column | str, seed: int | str) -> Column:
     return F.conv(F.substring(hash_key(*keys, seed=seed), 1, 8), 16, 10).cast("bigint")
 
 
+def hash_long(*keys: Column | str, seed: int | str) -> Column:
+    """A whole number in [0, 2^60) from the first fifteen hex digits, to draw from very many rows."""
+    return F.conv(F.substring(hash_key(*keys, seed=seed), 1, 15), 16, 10).cast("bigint")
+
+
 def hash_unit(*keys: Column | str, seed: int | str) -> Column:
     """A number in [0, 1)."""
     return hash_int(*keys, seed=seed) / F.lit(4294967296.0)

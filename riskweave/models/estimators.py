@@ -36,6 +36,7 @@ class PopulationScaler(Estimator):
         s = scaler_stats(dataset, self.cols).first()
         terms = [
             f"(CAST(`{c}` AS DOUBLE) - CAST({s[c]['mean']!r} AS DOUBLE)) / CAST({(s[c]['std'] or 1.0)!r} AS DOUBLE) AS `{c}{self.suffix}`"
+            if s[c]["mean"] is not None else f"CAST(0.0 AS DOUBLE) AS `{c}{self.suffix}`"  # nothing is known of the column
             for c in self.cols
         ]
         return SQLTransformer(statement=f"SELECT *, {', '.join(terms)} FROM __THIS__")

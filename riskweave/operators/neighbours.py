@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import hash_int, hash_key
+from ..functions.columns import hash_int, hash_key, hash_long
 from ..session import materialize
 from .ordering import dense_codes
 
@@ -115,10 +116,13 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, neighbour_id, distance): the exact k nearest corpus rows, ties by id.
 
-    Ids are whole numbers and all vectors have one length. The bytes of the queries are checked:
+    Ids are of any type that can be ordered, and all vectors have one length. The bytes of the queries are checked:
     up to ``max_scans`` blocks of ``block_bytes`` are broadcast, one corpus scan each; more queries
     than that are routed to cells. ``exclude_self`` leaves out the corpus row with the query's id.
     """
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    if not all(isinstance(d.schema[c].dataType, whole) for d, c in ((queries, query_id), (corpus, corpus_id))):
+        return _by_number(queries, corpus, k, query_id, corpus_id, vector, exclude_self, block_bytes, max_scans)
     spark = corpus.sparkSession
     fetch = k + 1 if exclude_self else k
     scanned = corpus.where(F.col(vector).isNotNull()).select(
@@ -137,6 +141,19 @@ def nearest(
     return _ranked(hits, query_id, k)
 
 
+def _by_number(queries, corpus, k, query_id, corpus_id, vector, exclude_self, block_bytes, max_scans) -> DataFrame:
+    """The search on dense numbers in the order of the ids, so ties stay ties by id."""
+    ids = corpus.select(F.col(corpus_id).alias("value")).union(queries.select(F.col(query_id).alias("value")))
+    numbers = materialize(dense_codes(ids, "value"))
+    of = lambda d, c: d.join(numbers, F.col(c) == F.col("value")).select(F.col("code").alias("_id"), vector)
+    hits = nearest(of(queries, query_id).withColumnRenamed("_id", "_query"), of(corpus, corpus_id), k, "_query", "_id", vector,
+                   exclude_self, block_bytes, max_scans)
+    names = lambda code, name: numbers.select(F.col("code").alias(code), F.col("value").alias(name))
+    hits = hits.withColumnRenamed("neighbour_id", "_found")
+    return hits.join(names("_query", query_id), "_query").join(names("_found", "neighbour_id"), "_found").select(
+        query_id, "rank", "neighbour_id", "distance")
+
+
 def _ranked(hits: DataFrame, query: str, k: int) -> DataFrame:
     """The k best per query; Spark drops rows beyond k per task before it shuffles them."""
     w = Window.partitionBy(query).orderBy("distance", "neighbour_id")
@@ -311,7 +328,7 @@ def smote(
     numbered = dense_codes(small, "id").join(small.withColumnRenamed("id", "value"), "value")
 
     draws = df.sparkSession.range(need).select(
-        (hash_int("id", F.lit("base"), seed=seed) % few).alias("code"),
+        (hash_long("id", F.lit("base"), seed=seed) % few).alias("code"),
         (hash_int("id", F.lit("near"), seed=seed) % k + 1).cast("int").alias("rank"),
         (hash_int("id", F.lit("step"), seed=seed) / F.lit(4294967296.0)).alias("u"))
     other = small.select(F.col("id").alias("neighbour_id"), F.col("embedding").alias("other"))

@@ -41,8 +41,10 @@ def numeric_matrix(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     return df.select(*cols).fillna(0, cols)
 
 
-def value_counts(df: DataFrame, col: str) -> DataFrame:
-    return df.groupBy(col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc(col))
+def value_counts(df: DataFrame, col: str, keep_null: bool = False) -> DataFrame:
+    """Rows per value, commonest first. NULL is no value unless asked for."""
+    rows = df if keep_null else df.where(F.col(col).isNotNull())
+    return rows.groupBy(col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc(col))
 
 
 def distinct_keys(df: DataFrame, *cols: str) -> DataFrame:
@@ -168,11 +170,11 @@ def quantile_tiers(
 def user_stats(
     df: DataFrame, key: str, amount: str, devices: str | None = None, prefix: str = "user"
 ) -> DataFrame:
-    """Mean amount, row count and largest device-change count per key, combined map-side."""
+    """Mean amount, row count and largest device-change count per key, combined map-side. NULL is no key."""
     aggs = [F.avg(amount).alias(f"{prefix}_mean_order"), F.count(key).alias(f"{prefix}_order_count")]
     if devices and devices in df.columns:
         aggs.append(F.max(devices).alias(f"{prefix}_device_changes"))
-    return df.groupBy(key).agg(*aggs)
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
 
 
 def attach_group_stats(
@@ -185,9 +187,9 @@ def attach_group_stats(
 
 
 def segment_risk(df: DataFrame, key: str, flag: str) -> DataFrame:
-    """Mean flag per segment, riskiest first."""
+    """Mean flag per segment, riskiest first. NULL is no segment."""
     return (
-        df.groupBy(key).agg(F.avg(F.col(flag).cast("double")).alias("risk"), F.count("*").alias("n"))
+        df.where(F.col(key).isNotNull()).groupBy(key).agg(F.avg(F.col(flag).cast("double")).alias("risk"), F.count("*").alias("n"))
         .orderBy(F.desc("risk"), F.asc(key))
     )
 

@@ -3,19 +3,13 @@ depend on partitioning, row order or retries, and needs no shuffle."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_column, hash_int, hash_key
+from ..functions.columns import hash_int, hash_key
 from ..session import small_side
 
 
-def _names(cols: Sequence[Column | str]) -> list[Column]:
-    return [as_column(c) for c in cols]
-
-
 def random_split(df: DataFrame, key: str, frac: float = 0.2, seed: int = 42, out: str = "is_test") -> DataFrame:
     """Mark about ``frac`` of the rows."""
     return df.withColumn(out, (hash_int(key, seed=seed) < F.lit(round(frac * 4294967296))).cast("int"))
@@ -45,7 +39,8 @@ def kfold(df: DataFrame, key: str, k: int = 3, seed: int = 42, out: str = "fold"
 def stratified_split(
     df: DataFrame, key: str, label: str, frac: float = 0.2, seed: int = 42, out: str = "is_test"
 ) -> DataFrame:
-    """Mark exactly ``round(frac * n)`` rows of every class: those with the smallest hashes.
+    """Mark exactly ``round(frac * n)`` rows of every class: those with the smallest hashes. Rows that
+    repeat a key are drawn together; if that makes the number unreachable, the query fails.
 
     No class is ever sorted as a whole. Rows are counted per class and leading hash digits
     (4096 slots); only the slot in which the quota runs out is ranked, which yields one hash
@@ -68,8 +63,9 @@ def stratified_split(
     thresholds = (
         # at most one edge slot per class
         rows.join(edge, F.col("_label").eqNullSafe(F.col("_elabel")) & (F.col("_slot") == F.col("_eslot")))
-        .withColumn("_rank", F.row_number().over(inside))
+        .withColumns({"_rank": F.row_number().over(inside), "_next": F.lead("_h").over(inside)})
         .where(F.col("_rank") == F.col("_left"))
+        .withColumn("_h", F.when(F.col("_h") == F.col("_next"), F.raise_error(F.lit("the quota ends between rows of one key"))).otherwise(F.col("_h")))
         .select(F.col("_elabel").alias("_label"), F.col("_h").alias("_last"))
     )
     return (

@@ -28,7 +28,7 @@ def split_by_key_size(
     The count combines map-side. Heavy keys are few (rows / key_rows at most); they are written
     once so both branches agree on them, and Spark picks the join from their actual size.
     """
-    counts = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > key_rows).select(key)
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > key_rows).select(key)
     if not counts.take(1):
         return light(df)
     hot = materialize(counts)
@@ -50,8 +50,10 @@ def sliding_sequences(
     ``seq`` holds the run in order. Keys with at most ``length`` rows give nothing.
 
     ``slice_by`` is a coarse value that never falls along ``order`` (a month of the order date,
-    say). Keys beyond ``key_rows`` rows are worked on slice by slice.
+    say). Keys beyond ``key_rows`` rows are worked on slice by slice; rows without a slice come first.
+    Rows without a key belong to no sequence.
     """
+    df = df.where(F.col(key).isNotNull())
     if slice_by is None:
         return _slide(df, key, order, features, length, None)
     return split_by_key_size(
@@ -80,8 +82,9 @@ def _slide(df, key, order, features, length, slice_by) -> DataFrame:
         # A slice holds at least one row, so `length` earlier slices hold every cell needed.
         # The last slice of the key looks back the same way, hence the frame ends before it.
         earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(-length, -1)
-        carried = ends.select(key, "_slice", F.flatten(F.collect_list("_tail").over(earlier)).alias("_carry"))
-        rows = rows.join(carried, [key, "_slice"], "left")
+        carried = ends.select(F.col(key).alias("_carry_key"), F.col("_slice").alias("_carry_slice"),
+                              F.flatten(F.collect_list("_tail").over(earlier)).alias("_carry"))
+        rows = rows.join(carried, (F.col(key) == F.col("_carry_key")) & F.col("_slice").eqNullSafe(F.col("_carry_slice")), "left")
         rows = rows.withColumn("_here", F.concat(F.col("_carry"), F.col("_here")))
     return (
         rows.where(F.size("_here") >= length)
@@ -96,7 +99,7 @@ def next_step_label(on_time: Column) -> Column:
 
 
 def min_history(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """Keep keys with at least ``rows`` rows: counts combine map-side, then a semi join."""
+    """Keep non-NULL keys with at least ``rows`` rows: counts combine map-side, then a semi join."""
     enough = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= rows)
     return df.join(enough, key, "left_semi")
 
@@ -135,7 +138,9 @@ def velocity_counts(
     micros = micros_of(ts, dict(df.dtypes)[ts] == "timestamp")
 
     def ranged(d: DataFrame) -> DataFrame:
-        per_key = Window.partitionBy(key).orderBy(micros)
+        # Rows without a key need no frame; a hash keeps them from meeting in one task.
+        spread = F.when(F.col(key).isNull(), F.xxhash64(*d.columns))
+        per_key = Window.partitionBy(key, spread).orderBy(micros)
         known = F.col(ts).isNotNull() & F.col(key).isNotNull()
         return d.select("*", *[
             F.when(known, F.count("*").over(per_key.rangeBetween(-s * 1_000_000, 0))).alias(name)

@@ -74,13 +74,16 @@ def _lookup(spark, known: pa.Table):
 
 
 def _join_ids(df: DataFrame, key: str, words: Column, vocabulary: DataFrame) -> DataFrame:
-    tokens = df.select(F.col(key), F.posexplode_outer(words).alias("pos", "word"))
+    """Rows that repeat both key and words have equal ids: they are put together once and then repeated."""
+    rows = df.select(F.col(key), words.alias("_words")).withColumn("_text", F.sha2(F.array_join("_words", " "), 256))
+    tokens = rows.select(key, "_text", F.posexplode_outer("_words").alias("pos", "word"))
     return (
         tokens.join(vocabulary.select("word", "word_id"), "word", "left")
-        .select(key, F.when(F.col("pos").isNotNull(), F.struct(
+        .select(key, "_text", F.coalesce("pos", F.lit(0)).alias("pos"), F.when(F.col("pos").isNotNull(), F.struct(
             "pos", F.coalesce("word_id", F.lit(OOV_ID)).alias("id"))).alias("e"))
-        .groupBy(key).agg(F.sort_array(F.collect_list("e")).alias("e"))  # the words of one text
-        .select(key, F.transform("e", lambda s: s["id"]).alias("ids"))
+        .groupBy(key, "_text").agg(F.sort_array(F.collect_set("e")).alias("e"), F.count_if(F.col("pos") == 0).alias("_n"))
+        .select(key, F.transform("e", lambda s: s["id"]).alias("ids"), F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
+        .drop("_copy")
     )
 
 

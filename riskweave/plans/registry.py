@@ -39,6 +39,6 @@ def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in QUERIES.items() if sql}
 
 
-def hash_sql(key: str, seed: object) -> str:
-    """SQL twin of ``hash_int``."""
-    return f"('0x' || substr(md5({key} || ':{seed}'), 1, 8))::BIGINT"
+def hash_sql(key: str, seed: object, digits: int = 8) -> str:
+    """SQL twin of ``hash_int``; with 15 digits of ``hash_long``."""
+    return f"('0x' || substr(md5({key} || ':{seed}'), 1, {digits}))::BIGINT"

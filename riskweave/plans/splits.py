@@ -52,7 +52,7 @@ size AS (SELECT count(*) FILTER (quality = 0) AS few, count(*) - 2 * count(*) FI
 near AS (SELECT a.doc_id AS id, b.n_chars, b.n_lines,
                 row_number() OVER (PARTITION BY a.doc_id ORDER BY (a.n_chars - b.n_chars) ** 2 + (a.n_lines - b.n_lines) ** 2, b.doc_id) AS rank
          FROM m a JOIN m b ON a.doc_id <> b.doc_id),
-draw AS (SELECT {hash_sql("i || ':base'", 30)} % few AS code, {hash_sql("i || ':near'", 30)} % LEAST(5, few - 1) + 1 AS rank,
+draw AS (SELECT {hash_sql("i || ':base'", 30, 15)} % few AS code, {hash_sql("i || ':near'", 30)} % LEAST(5, few - 1) + 1 AS rank,
                 {hash_sql("i || ':step'", 30)} / 4294967296.0::DOUBLE AS u
          FROM (SELECT unnest(range(need)) AS i, few FROM size))
 SELECT doc_id, quality, n_chars, n_lines, 0 AS synthetic FROM d

@@ -45,12 +45,13 @@ c AS (SELECT conv_id, turn, {WORDS.format(x=CLEAN)} AS w FROM conversations),
 e AS (SELECT conv_id, turn, unnest(w) AS word, unnest(range(len(w))) AS pos FROM c)
 SELECT conv_id, turn, string_agg(COALESCE(word_id, 1)::VARCHAR, ' ' ORDER BY pos) AS ids
 FROM e LEFT JOIN vocab ON e.word = vocab.word GROUP BY conv_id, turn
+UNION ALL SELECT conv_id, turn, '' FROM c WHERE coalesce(len(w), 0) = 0
 """)
 def encode_tokens(t):
-    """Vocabulary from the documents, applied to every word of every message."""
+    """Vocabulary from the documents, applied to every word of every message; messages without words stay."""
     turns = t.conversations.withColumn("key", F.struct("conv_id", "turn"))
     ids = words.encode_tokens(turns, "key", "text", words.fit_vocabulary(t.documents, "text"))
-    return ids.where(F.size("ids") > 0).select(
+    return ids.select(
         "key.conv_id", "key.turn", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 

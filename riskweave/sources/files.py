@@ -19,14 +19,20 @@ STORED_ANSWERS = "`Question` string, `Model Response` string, `Label (Fill later
 IMAGE_STARTS = {"jpeg": "FFD8FF", "png": "89504E470D0A1A0A", "gif": "47494638", "bmp": "424D"}
 
 
+# A missing value is an empty field without quotes, an empty text one with quotes. Spark takes both for
+# missing as long as the empty text itself stands for a missing value, so the readers name one that no file holds.
+NO_TEXT = "\x00"
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("nullValue", NO_TEXT).csv(path)
 
 
 def read_csv_multiline(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """Quoted values may span lines. Such a file cannot be split, so keep one to a moderate size
     and give many files for many rows."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option(
+        "nullValue", NO_TEXT).csv(path)
 
 
 def normalize_columns(df: DataFrame) -> DataFrame:
@@ -34,17 +40,18 @@ def normalize_columns(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Quotes inside values are doubled, so the readers above get back what was written; an empty
-    text and a missing one both come back as missing."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Quotes inside values are doubled, so the readers above get back what was written."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """Missing values are written as null."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def as_json(df: DataFrame, out: str = "record") -> DataFrame:
-    return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias(out))
+    return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias(out))
 
 
 def write_report(blocks: DataFrame, path: str, column: str = "block") -> None:

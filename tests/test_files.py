@@ -17,14 +17,14 @@ def test_multiline_answers_round_trip(spark, tmp_path):
     df = spark.createDataFrame(answers, files.STORED_ANSWERS)
     files.write_csv(df, str(tmp_path / "out"))
     got = files.read_csv_multiline(spark, str(tmp_path / "out"), files.STORED_ANSWERS)
-    assert {r[0]: r[1] for r in got.collect()} == {"Q1": 'line one\nline "two", end', "Q2": None, "Q3": None}
+    assert {r[0]: r[1] for r in got.collect()} == {"Q1": 'line one\nline "two", end', "Q2": "", "Q3": None}
 
 
 def test_json_and_report(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "i int, s string")
     files.write_json(df, str(tmp_path / "j"))
     assert sorted(map(tuple, spark.read.schema("i int, s string").json(str(tmp_path / "j")).collect())) == [(1, "a"), (2, None)]
-    assert [r[0] for r in files.as_json(df).orderBy("record").collect()] == ['{"i":1,"s":"a"}', '{"i":2}']
+    assert [r[0] for r in files.as_json(df).orderBy("record").collect()] == ['{"i":1,"s":"a"}', '{"i":2,"s":null}']
     files.write_report(spark.createDataFrame([("x\ny",)], "block string"), str(tmp_path / "r"))
     assert [r[0] for r in spark.read.text(str(tmp_path / "r")).collect()] == ["x", "y"]
 
