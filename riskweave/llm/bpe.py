@@ -214,25 +214,37 @@ class _Memo(dict):
         return ids
 
 
+class _Texts:
+    """Encodes whole texts to the bytes of 32-bit ids; null stays null. What it builds for that stays with the task."""
+
+    def __init__(self, merges: Merges, pattern: str):
+        self.merges, self.pattern, self.split, self.memo = merges, pattern, None, None
+
+    def __call__(self, text: str | None) -> bytes | None:
+        if self.split is None:
+            self.split, self.memo = Splitter(self.pattern), _Memo(Encoder(self.merges))
+        return None if text is None else b"".join(map(self.memo.__getitem__, self.split(text)))
+
+
+def _lists(rows: list[bytes | None]) -> pa.ListArray:
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(r) // 4 if r else 0 for r in rows], out=offsets[1:])
+    values = np.frombuffer(b"".join(r for r in rows if r), np.int32)
+    mask = pa.array([r is None for r in rows]) if None in rows else None
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=mask)
+
+
 def encode(text: str | Column, vocabulary: str, pattern: str) -> Column:
     """Token ids (array of int) of whole texts: every match of ``pattern`` is encoded by itself, no special tokens.
 
     ``vocabulary`` is the path of a rank file, read on the driver. Null gives null, an empty text no ids, equal texts
     equal ids; a text may be of any length.
     """
-    merges, state = load_merges(vocabulary), {}
+    encoder = _Texts(load_merges(vocabulary), pattern)
 
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:
-        if not state:
-            state["split"], state["memo"] = Splitter(pattern), _Memo(Encoder(merges))
-        split, known = state["split"], state["memo"].__getitem__
-        rows = [None if (t := x.as_py()) is None else b"".join(map(known, split(t))) for x in texts]
-        offsets = np.zeros(len(rows) + 1, np.int32)
-        np.cumsum([len(r) // 4 if r else 0 for r in rows], out=offsets[1:])
-        values = np.frombuffer(b"".join(r for r in rows if r), np.int32)
-        mask = pa.array([r is None for r in rows]) if texts.null_count else None
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=mask)
+        return _lists([encoder(x.as_py()) for x in texts])
 
     # The slice is the whole array. It stands between this function and those that take the ids: Spark would else run
     # both as one chain, and this one again for every such chain.
@@ -259,6 +271,32 @@ def decode(ids: str | Column, vocabulary: str) -> Column:
     return bytes_of(ids)
 
 
+def encode_and_decode(text: str | Column, vocabulary: str, pattern: str) -> Column:
+    """Struct of ids, decoded (binary) and digest (see ``ids_digest``), as ``encode``, ``decode`` and ``ids_digest`` give
+    them, in one Python worker per task: half the memory of two functions that follow each other. Null gives nulls."""
+    merges = load_merges(vocabulary)
+    encoder, tokens = _Texts(merges, pattern), merges.tokens
+    names = list(map(str, range(len(tokens))))
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary,digest:string>")
+    def both(texts: pa.Array) -> pa.Array:
+        coded, decoded, digests = [], [], []
+        for x in texts:
+            coded.append(encoder(x.as_py()))
+            if coded[-1] is None:
+                decoded.append(None)
+                digests.append(None)
+                continue
+            ids = array("i", coded[-1]).tolist()
+            decoded.append(b"".join(map(tokens.__getitem__, ids)))
+            digests.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
+        columns = [_lists(coded)]
+        del coded
+        return pa.StructArray.from_arrays([*columns, pa.array(decoded, pa.binary()), pa.array(digests, pa.string())], ["ids", "decoded", "digest"])
+
+    return both(text)
+
+
 def ids_digest(ids: str | Column) -> Column:
     """SHA-256, in hex, of the decimal ids joined by commas; null for null."""
 

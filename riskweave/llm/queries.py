@@ -41,10 +41,10 @@ BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 @query("op1_bpe")
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "documents").select("doc_id", bpe.encode(text_of("text"), BPE, public_tokenizers.PATTERN).alias("ids"))
-    rows = rows.withColumn("decoded", bpe.decode("ids", BPE))
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest("ids").alias("ids_sha256"),
-                       sha256("decoded").alias("decoded_sha256"))
+    rows = table(spark, folder, "documents").select(
+        "doc_id", bpe.encode_and_decode(text_of("text"), BPE, public_tokenizers.PATTERN).alias("t"))
+    return rows.select("doc_id", F.size("t.ids").cast("long").alias("n_tokens"), F.col("t.digest").alias("ids_sha256"),
+                       sha256("t.decoded").alias("decoded_sha256"))
 
 
 @query("op3_secrets")

@@ -62,12 +62,13 @@ def test_long_piece_is_linear_and_round_trips(encoder, merges):
 
 def test_columns(docs, library):
     rows = docs(ODD).withColumn("ids", bpe.encode("text", PATH, P.PATTERN)).withColumn("back", bpe.decode("ids", PATH)).withColumn(
-        "digest", bpe.ids_digest("ids")).collect()
+        "digest", bpe.ids_digest("ids")).withColumn("t", bpe.encode_and_decode("text", PATH, P.PATTERN)).collect()
     for r, text in zip(sorted(rows, key=lambda r: r.doc_id), ODD):
         if text is None:
-            assert r.ids is None and r.back is None and r.digest is None
+            assert r.ids is None and r.back is None and r.digest is None and tuple(r.t) == (None, None, None)
         else:
             want = library.encode_ordinary(text)
+            assert r.t.ids == want and bytes(r.t.decoded) == text.encode() and r.t.digest == r.digest
             assert r.ids == want and bytes(r.back) == text.encode()
             assert r.digest == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
 
