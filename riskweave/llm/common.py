@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT_SHARE = 1000  # a key is hot when it holds more than one row in so many; at most so many keys can
 HOT_ROWS = 1000  # and never below so many rows
 
+BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Lets at most BATCH_ROWS texts travel to Python at once. Spark's default of 10,000 long texts, with what functions
+    make of them, takes hundreds of megabytes per worker. A smaller setting of the session stays."""
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return spark
+
 
 def text_of(column: str | Column) -> Column:
     """The text, with null read as the empty text."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from . import bpe, exact, mixing, neighbours, quality, secrets, simhash, tokens, toxicity, warc
-from .common import text_of
+from .common import bounded_batches, text_of
 from .training import labelled_sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return bounded_batches(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def sha256(column) -> F.Column:
