@@ -1,23 +1,26 @@
 """Models: fitted on whole tables, checked by their numbers.
 
-Tree counts here are kept small so that a run takes seconds; they are parameters of the estimators.
+Fraud models, importances and the scoring run use the full tree counts. The value models, the grid, the attributions and
+the late-payment model use fewer trees than the estimators' defaults, so that a run takes seconds.
 """
 
 import uuid
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
-from ..functions.columns import relative_deviation, weekday_of
+from ..functions.columns import hash_int, relative_deviation, weekday_of
 from ..models import estimators as E
 from ..models import explain, isolation, store
 from ..operators import answers, metrics, neighbours, ordering, prepare, profile, sampling
 from ..operators import sequences as S
 from ..session import cached, shared_dir
+from ..sources import files
 from . import sequences as seq_plans
 from .columns import device_changes
 from .profiling import rounded, spend
-from .registry import query
+from .registry import hash_sql, query
+from .texts import CLEAN, WORDS
 
 CLV_NUM = ["c_acctbal", "n_orders", "mean_order", "churn"]
 CLV_CAT = ["c_mktsegment"]
@@ -78,10 +81,23 @@ def grid_search(t):
 FRAUD_NUM = ["o_totalprice", "user_mean_order", "user_order_count", "user_device_changes", "order_value_deviation", "order_weekday"]
 
 
+FRAUD_SQL = f"""
+WITH f AS (SELECT o_orderkey, ((o_totalprice > 250000 OR o_totalprice > 150000 AND isodow(o_orderdate) >= 6)
+                               <> ({hash_sql('o_orderkey', 'noise')} < 85899346))::INT AS label FROM orders),
+held AS (SELECT sum(q)::BIGINT AS n FROM (SELECT floor(0.2 * count(*) + 0.5) AS q FROM f GROUP BY label))
+"""
+
+
+def fraud_label():
+    """Dear orders, less dear ones at weekends, and two percent of noise."""
+    rule = (F.col("o_totalprice") > 250000) | ((F.col("o_totalprice") > 150000) & (weekday_of("o_orderdate") >= 5))
+    return (rule != (hash_int("o_orderkey", seed="noise") < 85899346)).cast("int")
+
+
 def fraud_rows(t):
-    """Orders with behavioural features; a pending status stands for fraud."""
+    """Orders with behavioural features and a label that follows from some of them."""
     rows = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", device_changes().alias("devices"),
-                           (F.col("o_orderstatus") == "P").cast("int").alias("label"))
+                           fraud_label().alias("label"))
     # Split first: the draw needs only key and label, so its passes read two columns of the orders.
     rows = sampling.stratified_split(rows, "o_orderkey", "label", 0.2, 42)
     rows = profile.attach_group_stats(rows, "o_custkey", "o_totalprice", "devices")
@@ -98,13 +114,19 @@ def fitted_fraud(t, *estimators):
         return [est(ready).fit(ready) for est in estimators], ready, test
 
 
-@query("fraud_models")
+@query("fraud_models", FRAUD_SQL + """
+SELECT model, n, true AS auc_holds, true AS f1_holds FROM held, (VALUES ('Logistic regression'), ('Random forest'), ('Boosted trees')) m(model)
+""")
 def fraud_models(t):
+    """Held-out rows per model, and whether AUC and F1 reach what the label's noise allows (a linear model less)."""
     fitted, _, test = fitted_fraud(
-        t, lambda d: E.logistic_regression(d.count()), lambda d: E.random_forest_classifier(trees=20, depth=6, weight="weight"),
-        lambda d: E.gbt_classifier(rounds=10, depth=4, weight="weight"))
+        t, lambda d: E.logistic_regression(d.count()), lambda d: E.random_forest_classifier(weight="weight"),
+        lambda d: E.gbt_classifier(weight="weight"))
     names = ["Logistic regression", "Random forest", "Boosted trees"]
-    return metrics.compare_models({n: E.classifier_metrics(E.score(m, test)) for n, m in zip(names, fitted)})
+    table = metrics.compare_models({n: E.classifier_metrics(E.score(m, test)) for n, m in zip(names, fitted)})
+    tree = F.col("model") != "Logistic regression"
+    return table.select("model", "n", (F.col("auc") > F.when(tree, 0.93).otherwise(0.85)).alias("auc_holds"),
+                        (F.col("f1") > F.when(tree, 0.85).otherwise(0.7)).alias("f1_holds"))
 
 
 @query("smote_logistic")
@@ -122,31 +144,53 @@ def smote_logistic(t):
     return E.classifier_metrics(E.score(model, test))
 
 
-@query("score_applicants")
+@query("score_applicants", """
+SELECT o_orderkey, model, true AS bucket_fits FROM orders, (VALUES ('Linear Regression'), ('Random Forest')) m(model)
+""")
 def score_applicants(t):
-    train, test = parts(fraud_rows(t))
+    """Every order under both models; the bucket has to follow from the probability."""
+    rows = fraud_rows(t)
+    train, _ = parts(rows)
     stages = E.preprocess_stages(FRAUD_NUM)
     with cached(train):
         models = {
             "Linear Regression": Pipeline(stages=[*stages, E.linear_regression()]).fit(train),
-            "Random Forest": Pipeline(stages=[*stages, E.random_forest_classifier(trees=20, depth=6)]).fit(train)}
-    return E.score_applicants(test, models, "o_orderkey")
+            "Random Forest": Pipeline(stages=[*stages, E.random_forest_classifier()]).fit(train)}
+    scored = E.score_applicants(rows, models, "o_orderkey")
+    p = F.col("default_probability")
+    low, high = (F.col("risk_bucket") == b for b in ("Accept", "Reject"))
+    # Probabilities are rounded to three digits, buckets come from the unrounded ones.
+    fits = p.between(0, 1) & ((p < 0.3) <= low) & (low <= (p <= 0.3005)) & ((p > 0.6005) <= high) & (high <= (p >= 0.6))
+    return scored.select("o_orderkey", "model", fits.alias("bucket_fits"))
 
 
-@query("score_orders")
+@query("score_orders", """
+SELECT o_orderkey, true AS proba_in_range, true AS flag_follows, true AS iso_in_range FROM orders
+""")
 def score_orders(t):
-    """Scoring run: probability, flag and anomaly score per order. Features are scaled once, with the
-    statistics of the training rows; trees do not mind the scale."""
-    train, test = parts(fraud_rows(t))
-    stats = prepare.scaler_stats(train, FRAUD_NUM)
-    train, test = (prepare.apply_scaler(d, stats, FRAUD_NUM) for d in (train, test))
+    """Scoring run: model, scaler and isolation forest are saved, loaded, applied to every order, and the result is
+    written as CSV and read back."""
+    rows = fraud_rows(t)
+    train, _ = parts(rows)
+    scaled = [f"{c}_z" for c in FRAUD_NUM]
+    place = f"{shared_dir(t.spark)}/scoring-{uuid.uuid4().hex}"
     with cached(train):
-        model = Pipeline(stages=[*E.preprocess_stages(FRAUD_NUM, scale=False), E.gbt_classifier(rounds=10, depth=4)]).fit(train)
-        forest = isolation.fit_isolation_forest(train, "o_orderkey", FRAUD_NUM, trees=50)
-    return store.score_batch(test, model, forest).select("o_orderkey", "proba", "flag", "iso_score", "iso_flag")
-
-
-@query("model_reload")
+        model = Pipeline(stages=[*E.preprocess_stages(FRAUD_NUM), E.gbt_classifier()]).fit(train)
+        forest = isolation.fit_isolation_forest(model.transform(train).select("o_orderkey", *scaled), "o_orderkey", scaled, trees=200)
+    store.save_model(model, f"{place}/model")
+    forest.save(f"{place}/forest")
+    model, forest = store.load_model(f"{place}/model"), isolation.IsolationForestModel.load(t.spark, f"{place}/forest")
+    ready = model.stages[0].transform(rows)
+    scored = store.score_batch(ready, PipelineModel(stages=model.stages[1:]), forest)
+    scored = scored.select("o_orderkey", "proba", "flag", "iso_score", "iso_flag")
+    files.write_csv(scored, f"{place}/scores")
+    back = files.read_csv(t.spark, f"{place}/scores", scored.schema)
+    return back.select("o_orderkey", F.col("proba").between(0, 1).alias("proba_in_range"),
+                       ((F.col("proba") >= 0.5) == (F.col("flag") == 1)).alias("flag_follows"),
+                       (F.col("iso_score").between(0, 1) & F.col("iso_flag").isin(0, 1)).alias("iso_in_range"))
+
+
+@query("model_reload", FRAUD_SQL + "SELECT n, 0::BIGINT AS n_different FROM held")
 def model_reload(t):
     """Save a fitted model, load it again and count the orders it scores differently (none)."""
     train, test = parts(fraud_rows(t))
@@ -156,18 +200,22 @@ def model_reload(t):
     return store.compare_scores(model, store.load_model(path), test)
 
 
-@query("isolation_forest")
+@query("isolation_forest", "SELECT o_orderkey, true AS score_in_range, true AS flag_is_binary FROM orders")
 def isolation_forest(t):
     rows = fraud_rows(t)
     scaled = prepare.standard_scale(rows, FRAUD_NUM)
     forest = isolation.fit_isolation_forest(scaled, "o_orderkey", FRAUD_NUM, trees=200)
-    return forest.flag(scaled).select("o_orderkey", "iso_score", "iso_flag")
+    return forest.flag(scaled).select("o_orderkey", F.col("iso_score").between(0, 1).alias("score_in_range"),
+                                      F.col("iso_flag").isin(0, 1).alias("flag_is_binary"))
 
 
-@query("importance")
+@query("importance", "SELECT 6::BIGINT AS n, 1.0::DOUBLE AS total, 'o_totalprice' AS first")
 def importance(t):
-    (forest,), ready, _ = fitted_fraud(t, lambda d: E.random_forest_classifier(trees=20, depth=6))
-    return explain.feature_importance(t.spark, forest, E.feature_names(ready))
+    """Number and sum of the importances, and the most important feature, which the label's rule names."""
+    (forest,), ready, _ = fitted_fraud(t, lambda d: E.random_forest_classifier())
+    table = explain.feature_importance(t.spark, forest, E.feature_names(ready))
+    name, value = table.columns
+    return table.agg(F.count("*").alias("n"), F.round(F.sum(value), 9).alias("total"), F.regexp_replace(F.max_by(name, value), "_z$", "").alias("first"))
 
 
 @query("coefficients")
@@ -234,11 +282,12 @@ def intent_model(t):
     return metrics.classification_report(scored, "label", "prediction")
 
 
-@query("embed_text")
+@query("embed_text", f"SELECT doc_id, (len({WORDS.format(x=CLEAN)}) > 0)::INT::DOUBLE AS length FROM documents")
 def embed_text(t):
     model = E.fit_embedder(t.documents, "text", dim=64)
     vectors = E.embed_text(model, t.documents.select("doc_id", "text"), "text")
-    return vectors.select("doc_id", "embedding")
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    return vectors.select("doc_id", F.round(F.sqrt(square), 6).alias("length"))
 
 
 @query("grounded_questions")

@@ -11,8 +11,11 @@ from check import compare
 from riskweave import plans
 
 FOLDER = "/root/testdata/sf0.001"
-MODELS = {"clv_models", "grid_search", "fraud_models", "smote_logistic", "score_applicants", "score_orders", "isolation_forest",
-          "importance", "coefficients", "model_reload", "grounded_questions", "tree_shap", "late_payment_model", "intent_model", "embed_text"}
+MODELS = {"clv_models", "grid_search", "smote_logistic", "coefficients", "grounded_questions", "tree_shap", "late_payment_model", "intent_model"}
+# Fitted while the query is built; what remains in the plan walks isolation trees or scores.
+# Full-size fits take minutes; check.py compares these on sf0.01.
+SLOW = {"fraud_models", "score_applicants", "score_orders", "importance"}
+FITTED = {"fraud_models", "score_applicants", "score_orders", "isolation_forest", "importance", "model_reload", "embed_text"}
 # Python is used only where vectors are searched, words looked up, trees grown or walked.
 PYTHON = {"encode_tokens", "encode_pad", "retrieve_topk", "context_prompt", "confusion_multiclass", "smote"}
 # Windows over a whole table whose size was checked or is fixed by a limit.
@@ -27,12 +30,12 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(set(plans.oracle_sql()) - SLOW))
 def test_matches_sql(spark, con, name):
     assert compare(spark, FOLDER, con, name).startswith("ok")
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.queries()) - MODELS))
+@pytest.mark.parametrize("name", sorted(set(plans.queries()) - MODELS - FITTED))
 def test_plan_shape(spark, name):
     plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
