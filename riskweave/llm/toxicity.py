@@ -113,7 +113,9 @@ def held_marks(text: str | Column, vocabulary: Sequence[str]) -> Column:
 def without_copies(rows: DataFrame) -> DataFrame:
     """Near copies count once: rows whose three smallest word hashes and labels agree are taken for one."""
     mark = F.slice(F.array_sort(F.transform("words", lambda w: F.xxhash64(w))), 1, 3)
-    return rows.withColumn("mark", mark).dropDuplicates(["mark", "label"]).drop("mark")
+    rest = [c for c in rows.columns if c not in ("key", "label")]
+    first = F.min(F.struct("key", *rest)).alias("row")  # the same one in every run
+    return rows.groupBy(mark.alias("mark"), "label").agg(first).select("label", *[F.col(f"row.{c}").alias(c) for c in ("key", *rest)])
 
 
 def telling_words(rows: DataFrame, limit: int = WORDS) -> list[str]:
@@ -144,13 +146,14 @@ def fit(sample: DataFrame, categories: Mapping[str, Sequence[str]] = CATEGORIES,
     nothing depends on it.
     """
     names = (*categories, "toxic")
-    rows = sample.select("label", "text", words("text").alias("words"), F.pmod(F.xxhash64("key"), F.lit(folds)).cast("int").alias("fold"))
+    rows = sample.select("key", "label", "text", words("text").alias("words"), F.pmod(F.xxhash64("key"), F.lit(folds)).cast("int").alias("fold"))
     rows = materialize(without_copies(rows))
     vocabulary = telling_words(rows)
     belongs = [(F.col("label") * F.arrays_overlap("words", F.array(*[F.lit(f"{s}.") for s in seeds])).cast("int")).alias(f"y{c}")
                for c, seeds in enumerate(categories.values())]
     counted = rows.select(held_marks("text", vocabulary).alias("held"), "fold", *belongs, F.col("label").alias(f"y{len(belongs)}"))
-    data = Sample(counted.groupBy(*counted.columns).agg(F.count("*").alias("n")).collect(), len(vocabulary), len(names))
+    found = sorted(counted.groupBy(*counted.columns).agg(F.count("*").alias("n")).collect())
+    data = Sample(found, len(vocabulary), len(names))
     weights, before, intercepts = np.zeros((len(vocabulary), len(names))), [], []
     chained, out_of_fold = [], np.zeros((len(data.n), 0))
     for c in range(len(names)):
