@@ -38,19 +38,25 @@ STEP = 50_000  # shingles hashed at once
 
 # ---------------------------------------------------------------- fingerprints
 
-def fingerprint_of(text: str, shingle: int) -> int:
+def run_hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of all runs of ``shingle`` words, in steps; a text of fewer words is one run, one without words has none."""
     words = text.encode("utf-8").lower().split()  # bytes: only A-Z change, only ASCII white space splits
     if not words:
-        return 0
+        return
     ends = np.cumsum([len(w) + 1 for w in words])
     line, k = b" ".join(words), min(shingle, len(words))
     starts = np.concatenate([[0], ends[: len(words) - k]]).tolist()
     stops = (ends[k - 1 :] - 1).tolist()
-    ones = np.zeros(64, np.int64)
     for i in range(0, len(starts), STEP):
-        hashes = np.array([xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[i : i + STEP], stops[i : i + STEP])], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(starts)).view(">i8")[0])
+        yield np.array([xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[i : i + STEP], stops[i : i + STEP])], np.uint64)
+
+
+def fingerprint_of(text: str, shingle: int) -> int:
+    ones, runs = np.zeros(64, np.int64), 0
+    for hashes in run_hashes(text, shingle):
+        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        runs += len(hashes)
+    return int(np.packbits(2 * ones > runs).view(">i8")[0])
 
 
 def fingerprint(text: str | Column, shingle: int = 3) -> Column:
