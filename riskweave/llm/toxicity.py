@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import materialize
 
@@ -31,6 +32,7 @@ FOLDS = 3
 WORDS = 4096  # words that a link can look at, the most telling ones
 ERROR = 0.01  # chance that any of them is there by accident
 PENALTY = 1e-3
+SAME = 0.8  # similarity of words from which training rows count as one
 STEMS = range(3, 7)  # letters of a beginning
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -111,11 +113,14 @@ def held_marks(text: str | Column, vocabulary: Sequence[str]) -> Column:
 
 
 def without_copies(rows: DataFrame) -> DataFrame:
-    """Near copies count once: rows whose three smallest word hashes and labels agree are taken for one."""
+    """Near copies count once: of rows whose three smallest word hashes and labels agree the first stays, and so do those
+    whose words have a Jaccard similarity below SAME with it. Agreeing hashes alone say little about unlike texts."""
     mark = F.slice(F.array_sort(F.transform("words", lambda w: F.xxhash64(w))), 1, 3)
-    rest = [c for c in rows.columns if c not in ("key", "label")]
-    first = F.min(F.struct("key", *rest)).alias("row")  # the same one in every run
-    return rows.groupBy(mark.alias("mark"), "label").agg(first).select("label", *[F.col(f"row.{c}").alias(c) for c in ("key", *rest)])
+    group = Window.partitionBy("_mark", "label").orderBy("key", "words")  # the same one in every run
+    ranked = rows.withColumn("_mark", mark).withColumns({"_rank": F.row_number().over(group), "_first": F.first("words").over(group)})
+    common = F.size(F.array_intersect("words", "_first"))
+    apart = common < SAME * (F.size("words") + F.size("_first") - common)
+    return ranked.where((F.col("_rank") == 1) | apart).select(*rows.columns)
 
 
 def telling_words(rows: DataFrame, limit: int = WORDS) -> list[str]:

@@ -87,6 +87,15 @@ def test_near_copies_count_once(spark):
     assert sorted((r.key, r.label) for r in toxicity.without_copies(rows).collect()) == [(5, 1), (6, 0), (8, 1)]
 
 
+def test_unlike_rows_with_equal_smallest_hashes_stay(spark):
+    pool = [f"w{i}." for i in range(60)]
+    hashed = spark.createDataFrame([(w,) for w in pool], "w string").select("w", F.xxhash64("w").alias("h")).orderBy("h")
+    pool = [r.w for r in hashed.collect()]
+    first, unlike, near = pool[:20], pool[:3] + pool[30:50], pool[:19]
+    rows = spark.createDataFrame([(1, 0, first), (2, 0, unlike), (3, 0, near), (1, 0, first)], "key long, label int, words array<string>")
+    assert sorted(r.key for r in toxicity.without_copies(rows).collect()) == [1, 2]
+
+
 # ---------------------------------------------------------------- neighbours
 
 def vectors(spark, rows):
