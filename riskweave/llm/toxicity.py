@@ -5,7 +5,9 @@ on the words of a text and their beginnings, and on the probabilities of the lin
 models that have not seen the row (out of fold), as they will when texts are scored.
 
 Labels tell only whether a text is toxic. Categories are labelled weakly: a toxic text that holds a word of the
-category's list belongs to it. The lists only make labels for fitting; what a link looks at is learnt.
+category's list belongs to it. The lists only make labels for fitting; what a link looks at is learnt. Toxic texts without
+a listed word, among them all in languages that the lists do not cover, say nothing about categories: their links leave
+them out of fitting, while the verdict is fitted on all.
 """
 
 from __future__ import annotations
@@ -146,7 +148,8 @@ def fit(sample: DataFrame, categories: Mapping[str, Sequence[str]] = CATEGORIES,
     """A chain from rows (key, text, label) as ``training.labelled_sample`` draws them.
 
     The words are counted and chosen by Spark. What the links are fitted on is bounded by the sample: per row the few
-    telling words that it holds, rows of equal content counted together. A category without rows of both kinds, and a
+    telling words that it holds, rows of equal content counted together. Toxic rows without a word of any category take part
+    in fitting the verdict only. A category without rows of both kinds, and a
     verdict without labels of both kinds, always gets the probability 0 or 1 that its rows say (0 without rows), and
     nothing depends on it.
     """
@@ -164,17 +167,18 @@ def fit(sample: DataFrame, categories: Mapping[str, Sequence[str]] = CATEGORIES,
     for c in range(len(names)):
         before.append([0.0] * c)
         y = data.y[:, c]
-        if not vocabulary or len(set(y.tolist())) < 2:
-            intercepts.append(30.0 if y.any() else -30.0)
+        told = data.n if c == len(names) - 1 else data.n * (data.y[:, :-1].any(axis=1) | (data.y[:, -1] == 0))
+        if not vocabulary or len(set(y[told > 0].tolist())) < 2:
+            intercepts.append(30.0 if y[told > 0].any() else -30.0)
             continue
-        w, v, b = data.logistic(out_of_fold, y, data.n, penalty)
+        w, v, b = data.logistic(out_of_fold, y, told, penalty)
         weights[:, c] = w
         for e, x in zip(chained, v):
             before[c][e] = float(x)
         intercepts.append(float(b))
         p = np.empty(len(y))
         for k in range(folds):
-            w, v, b = data.logistic(out_of_fold, y, data.n * (data.fold != k), penalty)
+            w, v, b = data.logistic(out_of_fold, y, told * (data.fold != k), penalty)
             p[data.fold == k] = sigmoid(data.raw(out_of_fold, w, v, b))[data.fold == k]
         chained.append(c)
         out_of_fold = np.column_stack([out_of_fold, p])

@@ -76,6 +76,18 @@ def test_toxicity_finds_words_and_beginnings(spark, docs, chain_rows):
     assert any(chain.before[2])  # the verdict looks at the categories
 
 
+def test_toxic_rows_without_listed_words_are_no_negatives(spark, docs):
+    """Half of the insults come with a word of another language, which toxic texts without listed words hold, too."""
+    rng = random.Random(6)
+    texts = [prose(rng, 30) for _ in range(300)]
+    for i in range(0, 300, 3):
+        texts[i] += " zurqel" if i % 2 else " idiot zurqel" if i % 4 else " scum"
+    marks = [(i, 0, int(i % 3 == 0)) for i in range(300)]
+    chain = toxicity.fit(labelled_sample(docs(texts), labels(spark, marks), "doc_id", "text", "toxic"))
+    p = docs(["zurqel", "nothing"]).select("doc_id", chain.probabilities("text").alias("p")).orderBy("doc_id").collect()
+    assert p[0].p.insult > 0.5 > p[1].p.insult and p[0].p.toxic >= chain.threshold > p[1].p.toxic
+
+
 def test_toxicity_without_labels(spark, docs):
     chain = toxicity.fit(labelled_sample(docs(["a b", "c"]), labels(spark, []), "doc_id", "text", "toxic"))
     assert all(r.p.toxic < chain.threshold for r in docs(["idiot", None]).select(chain.probabilities("text").alias("p")).collect())
