@@ -1,5 +1,6 @@
 """Classifiers by held-out accuracy and by hand-made chains; neighbours against brute force."""
 
+import inspect
 import random
 
 import numpy as np
@@ -159,3 +160,7 @@ def test_visits_reach_every_leaf_once():
     assert sorted(order) == list(range(tree.leaves))
     point = np.random.default_rng(1).normal(size=5)
     assert tree.visits(point, 3)[0] == tree.assign(point[None])[0] and len(tree.visits(point, 3)) == 3
+
+
+def test_recall_that_is_asked_for():
+    assert all(inspect.signature(f).parameters["recall"].default == 0.97 for f in (neighbours.build, neighbours.nearest_neighbours))
