@@ -4,7 +4,7 @@ The tree is fitted on a bounded sample and small enough for every task; all vect
 walks the tree best bin first: it keeps the branches passed by in a priority queue and always goes on at the nearest
 one, so leaves come in the order in which they are worth a visit. How many leaves a query visits is calibrated: for a
 bounded number of stored vectors the exact neighbours are found by comparing them with all rows, and the visits are
-widened until the leaves visited hold the asked share of them.
+widened until the leaves visited hold the asked share of them. A query whose leaves hold too few vectors goes on.
 
 Inner products become distances by one more coordinate, sqrt(M^2 - |v|^2) with M the largest norm, which is 0 for
 queries: the nearest point is then the one with the largest product. Equal vectors share a leaf. Only the ``k`` + 1
@@ -14,7 +14,7 @@ smallest ids of a vector can appear in a result, so no more of them are searched
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -85,10 +85,10 @@ class Tree:
                 todo += [(c, rows[label == i]) for i, c in enumerate(node.children)]
         return out
 
-    def visits(self, point: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves of a best-bin-first walk."""
-        found, queue, number = [], [(0.0, 0, self.root)], 0
-        while queue and len(found) < most:
+    def visits(self, point: np.ndarray, most: int, stored: Mapping[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first ``most`` leaves of a best-bin-first walk, and more until they hold ``least`` of the ``stored`` vectors."""
+        found, queue, number, held = [], [(0.0, 0, self.root)], 0, 0
+        while queue and (len(found) < most or held < least):
             _, _, node = heapq.heappop(queue)
             while node.children:
                 far = ((np.stack([c.centre for c in node.children]) - point) ** 2).sum(axis=1)
@@ -99,6 +99,7 @@ class Tree:
                         heapq.heappush(queue, (float(far[i]), number, child))
                 node = node.children[best]
             found.append(node.leaf)
+            held += stored.get(node.leaf, 0) if stored else 0
         return found
 
 
@@ -180,12 +181,14 @@ def exact_nearest(rows: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
 
 @dataclass
 class Index:
-    """``vectors``: (id, v, leaf) of all rows, without needless copies; ``visits``: calibrated leaves per query."""
+    """``vectors``: (id, v, leaf) of all rows, without needless copies; ``visits``: calibrated leaves per query; ``stored``: vectors of
+    each leaf."""
 
     tree: Tree
     vectors: DataFrame
     visits: int
     recall: float
+    stored: Mapping[int, int]
 
 
 def build(rows: DataFrame, k: int, recall: float = 0.97, sample: int = SAMPLE, calibration: int = CALIBRATION) -> Index | None:
@@ -213,7 +216,8 @@ def build(rows: DataFrame, k: int, recall: float = 0.97, sample: int = SAMPLE, c
         np.add.at(turn, [place[leaf] for leaf in leaves], 1)
     reached = np.cumsum(turn) / max(1.0, turn.sum())
     visits = max(1, int(np.argmax(reached >= recall))) if turn.sum() else 1
-    return Index(tree, vectors, visits, float(reached[visits]))
+    stored = {r["leaf"]: r["count"] for r in vectors.groupBy("leaf").count().collect()}
+    return Index(tree, vectors, visits, float(reached[visits]), stored)
 
 
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
@@ -221,11 +225,11 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
 
     A leaf's vectors and the queries that visit it meet block by block, so neither side of a crowded leaf is gathered.
     """
-    tree, visits = index.tree, index.visits
+    tree, visits, stored_of = index.tree, index.visits, index.stored
 
     @F.pandas_udf("array<int>")
     def walk(vectors: pd.Series) -> pd.Series:
-        return pd.Series([tree.visits(np.append(v, 0.0), visits) for v in vectors])
+        return pd.Series([tree.visits(np.append(v, 0.0), visits, stored_of, k + 1) for v in vectors])
 
     stored = _blocks(index.vectors, "id", "v_parts", "v_part")
     asked = materialize(queries.select(F.col("id").alias("q_id"), F.col("v").alias("q_v"), F.explode(walk("v")).alias("leaf")))
@@ -255,7 +259,7 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, is_query: Column, k
 
     Nearness is the inner product in double precision of the original vectors; ties go to the smaller id. A row without
     a usable vector (see ``clean_vectors``) takes no part; of rows that repeat a key one takes part. An empty table gives
-    no rows; with fewer than ``k`` others a query gets what there is within the leaves visited.
+    no rows; a query gets fewer than ``k`` only where there are fewer others.
     """
     rows = materialize(clean_vectors(df, key, vector).groupBy("id").agg(F.min("v").alias("v")))
     index = build(rows, k, recall)

@@ -154,6 +154,14 @@ def test_unusable_vectors_and_few_rows(spark):
     assert neighbours.nearest_neighbours(vectors(spark, []), "vec_id", "e", F.col("id") % 20 == 0).count() == 0
 
 
+def test_small_far_cluster_gets_all_its_neighbours(spark):
+    rng = np.random.default_rng(2)
+    axes = np.eye(64) * 10
+    points = np.concatenate([a + rng.normal(size=(33, 64)) * 0.001 for a in axes[:60]] + [axes[63] + rng.normal(size=(5, 64)) * 0.001])
+    found = neighbours.nearest_neighbours(vectors(spark, [(i, p.tolist(), "x") for i, p in enumerate(points)]), "vec_id", "e", F.col("id") >= 1980, 20).collect()
+    assert sorted((r.query_id, r["rank"]) for r in found) == [(q, n) for q in range(1980, 1985) for n in range(1, 21)]
+
+
 def test_visits_reach_every_leaf_once():
     tree = neighbours.Tree(np.random.default_rng(0).normal(size=(400, 5)), 4, 10)
     order = tree.visits(np.zeros(5), tree.leaves)
