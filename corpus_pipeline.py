@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import bpe, exact, mixing, similar, toxicity
+from riskweave.llm import bpe, exact, mixing, simhash, toxicity
 from riskweave.llm.common import bounded_batches, text_of
 from riskweave.llm.training import labelled_sample
 from riskweave.session import shared_dir
@@ -35,10 +35,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every class of near copies (sets of five-word shingles of a Jaccard similarity of 0.8 or more): that
-    with the smallest doc_id. Three bits of a SimHash would leave most of them."""
+    """One document of every class of near copies: fingerprints over three-word shingles, linked at three differing bits
+    or fewer. The document with the smallest doc_id stays."""
     bounded_batches(spark)
-    return similar.drop_similar(docs, "doc_id", "text", shingle=5, least=0.8)
+    return simhash.drop_near_copies(docs, "doc_id", "text", shingle=3, reach=3)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
