@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import bpe, exact, mixing, neighbours, quality, secrets, simhash, tokens, toxicity, warc
+from . import bpe, exact, lexical, lines, mixing, negatives, neighbours, quality, secrets, simhash, tokens, toxicity, warc
 from .common import bounded_batches, text_of
 from .training import labelled_sample
 
@@ -154,3 +154,62 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op7_nearest(spark: SparkSession, folder: str) -> DataFrame:
     found = neighbours.nearest_neighbours(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op11_lexical", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+c AS MATERIALIZED (SELECT doc_id, len(terms)::BIGINT AS n, terms FROM d WHERE len(terms) > 0),
+s AS MATERIALIZED (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM c),
+q AS MATERIALIZED (SELECT item_id, term, count(*)::BIGINT AS repeats FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
+p AS MATERIALIZED (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM c)
+                   WHERE term IN (SELECT term FROM q) GROUP BY doc_id, n, term),
+w AS MATERIALIZED (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term),
+r AS (SELECT item_id, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // length))))::BIGINT AS score
+      FROM p JOIN w USING (term) JOIN q USING (term), s GROUP BY item_id, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20
+""")
+def op11_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "benchmark"), "item_id", "text", k=20)
+
+
+@query("op12_negatives", """
+WITH r AS MATERIALIZED (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS MATERIALIZED (
+    SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label,
+           list_sum([p[1] * p[2] FOR p IN list_zip(a.v, b.v)])::BIGINT AS score
+    FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE label <> anchor_label AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+""")
+def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, folder, "embeddings"), "vec_id", "embedding", label, F.col("id") % 100 == 0)
+
+
+@query("op13_line_dedup", r"""
+WITH d AS MATERIALIZED (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS MATERIALIZED (
+    SELECT doc_id, line, place, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM d)),
+f AS (SELECT key, max(doc_id) AS largest FROM (SELECT DISTINCT doc_id, key FROM l WHERE length(key) >= 20)
+      GROUP BY key HAVING count(*) >= 3)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (largest <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (largest IS NULL OR largest = doc_id), '')) AS kept_sha256
+FROM l LEFT JOIN f USING (key) GROUP BY doc_id
+""")
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.drop_repeated_lines(table(spark, folder, "documents"), "doc_id", "text")
+    return found.select("doc_id", "n_lines", "n_dropped", sha256("kept").alias("kept_sha256"))

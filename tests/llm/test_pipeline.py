@@ -29,7 +29,7 @@ def test_matches_sql(spark, con, name):
 
 def test_registered():
     names = set(registry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n != "pipeline"} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n != "pipeline"} and "pipeline" in names
     assert names <= set(entry.queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "mixing", "byte_bpe"]
 
