@@ -58,7 +58,7 @@ def strength(text: str, known: Container[str], heads: Container[str]) -> dict[st
     return {m: log2(1 + counts[m]) for m in sorted(counts)}
 
 
-def words(text: str | Column) -> Column:
+def marks_of(text: str | Column) -> Column:
     """``marks`` of whole texts; null and empty texts have none."""
 
     @F.arrow_udf("array<string>")
@@ -114,15 +114,39 @@ def held_marks(text: str | Column, vocabulary: Sequence[str]) -> Column:
     return held(text)
 
 
-def without_copies(rows: DataFrame) -> DataFrame:
+def listed(text: str | Column, categories: Mapping[str, Sequence[str]]) -> Column:
+    """For each category 1 if the text holds a word of its list, else 0."""
+    lists = [frozenset(seeds) for seeds in categories.values()]
+
+    @F.arrow_udf("array<int>")
+    def look(texts: pa.Array) -> pa.Array:
+        held = [frozenset(WORD.findall((t.as_py() or "").lower())) for t in texts]
+        return pa.array([[int(not seeds.isdisjoint(h)) for seeds in lists] for h in held], pa.list_(pa.int32()))
+
+    return look(text)
+
+
+def without_copies(rows: DataFrame, words: Column) -> DataFrame:
     """Near copies count once: of rows whose three smallest word hashes and labels agree the first stays, and so do those
-    whose words have a Jaccard similarity below SAME with it. Agreeing hashes alone say little about unlike texts."""
-    mark = F.slice(F.array_sort(F.transform("words", lambda w: F.xxhash64(w))), 1, 3)
-    group = Window.partitionBy("_mark", "label").orderBy("key", "words")  # the same one in every run
-    ranked = rows.withColumn("_mark", mark).withColumns({"_rank": F.row_number().over(group), "_first": F.first("words").over(group)})
-    common = F.size(F.array_intersect("words", "_first"))
-    apart = common < SAME * (F.size("words") + F.size("_first") - common)
-    return ranked.where((F.col("_rank") == 1) | apart).select(*rows.columns)
+    whose words have a Jaccard similarity below SAME with it. Agreeing hashes alone say little about unlike texts.
+
+    ``rows`` are a bounded sample with the columns row (unique), key and label. Only hashes are grouped; the words, as
+    numbers, are looked at again for the first row of a group and the rows that differ from it.
+    """
+    numbers = F.transform(words, lambda w: F.xxhash64(w))
+    short = rows.select("row", "key", "label", numbers.alias("_words")).select(
+        F.struct("key", F.xxhash64("_words").alias("digest"), "row").alias("me"), "label", F.slice(F.array_sort("_words"), 1, 3).alias("mark"))
+    short = materialize(short)
+    firsts = short.groupBy("mark", "label").agg(F.min("me").alias("first"), F.count("*").alias("n")).where("n > 1")
+    others = short.join(F.broadcast(firsts), ["mark", "label"]).where("me <> first")  # at most as many groups as sampled rows
+    same = others.where("me.digest = first.digest").select(F.col("me.row").alias("row"))
+    unlike = others.where("me.digest <> first.digest").select(F.col("me.row").alias("row"), F.col("first.row").alias("led_by"))
+    wanted = unlike.select("row", "led_by").union(unlike.select("led_by", F.lit(None).cast("long")).distinct())
+    held = rows.select("row", numbers.alias("words")).join(F.broadcast(wanted), "row")
+    led = held.where("led_by IS NOT NULL").join(held.where("led_by IS NULL").select(F.col("row").alias("led_by"), F.col("words").alias("led")), "led_by")
+    common = F.size(F.array_intersect("words", "led"))
+    gone = same.union(led.where(common >= SAME * (F.size("words") + F.size("led") - common)).select("row"))
+    return rows.join(F.broadcast(materialize(gone)), "row", "left_anti")
 
 
 def telling_words(rows: DataFrame, limit: int = WORDS) -> list[str]:
@@ -135,7 +159,7 @@ def telling_words(rows: DataFrame, limit: int = WORDS) -> list[str]:
     n, toxic = rows.agg(F.count("*"), F.sum("label")).first()
     if not toxic or toxic == n:
         return []
-    held = rows.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("k"), F.sum("label").alias("t"))
+    held = materialize(rows.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("k"), F.sum("label").alias("t")))
     share = F.col("t") / F.col("k")
     term = lambda x, p: F.when(x > 0, x * F.log(x / F.lit(p))).otherwise(0.0)
     held = held.withColumn("bits", F.col("k") * (term(share, toxic / n) + term(1 - share, 1 - toxic / n)))
@@ -154,12 +178,13 @@ def fit(sample: DataFrame, categories: Mapping[str, Sequence[str]] = CATEGORIES,
     nothing depends on it.
     """
     names = (*categories, "toxic")
-    rows = sample.select("key", "label", "text", words("text").alias("words"), F.pmod(F.xxhash64("key"), F.lit(folds)).cast("int").alias("fold"))
-    rows = materialize(without_copies(rows))
-    vocabulary = telling_words(rows)
-    belongs = [(F.col("label") * F.arrays_overlap("words", F.array(*[F.lit(f"{s}.") for s in seeds])).cast("int")).alias(f"y{c}")
-               for c, seeds in enumerate(categories.values())]
-    counted = rows.select(held_marks("text", vocabulary).alias("held"), "fold", *belongs, F.col("label").alias(f"y{len(belongs)}"))
+    rows = materialize(sample.select(F.monotonically_increasing_id().alias("row"), "key", "label", "text",
+                                     F.pmod(F.xxhash64("key"), F.lit(folds)).cast("int").alias("fold")))
+    rows = without_copies(rows, marks_of("text"))
+    vocabulary = telling_words(rows.select("label", marks_of("text").alias("words")))
+    marked = rows.select(held_marks("text", vocabulary).alias("held"), listed("text", categories).alias("listed"), "fold", "label")
+    belongs = [(F.col("label") * F.col("listed")[c]).alias(f"y{c}") for c in range(len(categories))]
+    counted = marked.select("held", "fold", *belongs, F.col("label").alias(f"y{len(belongs)}"))
     found = sorted(counted.groupBy(*counted.columns).agg(F.count("*").alias("n")).collect())
     data = Sample(found, len(vocabulary), len(names))
     weights, before, intercepts = np.zeros((len(vocabulary), len(names))), [], []

@@ -96,8 +96,8 @@ def test_toxicity_without_labels(spark, docs):
 
 def test_near_copies_count_once(spark):
     same = [f"w{i}." for i in range(50)]
-    rows = spark.createDataFrame([(7, 1, same), (5, 1, same), (6, 0, same), (8, 1, ["x."])], "key long, label int, words array<string>")
-    assert sorted((r.key, r.label) for r in toxicity.without_copies(rows).collect()) == [(5, 1), (6, 0), (8, 1)]
+    rows = spark.createDataFrame([(1, 7, 1, same), (2, 5, 1, same), (3, 6, 0, same), (4, 8, 1, ["x."])], "row long, key long, label int, words array<string>")
+    assert sorted((r.key, r.label) for r in toxicity.without_copies(rows, F.col("words")).collect()) == [(5, 1), (6, 0), (8, 1)]
 
 
 def test_unlike_rows_with_equal_smallest_hashes_stay(spark):
@@ -105,8 +105,8 @@ def test_unlike_rows_with_equal_smallest_hashes_stay(spark):
     hashed = spark.createDataFrame([(w,) for w in pool], "w string").select("w", F.xxhash64("w").alias("h")).orderBy("h")
     pool = [r.w for r in hashed.collect()]
     first, unlike, near = pool[:20], pool[:3] + pool[30:50], pool[:19]
-    rows = spark.createDataFrame([(1, 0, first), (2, 0, unlike), (3, 0, near), (1, 0, first)], "key long, label int, words array<string>")
-    assert sorted(r.key for r in toxicity.without_copies(rows).collect()) == [1, 2]
+    rows = spark.createDataFrame([(1, 1, 0, first), (2, 2, 0, unlike), (3, 3, 0, near), (4, 1, 0, first)], "row long, key long, label int, words array<string>")
+    assert sorted(r.key for r in toxicity.without_copies(rows, F.col("words")).collect()) == [1, 2]
 
 
 # ---------------------------------------------------------------- neighbours
