@@ -6,19 +6,22 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 HOT_SHARE = 1000  # a key is hot when it holds more than one row in so many; at most so many keys can
 HOT_ROWS = 1000  # and never below so many rows
 
-BATCH_ROWS = 1000
-BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, BATCH_BYTES = 1000, 64_000_000
+BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
-    """Lets at most BATCH_ROWS texts travel to Python at once. Spark's default of 10,000 long texts, with what functions
-    make of them, takes hundreds of megabytes per worker. A smaller setting of the session stays."""
-    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
-        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    """Lets at most BATCH_ROWS texts and about BATCH_BYTES travel to Python at once. Spark's default of 10,000 long texts,
+    with what functions make of them, takes hundreds of megabytes per worker. Smaller settings of the session stay."""
+    for name, most in BATCH_SETTINGS.items():
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
     return spark
 
 
@@ -41,6 +44,14 @@ def blocks(texts: Iterable[str | None], chars: int = 2_000_000) -> Iterator[list
         yield block
 
 
+def one_of_each(rows: DataFrame, keys: list[str], repeated: bool) -> DataFrame:
+    """One row of those that agree in ``keys``. Rows only move if the caller has found that there are ``repeated`` ones."""
+    if not repeated:
+        return rows
+    order = Window.partitionBy(*keys).orderBy(F.lit(0))
+    return rows.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy")
+
+
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, spread: str) -> DataFrame:
     """Left join of ``rows`` to ``groups``, which holds one row per key and the key's number of rows in ``size``.
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import materialize
-from .common import text_of
+from .common import one_of_each, text_of
 
 COUNTERS = 1000
 
@@ -72,10 +72,11 @@ def copies(df: DataFrame, key: str, text: str, counters: int = COUNTERS) -> Data
 
 
 def drop_copies(df: DataFrame, key: str, text: str, counters: int = COUNTERS) -> DataFrame:
-    """The rows of ``df`` that ``copies`` keeps, with all their columns. Column names are free but for ``_digest``."""
-    kept = copies(df, key, text, counters).where("kept").select(F.col(key).alias("_kept_key"), F.col("text_sha256").alias("_kept_digest"))
-    marked = df.withColumn("_digest", F.sha2(normal_text(text), 256))
-    left = marked.join(kept, (F.col("_digest") == F.col("_kept_digest")) & F.col(key).eqNullSafe(F.col("_kept_key")), "left_semi")
+    """The rows of ``df`` that ``copies`` keeps, with all their columns, whatever they are called."""
+    found = materialize(copies(df, key, text, counters).select(F.col(key).alias("_key"), F.col("text_sha256").alias("_digest"), "kept"))
+    kept = found.where("kept").select(F.col("_key").alias("_kept_key"), F.col("_digest").alias("_kept_digest"))
+    repeated = not found.groupBy("_key", "_digest").count().where("count > 1").isEmpty()
+    marked = df.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.sha2(normal_text(text), 256).alias("_digest"))
+    left = marked.join(kept, (F.col("_digest") == F.col("_kept_digest")) & F.col("_key").eqNullSafe(F.col("_kept_key")), "left_semi")
     # Only rows that repeat both key and text can still meet here.
-    order = Window.partitionBy("_digest", key).orderBy(F.lit(0))
-    return left.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy", "_digest")
+    return one_of_each(left, ["_digest", "_key"], repeated).select("_row.*")

@@ -124,28 +124,34 @@ def realise(docs: DataFrame, key: str, source: str, plans: DataFrame) -> DataFra
     """The mixed rows: those of ``docs``, as often as ``plans`` says, with pass (from 0) and place.
 
     Sorted by pass and place, blocks of all sources follow each other in random order. Repeated rows are treated alike;
-    null keys count as one key. Column names are free but for pass, place and those that start with ``_mix`` or are in the plan.
+    null keys count as one key. Columns may have any names but pass and place, which are refused.
     """
-    wanted = docs.columns
-    rows = docs.withColumns({"_source": F.coalesce(source, F.lit("\x00")), "_mix_key": F.col(key).cast("string")})
-    names = {c: f"_mix_{c}" for c in ("docs", "passes", "last_block", "last_doc")}
-    side = plans.select("_source", *[F.col(c).alias(n) for c, n in names.items()])
+    if taken := {"pass", "place"} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"the result has columns of these names itself: {sorted(taken)}")
+    return _turns(docs, key, source, plans).select("_row.*", "pass", "place")
+
+
+def _turns(docs: DataFrame, key: str, source: str, plans: DataFrame) -> DataFrame:
+    """(_row, pass, place, ...) with every row of ``docs`` as a struct, so that its names meet no others."""
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(source, F.lit("\x00")).alias("_source"), F.col(key).cast("string").alias("_key"))
+    side = plans.select("_source", "docs", "passes", "last_block", "last_doc")
     if plans.count() <= BROADCAST_SOURCES:
         rows = rows.join(F.broadcast(side), "_source")
     else:
-        rows = attach_groups(rows, side, "_source", "_mix_docs", docs.count(), "_mix_key")
-    rows = rows.withColumn("_mix_block", _block(F.col("_mix_key"), F.col("_mix_docs")))
-    at = _block_key(F.col("_source"), F.col("_mix_block"))
-    partial = (at < F.col("_mix_last_block")) | ((at == F.col("_mix_last_block")) & (_doc_key(F.col("_mix_key")) <= F.col("_mix_last_doc")))
+        rows = attach_groups(rows, side, "_source", "docs", docs.count(), "_key")
+    rows = rows.withColumn("block", _block(F.col("_key"), F.col("docs")))
+    at = _block_key(F.col("_source"), F.col("block"))
+    partial = (at < F.col("last_block")) | ((at == F.col("last_block")) & (_doc_key(F.col("_key")) <= F.col("last_doc")))
     # The partial pass is number 0 of the order; whole passes follow it.
-    turns = F.filter(F.sequence(F.lit(0), F.col("_mix_passes").cast("int")), lambda t: (t > 0) | partial)
+    turns = F.filter(F.sequence(F.lit(0), F.col("passes").cast("int")), lambda t: (t > 0) | partial)
     rows = rows.withColumn("pass", F.explode(turns))
-    place = F.concat(F.substring(_block_key(F.col("_source"), F.col("_mix_block"), F.col("pass")), 1, 12),
-                     F.substring(_doc_key(F.col("_mix_key"), F.col("pass")), 1, 12))
-    return rows.withColumn("place", place).select(*wanted, "pass", "place")
+    place = F.concat(F.substring(_block_key(F.col("_source"), F.col("block"), F.col("pass")), 1, 12),
+                     F.substring(_doc_key(F.col("_key"), F.col("pass")), 1, 12))
+    return rows.withColumn("place", place)
 
 
 def mix(docs: DataFrame, key: str, source: str, text: str, **parameters: float) -> DataFrame:
-    """``docs`` mixed by the word counts of their texts; parameters as in ``plan``. An empty table stays empty."""
+    """``docs`` mixed by the word counts of their texts, with their own columns only, whatever these are called; parameters
+    as in ``plan``. An empty table stays empty."""
     counted = docs.select(key, source, token_count(text).alias("_n"))
-    return realise(docs, key, source, plan(counted, key, source, "_n", **parameters))
+    return _turns(docs, key, source, plan(counted, key, source, "_n", **parameters)).select("_row.*")

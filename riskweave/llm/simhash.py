@@ -20,11 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
 from ..session import materialize
-from .common import attach_groups
+from .common import attach_groups, one_of_each
 from .components import connected_components
 
 SEED = 42
@@ -205,12 +204,12 @@ def near_copies(df: DataFrame, key: str, text: str, shingle: int = 3, reach: int
 
 
 def drop_near_copies(df: DataFrame, key: str, text: str, shingle: int = 3, reach: int = 3) -> DataFrame:
-    """The rows of ``df``, one per class: that with the smallest key, null keys last, of rows that tie just one. Column
-    names are free but for those that start with ``_near``."""
+    """The rows of ``df``, one per class: that with the smallest key, null keys last, of rows that tie just one. Columns
+    may have any names."""
     classes = _classes(df, key, text, shingle, reach)
     first = classes.groupBy("_root").agg(F.min(F.struct(F.col("_key").isNull().alias("no_key"), "_key", "fingerprint")).alias("f"))
-    kept = first.select(F.col("f._key").alias("_near_key"), F.col("f.fingerprint").alias("_near_print"))
-    marked = df.withColumn("_near_bits", fingerprint(F.col(text), shingle))
-    left = marked.join(kept, (hex_of("_near_bits") == F.col("_near_print")) & F.col(key).eqNullSafe(F.col("_near_key")), "left_semi")
-    order = Window.partitionBy("_near_bits", key).orderBy(F.lit(0))
-    return left.withColumn("_near_copy", F.row_number().over(order)).where("_near_copy = 1").drop("_near_copy", "_near_bits")
+    kept = first.select(F.col("f._key").alias("_kept_key"), F.col("f.fingerprint").alias("_kept_print"))
+    repeated = not classes.groupBy("_key", "fingerprint").count().where("count > 1").isEmpty()
+    marked = df.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), fingerprint(F.col(text), shingle).alias("_bits"))
+    left = marked.join(kept, (hex_of("_bits") == F.col("_kept_print")) & F.col("_key").eqNullSafe(F.col("_kept_key")), "left_semi")
+    return one_of_each(left, ["_bits", "_key"], repeated).select("_row.*")

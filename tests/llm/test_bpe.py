@@ -4,12 +4,14 @@ import hashlib
 import random
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from riskweave.llm import bpe
+from riskweave.llm.common import bounded_batches
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 ODD = [None, "", " ", "\n\n  \t x", "it's we'll", "a" * 5000, "Grüße, señor! ñandú ça va?", "漢字かな交じり文 кириллица", "😀🎉 emoji", "\x00\x1f\x7f\x85\xa0",
@@ -86,3 +88,11 @@ def test_vocabulary_must_hold_every_byte():
 
 def test_unknown_class_falls_back():
     assert bpe.narrow(r"\p{Lu}+") is None
+
+
+def test_batches_are_bounded_by_bytes(spark, docs):
+    """A few huge texts must not travel as one batch, however few rows they are."""
+    bounded_batches(spark)
+    df = docs(["ab " * 7_000_000] * 8).coalesce(1).select("text")
+    sizes = df.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
+    assert sum(r.n for r in sizes) == 8 and max(r.n for r in sizes) <= 4

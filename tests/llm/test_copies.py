@@ -154,3 +154,13 @@ def test_embedding_is_a_lower_bound(spark):
     for r in rows:
         ones = [[(x >> s & 3).bit_count() for s in range(0, 64, 2)] for x in (r.a, r.b)]
         assert r.d == sum(abs(p - q) for p, q in zip(*ones)) <= (r.a ^ r.b).bit_count()
+
+
+@pytest.mark.parametrize("drop", [exact.drop_copies, simhash.drop_near_copies])
+@pytest.mark.parametrize("keys", [[3, 1, 2, 9], [3, 1, 1, 9]])
+def test_clashing_names_survive(docs, drop, keys):
+    texts = ["b c d e", "a b c d", "a b c d", "w " * 100_000]
+    df = docs(texts, keys, **{name: texts for name in ("_digest", "_bits", "_key", "_row", "_copy", "kept", "fingerprint")})
+    kept = drop(df, "doc_id", "text")
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.text, r["_digest"], r["_copy"], r["kept"]) for r in kept.collect()) == [(k, *[t] * 4) for k, t in sorted(zip([3, 1, 9], [texts[0], texts[1], texts[3]]))]

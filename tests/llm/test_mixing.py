@@ -83,3 +83,13 @@ def test_sources_beyond_the_broadcast(spark, corpus, monkeypatch):
     assert run() == want
 
 
+
+
+def test_clashing_names(spark):
+    rows = [(i, "a b", "s", "x", "y", "z", "w") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, pass string, place string, _source string, block string")
+    mixed = mixing.mix(docs, "doc_id", "source", "text")
+    assert mixed.columns == docs.columns and sorted(tuple(r) for r in mixed.collect()) == rows
+    plans = mixing.plan(docs.withColumn("n", mixing.token_count("text")), "doc_id", "source", "n")
+    with pytest.raises(ValueError, match="pass"):
+        mixing.realise(docs, "doc_id", "source", plans)
