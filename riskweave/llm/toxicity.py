@@ -13,7 +13,8 @@ them out of fitting, while the verdict is fitted on all.
 from __future__ import annotations
 
 import re
-from collections.abc import Container, Mapping, Sequence
+from collections import Counter
+from collections.abc import Callable, Container, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from math import exp, log, log2
 
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from xxhash import xxh64_intdigest
 
 from ..session import materialize
 
@@ -36,6 +37,7 @@ ERROR = 0.01  # chance that any of them is there by accident
 PENALTY = 1e-3
 SAME = 0.8  # similarity of words from which training rows count as one
 STEMS = range(3, 7)  # letters of a beginning
+MARKS_HELD = 200_000  # marks counted by a task before it sends on their sums
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -58,14 +60,32 @@ def strength(text: str, known: Container[str], heads: Container[str]) -> dict[st
     return {m: log2(1 + counts[m]) for m in sorted(counts)}
 
 
-def marks_of(text: str | Column) -> Column:
-    """``marks`` of whole texts; null and empty texts have none."""
+Split = Callable[[str], list[str]]
 
-    @F.arrow_udf("array<string>")
-    def split(texts: pa.Array) -> pa.Array:
-        return pa.array([marks(t.as_py() or "") for t in texts], pa.list_(pa.string()))
 
-    return split(text)
+def numbers_of(text: str, split: Split) -> np.ndarray:
+    """Hashes of a text's marks, sorted."""
+    return np.sort(np.array([xxh64_intdigest(m.encode("utf-8"), 42) for m in split(text)], np.uint64).view(np.int64))
+
+
+def outline(text: str | Column, split: Split) -> Column:
+    """Of a text's marks the digest and the three smallest hashes."""
+
+    @F.arrow_udf("struct<digest:bigint,mark:array<bigint>>")
+    def sketch(texts: pa.Array) -> pa.Array:
+        found = [numbers_of(t.as_py() or "", split) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([xxh64_intdigest(f.tobytes()) >> 1 for f in found], pa.int64()),
+                                           pa.array([f[:3] for f in found], pa.list_(pa.int64()))], ["digest", "mark"])
+
+    return sketch(text)
+
+
+def numbers(text: str | Column, split: Split) -> Column:
+    @F.arrow_udf("array<bigint>")
+    def hashes(texts: pa.Array) -> pa.Array:
+        return pa.array([numbers_of(t.as_py() or "", split) for t in texts], pa.list_(pa.int64()))
+
+    return hashes(text)
 
 
 @dataclass(frozen=True)
@@ -126,29 +146,53 @@ def listed(text: str | Column, categories: Mapping[str, Sequence[str]]) -> Colum
     return look(text)
 
 
-def without_copies(rows: DataFrame, words: Column) -> DataFrame:
+def without_copies(rows: DataFrame, split: Split = marks) -> DataFrame:
     """Near copies count once: of rows whose three smallest word hashes and labels agree the first stays, and so do those
     whose words have a Jaccard similarity below SAME with it. Agreeing hashes alone say little about unlike texts.
 
-    ``rows`` are a bounded sample with the columns row (unique), key and label. Only hashes are grouped; the words, as
-    numbers, are looked at again for the first row of a group and the rows that differ from it.
+    ``rows`` are a bounded sample with the columns row (unique), key, label and text. Only hashes are grouped; the words,
+    as numbers, are looked at again for the first row of a group and the rows that differ from it.
     """
-    numbers = F.transform(words, lambda w: F.xxhash64(w))
-    short = rows.select("row", "key", "label", numbers.alias("_words")).select(
-        F.struct("key", F.xxhash64("_words").alias("digest"), "row").alias("me"), "label", F.slice(F.array_sort("_words"), 1, 3).alias("mark"))
-    short = materialize(short)
+    short = rows.select("row", "key", "label", outline("text", split).alias("o"))
+    short = materialize(short.select(F.struct("key", "o.digest", "row").alias("me"), "label", "o.mark"))
     firsts = short.groupBy("mark", "label").agg(F.min("me").alias("first"), F.count("*").alias("n")).where("n > 1")
     others = short.join(F.broadcast(firsts), ["mark", "label"]).where("me <> first")  # at most as many groups as sampled rows
     same = others.where("me.digest = first.digest").select(F.col("me.row").alias("row"))
     unlike = others.where("me.digest <> first.digest").select(F.col("me.row").alias("row"), F.col("first.row").alias("led_by"))
     wanted = unlike.select("row", "led_by").union(unlike.select("led_by", F.lit(None).cast("long")).distinct())
-    held = rows.select("row", numbers.alias("words")).join(F.broadcast(wanted), "row")
+    held = rows.select("row", "text").join(F.broadcast(wanted), "row").select("row", "led_by", numbers("text", split).alias("words"))
     led = held.where("led_by IS NOT NULL").join(held.where("led_by IS NULL").select(F.col("row").alias("led_by"), F.col("words").alias("led")), "led_by")
     common = F.size(F.array_intersect("words", "led"))
     gone = same.union(led.where(common >= SAME * (F.size("words") + F.size("led") - common)).select("row"))
     return rows.join(F.broadcast(materialize(gone)), "row", "left_anti")
 
 
+def mark_counts(rows: DataFrame) -> DataFrame:
+    """(word, k, t): how many rows (label, text) hold a mark, and how many of them are toxic. A task sends on its sums."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, toxic = Counter(), Counter()
+
+        def sums() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(held.values(), pa.int64()),
+                                               pa.array([toxic[w] for w in held], pa.int64())], ["word", "k", "t"])
+
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = marks(text.as_py() or "")
+                held.update(found)
+                if label:
+                    toxic.update(found)
+                if len(held) > MARKS_HELD:
+                    yield sums()
+                    held.clear()
+                    toxic.clear()
+        yield sums()
+
+    parts = rows.select("label", "text").mapInArrow(count, "word string, k bigint, t bigint")
+    return parts.groupBy("word").agg(F.sum("k").alias("k"), F.sum("t").alias("t"))
+
+
 def telling_words(rows: DataFrame, limit: int = WORDS) -> list[str]:
     """Words that toxic rows hold more often or less often than chance explains.
 
@@ -159,7 +203,7 @@ def telling_words(rows: DataFrame, limit: int = WORDS) -> list[str]:
     n, toxic = rows.agg(F.count("*"), F.sum("label")).first()
     if not toxic or toxic == n:
         return []
-    held = materialize(rows.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("k"), F.sum("label").alias("t")))
+    held = materialize(mark_counts(rows))
     share = F.col("t") / F.col("k")
     term = lambda x, p: F.when(x > 0, x * F.log(x / F.lit(p))).otherwise(0.0)
     held = held.withColumn("bits", F.col("k") * (term(share, toxic / n) + term(1 - share, 1 - toxic / n)))
@@ -180,8 +224,8 @@ def fit(sample: DataFrame, categories: Mapping[str, Sequence[str]] = CATEGORIES,
     names = (*categories, "toxic")
     rows = materialize(sample.select(F.monotonically_increasing_id().alias("row"), "key", "label", "text",
                                      F.pmod(F.xxhash64("key"), F.lit(folds)).cast("int").alias("fold")))
-    rows = without_copies(rows, marks_of("text"))
-    vocabulary = telling_words(rows.select("label", marks_of("text").alias("words")))
+    rows = without_copies(rows)
+    vocabulary = telling_words(rows)
     marked = rows.select(held_marks("text", vocabulary).alias("held"), listed("text", categories).alias("listed"), "fold", "label")
     belongs = [(F.col("label") * F.col("listed")[c]).alias(f"y{c}") for c in range(len(categories))]
     counted = marked.select("held", "fold", *belongs, F.col("label").alias(f"y{len(belongs)}"))

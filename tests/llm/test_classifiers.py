@@ -94,10 +94,14 @@ def test_toxicity_without_labels(spark, docs):
     assert all(r.p.toxic < chain.threshold for r in docs(["idiot", None]).select(chain.probabilities("text").alias("p")).collect())
 
 
+def sampled(spark, rows):
+    return spark.createDataFrame([(i, k, y, " ".join(w)) for i, (k, y, w) in enumerate(rows)], "row long, key long, label int, text string")
+
+
 def test_near_copies_count_once(spark):
     same = [f"w{i}." for i in range(50)]
-    rows = spark.createDataFrame([(1, 7, 1, same), (2, 5, 1, same), (3, 6, 0, same), (4, 8, 1, ["x."])], "row long, key long, label int, words array<string>")
-    assert sorted((r.key, r.label) for r in toxicity.without_copies(rows, F.col("words")).collect()) == [(5, 1), (6, 0), (8, 1)]
+    rows = sampled(spark, [(7, 1, same), (5, 1, same), (6, 0, same), (8, 1, ["x."])])
+    assert sorted((r.key, r.label) for r in toxicity.without_copies(rows, str.split).collect()) == [(5, 1), (6, 0), (8, 1)]
 
 
 def test_unlike_rows_with_equal_smallest_hashes_stay(spark):
@@ -105,8 +109,16 @@ def test_unlike_rows_with_equal_smallest_hashes_stay(spark):
     hashed = spark.createDataFrame([(w,) for w in pool], "w string").select("w", F.xxhash64("w").alias("h")).orderBy("h")
     pool = [r.w for r in hashed.collect()]
     first, unlike, near = pool[:20], pool[:3] + pool[30:50], pool[:19]
-    rows = spark.createDataFrame([(1, 1, 0, first), (2, 2, 0, unlike), (3, 3, 0, near), (4, 1, 0, first)], "row long, key long, label int, words array<string>")
-    assert sorted(r.key for r in toxicity.without_copies(rows, F.col("words")).collect()) == [1, 2]
+    rows = sampled(spark, [(1, 0, first), (2, 0, unlike), (3, 0, near), (1, 0, first)])
+    assert sorted(r.key for r in toxicity.without_copies(rows, str.split).collect()) == [1, 2]
+
+
+def test_counts_do_not_depend_on_how_many_are_held(spark, monkeypatch):
+    rows = sampled(spark, [(i, int(i % 3 == 0), [f"abcd{i % 7}", "Same", f"x{i}"]) for i in range(60)])
+    want = sorted(tuple(r) for r in toxicity.mark_counts(rows).collect())
+    assert dict((w, (k, t)) for w, k, t in want)["same."] == (60, 20)
+    monkeypatch.setattr(toxicity, "MARKS_HELD", 5)
+    assert sorted(tuple(r) for r in toxicity.mark_counts(rows).collect()) == want
 
 
 # ---------------------------------------------------------------- neighbours
