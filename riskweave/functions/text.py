@@ -35,6 +35,16 @@ def paragraphs(c: Column | str) -> Column:
     return F.filter(F.split(as_column(c), "\n\n"), lambda p: F.length(strip(p)) > 0)
 
 
+def word_profile(c: Column | str, buckets: int = 16) -> Column:
+    """How a text's words spread over ``buckets`` (at most 16) by the first digit of their md5: thousandths, rounded down.
+    Whole numbers, so distances between profiles are exact. An empty text has zeros."""
+    words = tokenize(c)
+    digits = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 1), 16, 10).cast("int") % buckets)
+    n = F.greatest(F.size(words), F.lit(1))
+    share = lambda b: F.floor(F.size(F.filter(digits, lambda d: d == b)) * 1000 / n).cast("float")
+    return F.array(*[share(b) for b in range(buckets)])
+
+
 def count_words(c: Column | str) -> Column:
     return F.size(tokenize(c))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import sys
 import uuid
 from collections.abc import Iterator, Sequence
@@ -11,12 +10,14 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import top_k, top_k_by_abs
 from ..operators.profile import STATS, with_stats
 from ..session import shared_dir
+from .boosting import Boosted
+from .trees import Tree, numbers
 
 
 def named_values(spark, names: Sequence[str], values: Sequence[float], column: str) -> DataFrame:
@@ -41,13 +42,22 @@ def linear_attribution(df: DataFrame, weights: dict[str, float], fit_on: DataFra
         f"phi_{c}": F.lit(float(w)) * (F.col(c) - F.col(STATS)[c]) for c, w in weights.items()}).drop(STATS)
 
 
-# ---------------------------------------------------------------- forests
+# ---------------------------------------------------------------- trees
 
-def forest_nodes(model, spark) -> list[list[dict]]:
-    """Node tables of a fitted forest classifier, read back from Spark's own model format."""
+ROWS = 4096  # walked together
+NODES_SENT = 2_000_000  # nodes of the trees that go to the tasks as one broadcast
+TINY = 1e-15  # share of a branch that no training row took
+
+
+def forest_rows(model, spark) -> DataFrame:
+    """Node rows of a fitted forest classifier, in Spark's own model format."""
     path = f"{shared_dir(spark)}/forest-{uuid.uuid4().hex}"
     model.write().save(path)
-    rows = spark.read.parquet(f"{path}/data").collect()  # trees * nodes, set by the model's size
+    return spark.read.parquet(f"{path}/data")
+
+
+def nodes_of(rows) -> list[list[dict]]:
+    """Node tables by tree; their size is set by the model's, whatever the data's."""
     trees: dict[int, dict[int, dict]] = {}
     for r in rows:
         node = r["nodeData"]
@@ -67,81 +77,152 @@ def forest_nodes(model, spark) -> list[list[dict]]:
     return [[t[i] for i in sorted(t)] for _, t in sorted(trees.items())]
 
 
-def _leaf_paths(nodes: list[dict]) -> list[tuple[float, dict[int, tuple[float, float, float]]]]:
-    """Per leaf: its value, and per feature on its path the interval that leads there and the
-    share of training rows that took the same turns at that feature's nodes."""
-    out = []
-    todo = [(0, {})]
+def forest_nodes(model, spark) -> list[list[dict]]:
+    return nodes_of(forest_rows(model, spark).collect())
+
+
+def tree_of(nodes: list[dict]) -> Tree:
+    return Tree.of(([n["feature"] if n["left"] >= 0 else -1 for n in nodes],
+                    *([n[part] for n in nodes] for part in ("threshold", "left", "right", "value", "cover"))))
+
+
+def shares_of(tree: Tree) -> np.ndarray:
+    """Per node the share of its parent's training rows that took the branch to it; 1 for the root."""
+    share = np.ones(len(tree.feature))
+    inner = np.flatnonzero(tree.feature >= 0)
+    for side in (tree.left, tree.right):
+        cover = tree.cover[inner]
+        share[side[inner]] = np.divide(tree.cover[side[inner]], cover, out=np.zeros(len(inner)), where=cover > 0)
+    return share
+
+
+def most_features(tree: Tree) -> int:
+    """The largest number of different features on a path."""
+    most, todo = 0, [(0, frozenset())]
     while todo:
-        at, path = todo.pop()
-        node = nodes[at]
-        if node["left"] < 0:
-            out.append((node["value"], path))
-            continue
-        f, cut = node["feature"], node["threshold"]
-        lo, hi, share = path.get(f, (-math.inf, math.inf, 1.0))
-        for child, bounds in ((node["left"], (lo, min(hi, cut))), (node["right"], (max(lo, cut), hi))):
-            part = nodes[child]["cover"] / node["cover"] if node["cover"] else 0.0
-            todo.append((child, {**path, f: (*bounds, share * part)}))
-    return out
-
-
-def tree_attributions(leaves, x: np.ndarray) -> np.ndarray:
-    """Path-dependent Shapley values (Lundberg et al., 2020) for a batch of rows.
-
-    A leaf is a game among the features on its path: a feature in the coalition lets the row pass
-    only if it lies in the feature's interval, one outside passes the training share. Its value is
-    a product, so the coalitions of one size are a coefficient of a polynomial with one factor
-    (share + passes * t) per feature; leaving out one factor gives that feature's sums.
+        node, seen = todo.pop()
+        if tree.feature[node] < 0:
+            most = max(most, len(seen))
+        else:
+            seen = seen | {int(tree.feature[node])}
+            todo += [(int(tree.left[node]), seen), (int(tree.right[node]), seen)]
+    return most
+
+
+def tree_attributions(tree: Tree, x: np.ndarray) -> np.ndarray:
+    """Path-dependent Shapley values (Lundberg et al., 2020) for a batch of rows, in one walk over the tree.
+
+    A leaf is a game among the features on its path: in the coalition a feature lets the row pass only if the row takes
+    the path's turns, outside it passes the share of training rows that do. If every feature joins with chance t, the
+    game's value is the product of (1 - t) share + t pass, and a feature's Shapley value is the integral over t of what
+    it adds. The product has a degree below the number of features, so Gauss-Legendre points give the integral exactly.
+    Products are carried down at these points, sums of leaves carried up; at the branch where a feature last appears its
+    factor is exchanged for what it adds, so every branch costs a few operations per row and point, however deep it lies.
     """
     phi = np.zeros(x.shape)
-    for value, path in leaves:
-        features = list(path)
-        d = len(features)
-        if d == 0 or value == 0.0:
-            continue
-        passes = [((x[:, f] > path[f][0]) & (x[:, f] <= path[f][1])).astype(float) for f in features]
-        weight = [math.factorial(s) * math.factorial(d - 1 - s) / math.factorial(d) for s in range(d)]
-        for i, f in enumerate(features):
-            poly = np.zeros((d, len(x)))
-            poly[0] = 1.0
-            for j, g in enumerate(features):
-                if j != i:
-                    shifted = np.vstack([np.zeros(len(x)), poly[:-1]])
-                    poly = path[g][2] * poly + passes[j] * shifted
-            phi[:, f] += value * (passes[i] - path[f][2]) * (np.asarray(weight) @ poly)
+    points, weights = np.polynomial.legendre.leggauss(max(1, -(-most_features(tree) // 2)))
+    t, weights = (points[:, None] + 1) / 2, weights / 2
+    shares = shares_of(tree)
+    for i in range(0, len(x), ROWS):
+        rows = x[i : i + ROWS]
+        out = phi[i : i + ROWS]
+        held: dict[int, tuple] = {}  # per feature on the way: share, pass, factor
+        # A branch is met twice: on the way down (node >= 0), and on the way up with what its factor replaced.
+        todo: list[tuple] = [(0, np.ones((len(t), len(rows))), None)]
+        sums: list[np.ndarray] = []  # of the finished subtrees
+        while todo:
+            node, product, branch = todo.pop()
+            if node < 0:
+                f, before = branch
+                s = sums[-1]
+                share, passes, factor = held[f]
+                out[:, f] += weights @ (s / factor) * (passes - share)
+                if before is None:
+                    del held[f]
+                else:
+                    out[:, f] -= weights @ (s / before[2]) * (before[1] - before[0])
+                    held[f] = before
+                if product is not None:  # the second child: both are finished
+                    sums[-2:] = [sums[-2] + sums[-1]]
+                continue
+            if branch is not None:
+                f, goes, last = branch
+                before = held.get(f)
+                share, passes = (before[0], before[1]) if before else (1.0, np.ones(len(rows), bool))
+                share, passes = max(share * shares[node], TINY), passes & goes
+                factor = (1 - t) * share + t * passes
+                product = product * factor if before is None else product / before[2] * factor
+                held[f] = share, passes, factor
+                todo.append((-1, True if last else None, (f, before)))
+            f = int(tree.feature[node])
+            if f < 0:
+                sums.append(tree.value[node] * product)
+                continue
+            below = rows[:, f] <= tree.threshold[node]
+            todo += [(int(tree.right[node]), product, (f, ~below, True)), (int(tree.left[node]), product, (f, below, False))]
     return phi
 
 
+def base_value(tree: Tree) -> float:
+    """Mean output over the training rows, as the tree recorded it."""
+    shares, reach = shares_of(tree), np.zeros(len(tree.feature))
+    reach[0], todo = 1.0, [0]
+    while todo:
+        node = todo.pop()
+        if tree.feature[node] >= 0:
+            for child in (int(tree.left[node]), int(tree.right[node])):
+                reach[child] = reach[node] * shares[child]
+                todo.append(child)
+    return float((reach * tree.value)[tree.feature < 0].sum())
+
+
 def forest_base_value(trees: list[list[dict]]) -> float:
-    """Mean positive-class output over the training rows, as the trees recorded it."""
-    means = []
-    for nodes in trees:
-        means.append(sum(v * math.prod(p[2] for p in path.values()) for v, path in _leaf_paths(nodes)))
-    return float(np.mean(means))
+    return float(np.mean([base_value(tree_of(t)) for t in trees]))
+
+
+def attributions(spark, x: Column, width: int, trees: Sequence[Tree]) -> Column:
+    """Array of the trees' summed attributions for features in the array ``x``. Trees are sent in groups of at most
+    NODES_SENT nodes, or single ones; their size is set by the model."""
+    groups, held = [[]], 0
+    for tree in trees:
+        if groups[-1] and held + len(tree.feature) > NODES_SENT:
+            groups.append([])
+            held = 0
+        groups[-1].append(tree)
+        held += len(tree.feature)
+    parts = [_summed(spark.sparkContext.broadcast(group), width)(x) for group in groups]
+    total = parts[0]
+    for part in parts[1:]:
+        total = F.zip_with(total, part, lambda a, b: a + b)
+    return total
+
+
+def _summed(shared, width: int):
+    @F.pandas_udf("array<double>")
+    def attribute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            phi = np.zeros((len(batch), width))
+            if len(batch):
+                rows = np.vstack(batch.to_numpy())
+                for tree in shared.value:
+                    phi += tree_attributions(tree, rows)
+            yield pd.Series(list(phi), dtype=object)
+
+    return attribute
 
 
 def forest_attribution(model, df: DataFrame, key: str, names: Sequence[str], features: str = "features") -> DataFrame:
     """(key, phi): per-row attribution of the positive class, averaged over the trees. Attributions
     plus the base value add up to the forest's probability."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast([_leaf_paths(t) for t in forest_nodes(model, spark)])
-    width = len(names)
+    trees = [tree_of(nodes) for nodes in forest_nodes(model, df.sparkSession)]
+    phi = attributions(df.sparkSession, vector_to_array(features), len(names), trees)
+    return df.select(key, F.transform(phi, lambda p: p / len(trees)).alias("phi"))
 
-    @F.pandas_udf("array<double>")
-    def attribute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        trees = shared.value
-        for batch in batches:
-            if not len(batch):
-                yield pd.Series([], dtype=object)
-                continue
-            x = np.vstack(batch.to_numpy())
-            phi = np.zeros((len(x), width))
-            for leaves in trees:
-                phi += tree_attributions(leaves, x)
-            yield pd.Series(list(phi / len(trees)))
 
-    return df.select(key, attribute(vector_to_array(features)).alias("phi"))
+def boosted_attribution(model: Boosted, df: DataFrame, key: str) -> DataFrame:
+    """(key, phi): per-row attribution of the boosted score. Attributions, the trees' base values and the model's base
+    add up to the score."""
+    return df.select(key, attributions(df.sparkSession, numbers(model.features), len(model.features), model.trees).alias("phi"))
 
 
 def attribution_summary(attributions: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import neighbours
 from .profiling import rounded
 from .quality import NEAREST_SQL
 from .registry import query
-from .texts import CORPUS, corpus
+from .texts import CLEAN, CORPUS, WORDS, corpus
 
 PHRASE = "the"
 
@@ -24,23 +24,25 @@ def retrieve_topk(t):
     return rounded(hits)
 
 
-@query("context_prompt", """
-WITH q AS (SELECT item_id AS query_id, b.text AS question, embedding::DOUBLE[] AS v FROM benchmark b JOIN embeddings e ON item_id = vec_id),
-c AS (SELECT doc_id AS id, text, embedding::DOUBLE[] AS v FROM documents JOIN embeddings ON doc_id = vec_id
-      WHERE doc_id NOT IN (SELECT item_id FROM benchmark)),
-r AS (SELECT query_id, question, text, row_number() OVER (PARTITION BY query_id ORDER BY round(list_distance(q.v, c.v) ** 2, 9), id) AS rank FROM q, c)
+def profile_sql(table, key):
+    return (f"(SELECT {key} AS id, text, [floor(len([x FOR x IN d IF x = b]) * 1000 / greatest(len(d), 1)) FOR b IN range(16)] AS v FROM (SELECT {key}, text, "
+            f"[('0x' || substr(md5(x), 1, 1))::BIGINT FOR x IN {WORDS.format(x=CLEAN)}] AS d FROM {table} WHERE text IS NOT NULL))")
+
+
+@query("context_prompt", f"""
+WITH q AS MATERIALIZED {profile_sql('benchmark', 'item_id')}, c AS MATERIALIZED {profile_sql('documents', 'doc_id')},
+r AS (SELECT q.id AS query_id, q.text AS question, c.text, c.id, row_number() OVER (PARTITION BY q.id ORDER BY
+             list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(q.v, c.v)]), c.id) AS rank FROM q, c)
 SELECT query_id, question, text AS context,
        'Answer for a compliance officer from this policy text.' || chr(10) || 'Policy:' || chr(10) || text || chr(10) || 'Question: ' || question
        || chr(10) || 'When the policy is silent, reply: Not enough information.' AS prompt
 FROM r WHERE rank = 1
 """)
 def context_prompt(t):
-    vectors = t.embeddings.select("vec_id", "embedding")
-    questions = t.benchmark.join(vectors, F.col("item_id") == F.col("vec_id")).select(
-        F.col("item_id").alias("query_id"), F.col("text").alias("question"), "embedding")
-    texts = t.documents.join(vectors, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("id"), "text", "embedding")
-    others = texts.join(t.benchmark.select(F.col("item_id").alias("id")), "id", "left_anti")
-    return R.context_prompt(questions, others, 1)
+    """Every document can be the context of a question; nearness is that of the texts' own word profiles."""
+    profile = X.word_profile(X.clean_text("text")).alias("embedding")
+    asked = t.benchmark.where("text IS NOT NULL").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), profile)
+    return R.context_prompt(asked, t.documents.where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text", profile), 1)
 
 
 def questions(t):
