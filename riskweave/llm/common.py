@@ -11,13 +11,14 @@ from pyspark.sql.window import Window
 HOT_SHARE = 1000  # a key is hot when it holds more than one row in so many; at most so many keys can
 HOT_ROWS = 1000  # and never below so many rows
 
-BATCH_ROWS, BATCH_BYTES = 1000, 64_000_000
+BATCH_ROWS, BATCH_BYTES = 200, 64_000_000
 BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
     """Lets at most BATCH_ROWS texts and about BATCH_BYTES travel to Python at once. Spark's default of 10,000 long texts,
-    with what functions make of them, takes hundreds of megabytes per worker. Smaller settings of the session stay."""
+    with what functions make of them, takes hundreds of megabytes per worker, and idle workers keep theirs. Smaller
+    settings of the session stay."""
     for name, most in BATCH_SETTINGS.items():
         now = spark.conf.get(name, None)
         if now is None or not now.isdigit() or not 0 < int(now) <= most:
