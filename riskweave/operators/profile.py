@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .comoments import comoments, correlations
 from .ordering import quantile_row
 
 
@@ -125,15 +126,9 @@ def box_stats(df: DataFrame, col: str) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Long-form Pearson matrix, one aggregate per unordered pair."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}")
-                   for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in {(a, b), (b, a)}:
-            cells.append(F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"`{i}`").alias("corr")))
-    return one.select(F.explode(F.array(*cells)).alias("c")).select("c.a", "c.b", "c.corr")
+    """Long-form Pearson matrix (a, b, corr) over the rows where both columns are known. One pass and one plan for any number
+    of columns; NULL for pairs with a constant column or without rows."""
+    return correlations(comoments(df, cols), cols)
 
 
 def positive_rate(df: DataFrame, label: str) -> DataFrame:

@@ -3,11 +3,11 @@ depend on partitioning, row order or retries, and needs no shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import hash_int, hash_key
-from ..session import small_side
+from ..functions.columns import hash_int, hash_long
+from .selection import TASK_ROWS, select_ranks
 
 
 def random_split(df: DataFrame, key: str, frac: float = 0.2, seed: int = 42, out: str = "is_test") -> DataFrame:
@@ -37,40 +37,40 @@ def kfold(df: DataFrame, key: str, k: int = 3, seed: int = 42, out: str = "fold"
 
 
 def stratified_split(
-    df: DataFrame, key: str, label: str, frac: float = 0.2, seed: int = 42, out: str = "is_test"
+    df: DataFrame, key: str, label: str, frac: float = 0.2, seed: int = 42, out: str = "is_test", task_rows: int = TASK_ROWS
 ) -> DataFrame:
-    """Mark exactly ``round(frac * n)`` rows of every class: those with the smallest hashes. Rows that
-    repeat a key are drawn together; if that makes the number unreachable, the query fails.
+    """Mark exactly ``round(frac * n)`` rows of every class: those with the smallest hashes of their key.
 
-    No class is ever sorted as a whole. Rows are counted per class and leading hash digits
-    (4096 slots); only the slot in which the quota runs out is ranked, which yields one hash
-    threshold per class. The rows themselves are then compared with that threshold, without a
-    shuffle unless there are very many classes.
+    Where the quota ends between rows of one key, those with the smallest hashes of all their columns are marked (maps
+    left out); where it ends between equal rows, as many of them as are missing. NULL is a class of its own.
+
+    No class is ever sorted: hashes are counted by leading digits until the edge fits a task, which gives one threshold
+    per class. The rows are then compared with it, without a shuffle unless there are very many classes.
     """
-    digest = hash_key(key, seed=seed)
-    rows = df.select(F.col(label).alias("_label"), digest.alias("_h"), F.substring(digest, 1, 3).alias("_slot"))
-    slots = rows.groupBy("_label", "_slot").agg(F.count("*").alias("_n"))
-    per_class = Window.partitionBy("_label")
-    upto = per_class.orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = (
-        slots.withColumn("_upto", F.sum("_n").over(upto))
-        .withColumn("_quota", F.floor(F.lit(frac) * F.sum("_n").over(per_class) + F.lit(0.5)).cast("bigint"))
-        .where((F.col("_upto") - F.col("_n") < F.col("_quota")) & (F.col("_quota") <= F.col("_upto")))
-        .select(F.col("_label").alias("_elabel"), F.col("_slot").alias("_eslot"),
-                (F.col("_quota") - (F.col("_upto") - F.col("_n"))).alias("_left"))
-    )
-    inside = Window.partitionBy("_elabel", "_slot").orderBy("_h")
-    thresholds = (
-        # at most one edge slot per class
-        rows.join(edge, F.col("_label").eqNullSafe(F.col("_elabel")) & (F.col("_slot") == F.col("_eslot")))
-        .withColumns({"_rank": F.row_number().over(inside), "_next": F.lead("_h").over(inside)})
-        .where(F.col("_rank") == F.col("_left"))
-        .withColumn("_h", F.when(F.col("_h") == F.col("_next"), F.raise_error(F.lit("the quota ends between rows of one key"))).otherwise(F.col("_h")))
-        .select(F.col("_elabel").alias("_label"), F.col("_h").alias("_last"))
-    )
-    return (
-        df.withColumn("_h", digest)
-        .join(small_side(thresholds), F.col(label).eqNullSafe(F.col("_label")), "left")
-        .withColumn(out, F.coalesce((F.col("_h") <= F.col("_last")).cast("int"), F.lit(0)))
-        .drop("_h", "_last", "_label")
-    )
+    h, whole = hash_long(key, seed=seed), F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith("map")])
+    quota = lambda n: F.array(F.floor(F.lit(frac) * n + F.lit(0.5)))
+    h = F.coalesce(h, F.lit(-1).cast("bigint"))
+    edge = select_ranks(df.select(F.col(label).alias("g"), h.alias("key")), quota, task_rows)
+    edge = edge.select(F.col("g").alias("_label"), F.col("key").alias("_last"), (F.col("rank") - F.col("below")).alias("_left"),
+                       "equal")
+    rows = df.withColumn("_h", h).join(edge, F.col(label).eqNullSafe(F.col("_label")), "left")
+    marked = F.coalesce((F.col("_h") <= F.col("_last")).cast("int"), F.lit(0))
+    torn = edge.where(F.col("_left") < F.col("equal"))
+    if torn.isEmpty():
+        return rows.select(*df.columns, marked.alias(out))
+
+    # The quota of some class ends between rows of one key: the same again over whole rows.
+    at_edge = (F.col("_h") == F.col("_last")) & (F.col("_left") < F.col("equal"))
+    tied = rows.where(at_edge).select(F.col(label).alias("g"), whole.alias("key"))
+    inner = select_ranks(tied, torn.select(F.col("_label").alias("g"), F.col("_left").alias("rank")), task_rows)
+    inner = inner.select(F.col("g").alias("_tied"), F.col("key").alias("_last_row"),
+                         (F.col("rank") - F.col("below")).alias("_copies"), F.col("equal").alias("_of"))
+    rows = rows.withColumn("_row", F.when(F.coalesce(at_edge, F.lit(False)), whole)).join(
+        inner, F.col(label).eqNullSafe(F.col("_tied")), "left")
+    marked = F.when(F.col("_row").isNull(), marked).otherwise((F.col("_row") <= F.col("_last_row")).cast("int"))
+    split = F.coalesce((F.col("_row") == F.col("_last_row")) & (F.col("_copies") < F.col("_of")), F.lit(False))
+    whole_rows = rows.where(~split).select(*df.columns, marked.alias(out))
+    copies = rows.where(split).groupBy(*df.columns, "_copies").agg(F.count("*").alias("_n"))
+    number = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("_i")
+    return whole_rows.unionByName(copies.select(*df.columns, "_copies", number).select(
+        *df.columns, (F.col("_i") <= F.col("_copies")).cast("int").alias(out)))

@@ -91,6 +91,25 @@ def test_minmax_constant_column(spark):
     assert [r["x"] for r in profile.minmax_normalize(df, "x").collect()] == [0.0, 0.0]
 
 
+def test_correlations_of_many_columns_with_gaps(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 60)) @ rng.normal(size=(60, 60)) + 1e7  # means far beyond the deviations
+    x[:, 7] = 3.0
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 9] = np.nan
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(60)])
+    table = profile.correlation_matrix(spark.createDataFrame(pdf).repartition(7), list(pdf.columns))
+    got = table.toPandas().pivot(index="a", columns="b", values="corr").loc[pdf.columns, pdf.columns].to_numpy(float)
+    want = pdf.corr().to_numpy()
+    assert np.isnan(got[7]).all() and np.isnan(got[:, 9]).all()
+    assert np.nanmax(np.abs(got - want)) < 1e-6 and (np.isnan(got) == np.isnan(want)).sum() >= 3600 - 60
+
+
+def test_correlations_without_rows(spark):
+    empty = spark.createDataFrame([], "a double, b double")
+    assert [r["corr"] for r in profile.correlation_matrix(empty, ["a", "b"]).collect()] == [None] * 4
+
+
 def test_quantile_tiers_like_qcut(spark):
     values = [float(v) for v in range(1, 21)]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskweave.functions import arrays
-from riskweave.operators import neighbours, profile, sampling, words
+from riskweave.operators import neighbours, profile, sampling, selection, words
 from riskweave.operators import sequences as S
 
 
@@ -46,11 +46,35 @@ def test_missing_keys_are_no_group(spark):
     assert sorted(r["user_mean_order"] or 0 for r in profile.attach_group_stats(df, "k", "v").collect()) == [0, 2.0, 2.0]
 
 
-def test_stratified_split_refuses_a_quota_within_a_key(spark):
+@pytest.mark.parametrize("task_rows", [10**5, 3])
+def test_stratified_split_is_exact_on_ties(spark, task_rows):
     once = spark.createDataFrame([(i, i % 2) for i in range(100)], "k int, y int")
-    assert sampling.stratified_split(once, "k", "y", 0.2).where("is_test = 1").count() == 20
-    with pytest.raises(Exception, match="rows of one key"):
-        sampling.stratified_split(once.selectExpr("0 AS k", "y"), "k", "y", 0.2).collect()
+    marks = lambda df: sorted(map(tuple, df.groupBy("y").agg(F.sum("is_test")).collect()), key=repr)
+    split = lambda df: sampling.stratified_split(df, "k", "y", 0.2, task_rows=task_rows)
+    assert marks(split(once)) == [(0, 10), (1, 10)]
+    assert split(once).where("is_test = 1").exceptAll(split(once.repartition(7)).where("is_test = 1")).isEmpty()
+    one_key = once.selectExpr("0 AS k", "y", "k AS other")  # rows of one key that differ otherwise
+    assert marks(split(one_key)) == [(0, 10), (1, 10)] and split(one_key).count() == 100
+    equal = once.selectExpr("CAST(NULL AS INT) AS k", "nullif(y, 1) AS y")  # equal rows, no key, a class without a name
+    assert marks(split(equal)) == [(0, 10), (None, 10)] and split(equal).count() == 100
+    assert split(once.where("k < 0")).count() == 0
+
+
+@pytest.mark.parametrize("task_rows", [10**5, 2])
+def test_ranks_by_digits(spark, task_rows):
+    rng = random.Random(7)
+    keys = [rng.choice([5, -(2**63), 2**63 - 1, rng.randrange(-(2**62), 2**62), rng.randrange(1000)]) for _ in range(600)]
+    data = [(None if i % 3 else "a", k) for i, k in enumerate(keys)] + [("a", None), ("b", 4)]
+    found = selection.select_ranks(spark.createDataFrame(data, "g string, key long"),
+                                   lambda n: F.array(F.lit(0), F.lit(1), F.ceil(n / 2), n, n + 1), task_rows)
+    got = {(r.g, r["rank"]): (r.n, r.key, r.below, r.equal) for r in found.collect()}
+    want = {}
+    for g in ("a", None, "b"):
+        of = sorted(k for h, k in data if h == g and k is not None)
+        for rank in (1, -(-len(of) // 2), len(of)):
+            k = of[rank - 1]
+            want[g, rank] = (len(of), k, sum(x < k for x in of), of.count(k))
+    assert got == want
 
 
 @pytest.mark.parametrize("max_scans", [4, 0])
