@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .sketches import exact_quantiles
 
 SINGLE_TASK_ROWS = 1_000_000
 
@@ -59,7 +60,6 @@ def running_totals(
 # ---------------------------------------------------------------- quantiles
 
 BUFFER_VALUES = 50_000
-SKETCH_ERROR = 1e-4
 
 
 def quantile_row(
@@ -72,7 +72,7 @@ def quantile_row(
     """One row with an array of linearly interpolated quantiles per column; NULL and NaN are left out.
 
     The built-in exact aggregate keeps every distinct value in one buffer, so it is used only for
-    columns whose distinct count was checked. The others go through :func:`_bracketed`.
+    columns whose distinct count was checked. The others go through :func:`exact_quantiles`.
     ``approx=True`` reads everything from sketches.
     """
     x = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in probs])
@@ -80,7 +80,7 @@ def quantile_row(
         return x.agg(*[F.percentile_approx(c, [float(p) for p in ps], 100_000).alias(c) for c, ps in probs.items()])
     sizes = x.agg(*[F.approx_count_distinct(c).alias(c) for c in probs]).first()
     large = {c: ps for c, ps in probs.items() if sizes[c] > buffer_values}
-    known = _bracketed(x, large, single_task_rows) if large else {}
+    known = exact_quantiles(x, large, single_task_rows=single_task_rows) if large else {}
     cells = {
         c: F.array(*[F.lit(v) for v in known[c]]) if c in known
         else F.percentile(c, F.array(*[F.lit(float(p)) for p in ps]))
@@ -91,50 +91,6 @@ def quantile_row(
     return base.select(*[cells[c].alias(c) if c in known else F.col(c) for c in probs])
 
 
-def _bracketed(x: DataFrame, probs: Mapping[str, Sequence[float]], single_task_rows: int) -> dict[str, list[float]]:
-    """Exact quantiles without gathering or sorting the columns.
-
-    A sketch with error ``e`` read at ``p - 2e`` and ``p + 2e`` surely encloses the order statistics
-    around ``p``. Counting the rows below that bracket turns the global rank into a rank inside it,
-    and only the few rows inside are ordered, for all columns and probabilities at once.
-    """
-    err = SKETCH_ERROR
-    wanted = [(c, float(p)) for c, ps in probs.items() for p in ps]
-    points = {c: sorted({min(max(p + d * err, 0.0), 1.0) for p in ps for d in (-2, 2)}) for c, ps in probs.items()}
-    sketch = x.agg(*[F.percentile_approx(c, pts, round(1 / err)).alias(c) for c, pts in points.items()],
-                   *[F.count(c).alias(f"n_{c}") for c in probs]).first()
-    brackets = []
-    for c, p in wanted:
-        at = dict(zip(points[c], sketch[c]))
-        coarse = sketch[f"n_{c}"] * err < 4  # too few rows for the error bound to leave a margin
-        lo = -math.inf if coarse or p <= 3 * err else at[min(max(p - 2 * err, 0.0), 1.0)]
-        hi = math.inf if coarse or p >= 1 - 3 * err else at[min(max(p + 2 * err, 0.0), 1.0)]
-        brackets.append((c, p, F.col(c) < F.lit(lo), F.col(c).between(F.lit(lo), F.lit(hi))))
-    counts = x.agg(*[F.count_if(below).alias(f"below{i}") for i, (_, _, below, _) in enumerate(brackets)],
-                   *[F.count_if(inside).alias(f"inside{i}") for i, (_, _, _, inside) in enumerate(brackets)]).first()
-    rows = x.select(F.explode(F.array_compact(F.array(*[
-        F.when(inside, F.struct(F.lit(i).alias("b"), F.col(c).alias("v")))
-        for i, (c, _, _, inside) in enumerate(brackets)
-    ]))).alias("e")).select("e.b", "e.v")
-    grouped = rows.groupBy("b", "v").agg(F.count("*").alias("c"))
-    sizes = [counts[f"inside{i}"] for i in range(len(brackets))]
-    run = running_totals(grouped, [F.col("b"), F.col("v")], {"upto": "c"}, sum(sizes), single_task_rows)
-    picks, fracs = [], []
-    for i, (c, p, _, _) in enumerate(brackets):
-        rank = (sketch[f"n_{c}"] - 1) * p
-        fracs.append(rank - math.floor(rank))
-        first = sum(sizes[:i]) + math.floor(rank) - counts[f"below{i}"]
-        for step in (0, 1):
-            hit = (F.col("b") == i) & (F.col("upto") > F.lit(first + step))
-            picks.append(F.min(F.when(hit, F.col("v"))).alias(f"q{i}_{step}"))
-    found = run.agg(*picks).first()
-    out: dict[str, list[float]] = {c: [] for c in probs}
-    for i, (c, _) in enumerate(wanted):
-        low, high = found[f"q{i}_0"], found[f"q{i}_1"]
-        out[c].append(low if high is None or fracs[i] == 0 else low + (high - low) * fracs[i])
-    return out
-
-
 # ---------------------------------------------------------------- dense codes
 
 def dense_codes(df: DataFrame, col: str, start: int = 0, max_values: int = SINGLE_TASK_ROWS) -> DataFrame:

@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from .comoments import comoments, correlations
 from .ordering import quantile_row
+from .sketches import described, exact_quantiles, profile_parts
 
 
 STATS = "_stats"
+QUARTILES = (0.25, 0.5, 0.75)
 
 
 def one_row(stats: DataFrame) -> Column:
@@ -81,21 +84,16 @@ def missing_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 
 
 def describe(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
-    """One row per column: count, mean, sample deviation, min, exact quartiles, max."""
-    q = one_row(quantile_row(df, {c: [0.25, 0.5, 0.75] for c in cols}, approx=approx))
-    one = df.agg(*[
-        F.struct(
-            F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-            F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"),
-        ).alias(f"_{c}") for c in cols
-    ])
-    rows = F.explode(F.array(*[
-        F.struct(F.col(f"_{c}").alias("s"), F.col("_q")[c].cast("array<double>").alias("q")) for c in cols
-    ]))
-    return one.withColumn("_q", q).select(rows.alias("r")).select(
-        "r.s.column", "r.s.n", "r.s.mean", "r.s.std", "r.s.min",
-        F.col("r.q")[0].alias("p25"), F.col("r.q")[1].alias("p50"), F.col("r.q")[2].alias("p75"), "r.s.max",
-    )
+    """One row per column: count, mean, sample deviation, min, quartiles, max. NULL and NaN are missing. The table is read
+    twice, once for the profile and once for exact quartiles; ``approx=True`` leaves out the second time."""
+    parts = materialize(profile_parts(df, cols))
+    found = described(parts, QUARTILES)
+    if not approx:
+        exact = exact_quantiles(df, {c: QUARTILES for c in cols}, parts)
+        rows = df.sparkSession.createDataFrame(list(exact.items()), "column string, exact array<double>")
+        found = found.join(F.broadcast(rows), "column").withColumn("quantiles", F.col("exact"))  # a row per column
+    return found.select("column", "n", "mean", "std", "min", *[F.get("quantiles", F.lit(i)).alias(f"p{round(100 * p)}")
+                                                              for i, p in enumerate(QUARTILES)], "max")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.operators import ordering, profile
+from riskweave.operators import ordering, profile, sketches
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +34,37 @@ def test_quantiles_skip_null_and_nan(spark):
     assert ordering.quantile_row(df, {"x": [0.5]}).first()["x"] == [2.0]
 
 
+def test_quantiles_are_found_however_narrow_the_bracket(spark):
+    n = 60_000
+    df = spark.range(n).select(((F.col("id") * 7919) % n).cast("double").alias("x"), F.lit(None).cast("double").alias("none"))
+    got = sketches.exact_quantiles(df, {"x": [0.0, 0.37, 0.5, 1.0], "none": [0.5]},
+                                   sketches.profile_parts(df, ["x", "none"], size=16), margin=1e-7)
+    assert got["x"] == pytest.approx(np.quantile(np.arange(n), [0.0, 0.37, 0.5, 1.0])) and got["none"] == [None]
+
+
+def test_profiles_of_parts_add_up(spark, numbers):
+    df, x = numbers
+    df = df.withColumn("day", F.when(F.col("x") < 60, F.floor(F.col("x") / 20)).cast("int"))  # NULL is a part, too
+    gaps = df.select("day", F.when(F.col("y") > 0, F.col("x") + 1e9).alias("x"), F.lit(None).cast("double").alias("none"))
+    stored = [sketches.profile_parts(gaps.where(f"day <=> {d}"), ["x", "none"], ["day"]) for d in (0, 1, 2, "NULL")]
+    parts = stored[0]
+    for part in stored[1:]:
+        parts = parts.unionByName(part)  # a new part is profiled alone
+    both = [{r["column"]: r for r in sketches.described(p).collect()}
+            for p in (sketches.merge_profiles(parts), sketches.profile_parts(gaps, ["x", "none"]))]
+    got, want = both[0]["x"], gaps.where("x IS NOT NULL").toPandas()["x"]
+    assert (got.n_rows, got.n, got.min, got.max) == (3000, len(want), want.min(), want.max())
+    assert got["mean"] == pytest.approx(want.mean(), rel=1e-14) and got["std"] == pytest.approx(want.std(), rel=1e-6)
+    assert got.quantiles == both[1]["x"].quantiles  # few enough values for the sketch to keep them all
+    assert [(p["none"].n, p["none"].quantiles, p["none"]["mean"]) for p in both] == [(0, None, None)] * 2
+
+
+def test_describe_of_nothing(spark):
+    rows = spark.createDataFrame([(None,), (float("nan"),)], "x double")
+    for df in (rows, rows.limit(0)):
+        assert [tuple(r) for r in profile.describe(df, ["x"]).collect()] == [("x", 0, *[None] * 7)]
+
+
 def test_running_totals_by_ranges_equal_one_window(spark):
     df = spark.range(500).select(F.col("id").alias("k"), (F.col("id") % 7).alias("n"))
     one = ordering.running_totals(df, [F.col("k")], {"s": "n"}, 500)
