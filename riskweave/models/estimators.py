@@ -146,13 +146,13 @@ def score(model: Model, df: DataFrame, out: str = "p") -> DataFrame:
     return scored.select(*df.columns, positive_probability(scored).alias(out))
 
 
-def score_applicants(df: DataFrame, models: Mapping[str, Model], key: str) -> DataFrame:
-    """One row per applicant and model: Yes/No, probability and Accept / Review / Reject."""
+def score_applicants(df: DataFrame, models: Mapping[str, Model], key: str, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per applicant and model: Yes/No, probability and Accept / Review / Reject, and the columns to keep."""
     out = None
     for name, model in models.items():
         p = F.col("p")
         one = score(model, df).select(
-            key, F.lit(name).alias("model"), C.yes_no(p).alias("predicted_default"),
+            key, *keep, F.lit(name).alias("model"), C.yes_no(p).alias("predicted_default"),
             F.round(p, 3).alias("default_probability"),
             C.risk_bucket(p, [0.30, 0.60], ["Accept", "Review", "Reject"], closed="right").alias("risk_bucket"))
         out = one if out is None else out.unionByName(one)

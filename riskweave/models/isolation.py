@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hash_key, hash_unit
 from ..operators.profile import minmax_normalize
-from ..session import materialize
+from ..session import shared_dir
 
 TREE_SCHEMA = "tree int, feature array<int>, threshold array<double>, path array<double>"
 
@@ -96,8 +97,11 @@ class IsolationForestModel:
 
     def flag(self, df: DataFrame, threshold: float = 0.5) -> DataFrame:
         """Scores scaled to [0, 1] over the scored rows, and 1 where that exceeds the threshold. The
-        scored rows are written once, as walking the trees a second time for the bounds costs more."""
-        scaled = minmax_normalize(materialize(self.score(df)), "anomaly", "iso_score")
+        scored rows are written once to the shared folder, as walking the trees a second time for the bounds costs more; in
+        columns, so that the bounds read the scores alone and a later selection what it needs."""
+        path = f"{shared_dir(self.spark)}/scored-{uuid.uuid4().hex}"
+        self.score(df).write.parquet(path)
+        scaled = minmax_normalize(self.spark.read.parquet(path), "anomaly", "iso_score")
         return scaled.withColumn("iso_flag", (F.col("iso_score") > threshold).cast("int")).drop("anomaly")
 
     def frame(self) -> DataFrame:

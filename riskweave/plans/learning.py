@@ -173,11 +173,21 @@ def smote_logistic(t):
     return E.classifier_metrics(E.score(model, test))
 
 
-@query("score_applicants", """
-SELECT o_orderkey, model, true AS bucket_fits FROM orders, (VALUES ('Linear Regression'), ('Random Forest')) m(model)
+def clear_label():
+    """The label's rule for orders far from its limits; NULL for the others."""
+    price = F.col("o_totalprice")
+    return F.when(price > 270000, 1).when(price < 140000, 0).when(price.between(165000, 235000), (weekday_of("o_orderdate") >= 5).cast("int"))
+
+
+@query("score_applicants", f"""
+SELECT o_orderkey, model, true AS bucket_fits,
+       CASE WHEN odd THEN NULL WHEN o_totalprice > 300000 THEN 'Yes' WHEN o_totalprice < 100000 THEN 'No' END AS predicted_default
+FROM (SELECT *, {hash_sql('o_orderkey', 'noise')} < 85899346 AS odd FROM orders), (VALUES ('Linear Regression'), ('Random Forest')) m(model)
 """)
 def score_applicants(t):
-    """Every order under both models; the bucket has to follow from the probability."""
+    """Every order under both models. The bucket has to follow from the probability, and the answer for very dear and very
+    cheap orders from the label's rule. Not shown are the answers on the others, which SQL cannot tell, and on the two
+    percent with wrong labels, which a forest may learn by heart."""
     rows = fraud_rows(t)
     train, _ = parts(rows)
     stages = E.preprocess_stages(FRAUD_NUM)
@@ -185,21 +195,25 @@ def score_applicants(t):
         models = {
             "Linear Regression": Pipeline(stages=[*stages, E.linear_regression()]).fit(train),
             "Random Forest": Pipeline(stages=[*stages, E.random_forest_classifier()]).fit(train)}
-    scored = E.score_applicants(rows, models, "o_orderkey")
+    price = F.col("o_totalprice")
+    shown = ((price > 300000) & (F.col("label") == 1)) | ((price < 100000) & (F.col("label") == 0))
+    scored = E.score_applicants(rows.withColumn("shown", shown), models, "o_orderkey", keep=["shown"])
     p = F.col("default_probability")
     low, high = (F.col("risk_bucket") == b for b in ("Accept", "Reject"))
     # Probabilities are rounded to three digits, buckets come from the unrounded ones.
     fits = p.between(0, 1) & ((p < 0.3) <= low) & (low <= (p <= 0.3005)) & ((p > 0.6005) <= high) & (high <= (p >= 0.6))
-    return scored.select("o_orderkey", "model", fits.alias("bucket_fits"))
+    return scored.select("o_orderkey", "model", fits.alias("bucket_fits"),
+                         F.when(F.col("shown"), F.col("predicted_default")).alias("predicted_default"))
 
 
 @query("score_orders", """
-SELECT o_orderkey, true AS proba_in_range, true AS flag_follows, true AS iso_in_range FROM orders
+SELECT o_orderkey, true AS flag_follows, true AS iso_follows, true AS rule_found FROM orders
 """)
 def score_orders(t):
     """Scoring run: model, scaler and isolation forest are saved, loaded, applied to every order, and the result is
-    written as CSV and read back."""
-    rows = fraud_rows(t)
+    written as CSV and read back. Flags have to follow from the scores, and at least 98 of 100 flags of orders far from the
+    label's limits have to be what its rule says (two of 100 labels are noise)."""
+    rows = fraud_rows(t).withColumn("rule", clear_label())
     train, _ = parts(rows)
     scaled = [f"{c}_z" for c in FRAUD_NUM]
     place = f"{shared_dir(t.spark)}/scoring-{uuid.uuid4().hex}"
@@ -211,12 +225,13 @@ def score_orders(t):
     model, forest = store.load_model(f"{place}/model"), isolation.IsolationForestModel.load(t.spark, f"{place}/forest")
     ready = model.stages[0].transform(rows)
     scored = store.score_batch(ready, PipelineModel(stages=model.stages[1:]), forest)
-    scored = scored.select("o_orderkey", "proba", "flag", "iso_score", "iso_flag")
+    scored = scored.select("o_orderkey", "rule", "proba", "flag", "iso_score", "iso_flag")
     files.write_csv(scored, f"{place}/scores")
     back = files.read_csv(t.spark, f"{place}/scores", scored.schema)
-    return back.select("o_orderkey", F.col("proba").between(0, 1).alias("proba_in_range"),
-                       ((F.col("proba") >= 0.5) == (F.col("flag") == 1)).alias("flag_follows"),
-                       (F.col("iso_score").between(0, 1) & F.col("iso_flag").isin(0, 1)).alias("iso_in_range"))
+    told = back.agg((F.avg((F.col("flag") == F.col("rule")).cast("double")) >= 0.98).alias("found"))
+    return back.select("o_orderkey", (F.col("proba").between(0, 1) & ((F.col("proba") >= 0.5) == (F.col("flag") == 1))).alias("flag_follows"),
+                       (F.col("iso_score").between(0, 1) & ((F.col("iso_score") > 0.5) == (F.col("iso_flag") == 1))).alias("iso_follows"),
+                       profile.one_row(told)["found"].alias("rule_found"))
 
 
 @query("model_reload", FRAUD_SQL + "SELECT n, 0::BIGINT AS n_different FROM held")
@@ -229,13 +244,24 @@ def model_reload(t):
     return store.compare_scores(model, store.load_model(path), test)
 
 
-@query("isolation_forest", "SELECT o_orderkey, true AS score_in_range, true AS flag_is_binary FROM orders")
+ODD_SQL = hash_sql("o_orderkey", "odd") + " < 8589934"  # one order in 500
+
+
+@query("isolation_forest", f"""
+SELECT o_orderkey, {ODD_SQL} AS planted, CASE WHEN {ODD_SQL} THEN 1 END AS iso_flag, true AS others_rare FROM orders
+""")
 def isolation_forest(t):
-    rows = fraud_rows(t)
+    """Every order, with the flags of planted odd ones, which are far out in three features: all have to be flagged, and at
+    most one in ten of the others, whose own flags SQL cannot tell."""
+    rows = fraud_rows(t).withColumn("planted", hash_int("o_orderkey", seed="odd") < 8589934)
+    for name, far in (("o_totalprice", 2e6), ("order_value_deviation", 30.0), ("user_device_changes", 40)):
+        rows = rows.withColumn(name, F.when(F.col("planted"), F.lit(far)).otherwise(F.col(name).cast("double")))
     scaled = prepare.standard_scale(rows, FRAUD_NUM)
-    forest = isolation.fit_isolation_forest(scaled, "o_orderkey", FRAUD_NUM, trees=200)
-    return forest.flag(scaled).select("o_orderkey", F.col("iso_score").between(0, 1).alias("score_in_range"),
-                                      F.col("iso_flag").isin(0, 1).alias("flag_is_binary"))
+    fitted = isolation.fit_isolation_forest(scaled, "o_orderkey", FRAUD_NUM, trees=200)
+    flagged = fitted.flag(scaled)
+    rare = flagged.where("NOT planted").agg((F.avg("iso_flag") <= 0.1).alias("rare"))
+    return flagged.select("o_orderkey", "planted", F.when(F.col("planted"), F.col("iso_flag")).alias("iso_flag"),
+                          profile.one_row(rare)["rare"].alias("others_rare"))
 
 
 @query("importance", "SELECT 6::BIGINT AS n, 1.0::DOUBLE AS total, 'o_totalprice' AS first")
