@@ -1,7 +1,7 @@
 """Models: fitted on whole tables, checked by their numbers.
 
-Fraud models, importances, attributions and the scoring run use the full tree counts. The value models, the grid and the
-late-payment model use fewer trees than the estimators' defaults, so that a run takes seconds.
+Fraud and value models, importances, attributions and the scoring run use the full tree counts. The grid and the late-payment
+model use fewer trees than the estimators' defaults, so that a run takes seconds.
 """
 
 import uuid
@@ -58,8 +58,8 @@ def clv_models(t):
     pre = Pipeline(stages=E.preprocess_stages(CLV_NUM, CLV_CAT)).fit(train)
     train, test = pre.transform(train), pre.transform(test)
     estimators = {
-        "Boosted trees": E.gbt_regressor(rounds=10, depth=4), "Linear regression": E.linear_regression(),
-        "Random forest": E.random_forest_regressor(trees=20, depth=8)}
+        "Boosted trees": E.gbt_regressor(), "Linear regression": E.linear_regression(),
+        "Random forest": E.random_forest_regressor()}
     with cached(train):
         models = {name: est.fit(train) for name, est in estimators.items()}
     return metrics.compare_models({
