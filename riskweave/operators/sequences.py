@@ -1,38 +1,51 @@
 """Per-key sequences: sliding windows with a next-step label, and velocity counts.
 
-One key may hold a large share of the table. Keys are therefore cut along their order into
-slices; every slice is windowed on its own and receives the few values it needs from the
-slices before it, so no task has to hold a whole key.
+One key may hold a large share of the table. The rows of such keys are cut into slices of a bounded number of rows, at
+order statistics of key and order that Spark's range partitioning draws. Every slice is windowed on its own and receives
+the few values it needs from the slices before it, so no task has to hold a whole key, however its rows bunch in time.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import micros_of
-from ..session import materialize
+from ..session import materialize, small_side
 
 KEY_ROWS = 1_000_000  # rows of one key that one task may order
 FRAME_ROWS = 10_000  # rows of one key over which a sliding frame may be added up per row
+SLICE_ROWS = 500_000  # rows of a slice of busy keys, on average
 
 
 def split_by_key_size(
     df: DataFrame, key: str, key_rows: int,
-    light: Callable[[DataFrame], DataFrame], heavy: Callable[[DataFrame], DataFrame],
+    light: Callable[[DataFrame], DataFrame], heavy: Callable[[DataFrame, int], DataFrame],
 ) -> DataFrame:
-    """Apply ``light`` to keys of at most ``key_rows`` rows and ``heavy`` to the others.
+    """Apply ``light`` to keys of at most ``key_rows`` rows and ``heavy``, which is told the number of rows, to the others.
 
     The count combines map-side. Heavy keys are few (rows / key_rows at most); they are written
     once so both branches agree on them, and Spark picks the join from their actual size.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > key_rows).select(key)
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > key_rows)
     if not counts.take(1):
         return light(df)
     hot = materialize(counts)
-    return light(df.join(hot, key, "left_anti")).unionByName(heavy(df.join(hot, key, "left_semi")))
+    rows = hot.agg(F.sum("_n")).first()[0]
+    hot = hot.select(key)
+    return light(df.join(hot, key, "left_anti")).unionByName(heavy(df.join(hot, key, "left_semi"), rows))
+
+
+def cut_by_rows(df: DataFrame, key: str, order: Sequence[str], rows: int, slice_rows: int) -> DataFrame:
+    """Add ``_slice``: numbers that grow along ``key`` and ``order``, each on about ``slice_rows`` of the ``rows`` rows.
+
+    The bounds come from a sample, so the result is written once and every later stage sees the same slices.
+    """
+    parts = max(1, math.ceil(rows / slice_rows))
+    return materialize(df.repartitionByRange(parts, key, *order).withColumn("_slice", F.spark_partition_id()))
 
 
 def sliding_sequences(
@@ -41,55 +54,49 @@ def sliding_sequences(
     order: Sequence[str],
     features: Mapping[str, Column],
     length: int = 6,
-    slice_by: Column | None = None,
     key_rows: int = KEY_ROWS,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Every run of ``length`` consecutive rows of a key that is followed by another row.
 
     The row after the run is the output row; its own columns stay available for the label, and
     ``seq`` holds the run in order. Keys with at most ``length`` rows give nothing.
 
-    ``slice_by`` is a coarse value that never falls along ``order`` (a month of the order date,
-    say). Keys beyond ``key_rows`` rows are worked on slice by slice; rows without a slice come first.
-    Rows without a key belong to no sequence.
+    ``order`` has to tell the rows of a key apart. Keys beyond ``key_rows`` rows are cut into slices of about
+    ``slice_rows`` rows. Rows without a key belong to no sequence.
     """
     df = df.where(F.col(key).isNotNull())
-    if slice_by is None:
-        return _slide(df, key, order, features, length, None)
     return split_by_key_size(
         df, key, key_rows,
-        lambda d: _slide(d, key, order, features, length, None),
-        lambda d: _slide(d, key, order, features, length, slice_by),
+        lambda d: _slide(d, df.columns, key, order, features, length, False),
+        lambda d, rows: _slide(cut_by_rows(d, key, order, rows, slice_rows), df.columns, key, order, features, length, True),
     )
 
 
-def _slide(df, key, order, features, length, slice_by) -> DataFrame:
-    cells = F.struct(*[c.alias(n) for n, c in features.items()])
-    rows = df.withColumn("_cell", cells).withColumn("_slice", slice_by if slice_by is not None else F.lit(0))
-    inside = Window.partitionBy(key, "_slice").orderBy(*order)
+def _slide(df, columns, key, order, features, length, sliced) -> DataFrame:
+    rows = df.withColumn("_cell", F.struct(*[c.alias(n) for n, c in features.items()]))
+    group = [key, "_slice"] if sliced else [key]
+    inside = Window.partitionBy(*group).orderBy(*order)
     rows = rows.withColumn("_here", F.collect_list("_cell").over(inside.rowsBetween(-length, -1)))
-    if slice_by is not None:
+    if sliced:
         # Last cells of every slice, then the last cells of all earlier slices of the key.
         ends = (
-            rows.select(key, "_slice", *order, "_cell")
-            .withColumn("_back", F.row_number().over(
-                Window.partitionBy(key, "_slice").orderBy(*[F.col(o).desc() for o in order])))
+            df.withColumn("_cell", F.struct(*[c.alias(n) for n, c in features.items()]))
+            .select(*group, *order, "_cell")
+            .withColumn("_back", F.row_number().over(Window.partitionBy(*group).orderBy(*[F.col(o).desc() for o in order])))
             .where(F.col("_back") <= length)
-            .groupBy(key, "_slice")
+            .groupBy(*group)
             .agg(F.sort_array(F.collect_list(F.struct((-F.col("_back")).alias("p"), F.col("_cell").alias("c")))).alias("l"))
-            .select(key, "_slice", F.transform("l", lambda e: e["c"]).alias("_tail"))
+            .select(*group, F.transform("l", lambda e: e["c"]).alias("_tail"))
         )
-        # A slice holds at least one row, so `length` earlier slices hold every cell needed.
-        # The last slice of the key looks back the same way, hence the frame ends before it.
+        # A slice holds at least one row of the key, so `length` earlier slices hold every cell needed.
         earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(-length, -1)
-        carried = ends.select(F.col(key).alias("_carry_key"), F.col("_slice").alias("_carry_slice"),
-                              F.flatten(F.collect_list("_tail").over(earlier)).alias("_carry"))
-        rows = rows.join(carried, (F.col(key) == F.col("_carry_key")) & F.col("_slice").eqNullSafe(F.col("_carry_slice")), "left")
-        rows = rows.withColumn("_here", F.concat(F.col("_carry"), F.col("_here")))
+        carried = ends.select(*group, F.flatten(F.collect_list("_tail").over(earlier)).alias("_carry"))
+        rows = rows.join(small_side(carried), group).withColumn("_here", F.concat("_carry", "_here"))
     return (
         rows.where(F.size("_here") >= length)
         .withColumn("seq", F.slice("_here", -length, length))
-        .select(*df.columns, "seq")
+        .select(*columns, "seq")
     )
 
 
@@ -124,8 +131,8 @@ def flatten_steps(seq: Column | str, fields: Sequence[str]) -> Column:
 
 
 def velocity_counts(
-    df: DataFrame, key: str, ts: str, horizons: Mapping[str, int], slice_seconds: int = 900,
-    key_rows: int = FRAME_ROWS,
+    df: DataFrame, key: str, ts: str, horizons: Mapping[str, int], key_rows: int = FRAME_ROWS,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """For each row, the rows of its key in the last ``seconds`` up to and including its instant,
     as one column per ``name: seconds`` in ``horizons``. NULL keys or times give NULL counts.
@@ -133,8 +140,6 @@ def velocity_counts(
     Spark adds a sliding frame up again for every row, so its cost grows with the square of a busy
     key. Keys beyond ``key_rows`` rows are counted by differences of running counts instead.
     """
-    if any(s % slice_seconds for s in horizons.values()):
-        raise ValueError("every horizon must be a whole number of slices")
     micros = micros_of(ts, dict(df.dtypes)[ts] == "timestamp")
 
     def ranged(d: DataFrame) -> DataFrame:
@@ -147,54 +152,52 @@ def velocity_counts(
             for name, s in horizons.items()
         ])
 
-    return split_by_key_size(df, key, key_rows, ranged, lambda d: _sliced_counts(d, key, ts, horizons, slice_seconds))
+    return split_by_key_size(
+        df, key, key_rows, ranged, lambda d, rows: _running_counts(d.withColumn("_t", micros), key, horizons, rows, slice_rows))
 
 
-def _sliced_counts(df: DataFrame, key: str, ts: str, horizons: Mapping[str, int], slice_seconds: int) -> DataFrame:
-    """The same counts for keys too big for one task.
+def _running_counts(df: DataFrame, key: str, horizons: Mapping[str, int], rows: int, slice_rows: int) -> DataFrame:
+    """The same counts for keys too big for one task; ``_t`` is the instant in microseconds.
 
-    Time is cut into slices of ``slice_seconds``. A horizon of ``m`` slices covers the own slice up
-    to now, ``m - 1`` whole slices, and the late part of one more slice, whose rows are sent ahead
-    by one horizon. A task sees one slice of one key plus those copies: a busy key is spread over
-    all of its slices, and each row travels once per horizon plus once.
+    Rows of one instant are counted first, so a burst is one line. Every line enters the running count at its instant and
+    leaves that of horizon ``h`` right after ``instant + h``; a count is what has entered less what has left. The running
+    counts are added up per slice, with the totals of the key's earlier slices in front.
     """
-    width = slice_seconds * 1_000_000
-    micros = micros_of(ts, dict(df.dtypes)[ts] == "timestamp")
-    rows = df.withColumn("_t", micros).withColumn("_row", F.struct(*df.columns))
-    dated = rows.where(F.col("_t").isNotNull() & F.col(key).isNotNull())
-
-    # _kind 0: the row itself; _kind h: a copy sent ahead by horizon h, counted at the far end.
-    copies = [F.struct(F.lit(0).alias("kind"), F.col("_t").alias("t"), F.col("_row").alias("row"))]
-    for h, seconds in enumerate(horizons.values(), 1):
-        copies.append(F.struct(
-            F.lit(h).alias("kind"), (F.col("_t") + F.lit(seconds * 1_000_000)).alias("t"),
-            F.lit(None).cast(rows.schema["_row"].dataType).alias("row")))
-    sent = (
-        dated.select(F.col(key).alias("_key"), F.explode(F.array(*copies)).alias("e"))
-        .select("_key", "e.kind", "e.t", "e.row")
-        .withColumn("_slice", F.floor(F.col("t") / F.lit(width)))
-    )
-    # Frames that only grow are updated row by row; any other frame is added up again for every row.
-    slices = Window.partitionBy("_key", "_slice")
-    upto = slices.orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    before = slices.orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    counted = sent.select("*", F.count_if(F.col("kind") == 0).over(upto).alias("_own"), *[
-        (F.count_if(F.col("kind") == h).over(slices) - F.count_if(F.col("kind") == h).over(before)).alias(f"_far_{h}")
-        for h in range(1, len(horizons) + 1)
-    ])
-    own = counted.where(F.col("kind") == 0)
-
-    # Whole slices in between: one row per key and slice, so the rolling sum is over aggregates.
-    per_slice = sent.where(F.col("kind") == 0).groupBy("_key", "_slice").agg(F.count("*").alias("_n"))
-    sums = []
-    for h, seconds in enumerate(horizons.values(), 1):
-        m = seconds // slice_seconds
-        between = Window.partitionBy("_key").orderBy("_slice").rangeBetween(-(m - 1), -1)
-        sums.append((F.coalesce(F.sum("_n").over(between), F.lit(0)) if m > 1 else F.lit(0)).alias(f"_mid_{h}"))
-    joined = own.join(per_slice.select("_key", "_slice", *sums), ["_key", "_slice"])
-    done = joined.select("row.*", *[
-        (F.col("_own") + F.col(f"_mid_{h}") + F.col(f"_far_{h}")).alias(name) for h, name in enumerate(horizons, 1)
-    ])
-    undated = rows.where(F.col("_t").isNull() | F.col(key).isNull()).select(
-        *df.columns, *[F.lit(None).cast("bigint").alias(name) for name in horizons])
-    return done.unionByName(undated)
+    kinds = range(1, len(horizons) + 1)
+    dated, undated = df.where("_t IS NOT NULL"), df.where("_t IS NULL")
+    moments = dated.groupBy(F.col(key).alias("_key"), "_t").agg(F.count("*").alias("n"))
+    # Entering sorts before leaving, so what lies exactly `h` back still counts.
+    moves = [F.struct(F.col("_t").alias("t"), F.lit(0).alias("kind"))] + [
+        F.struct((F.col("_t") + F.lit(s * 1_000_000)).alias("t"), F.lit(h).alias("kind"))
+        for h, s in zip(kinds, horizons.values())]
+    steps = moments.select("_key", "n", F.explode(F.array(*moves)).alias("m")).select("_key", "n", "m.t", "m.kind")
+    cut = cut_by_rows(steps, "_key", ["t", "kind"], rows * len(moves), slice_rows)
+
+    def moved(kind: int) -> Column:
+        return F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(F.lit(0)))
+
+    before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy("_key", "_slice").agg(*[moved(k).alias(f"_all_{k}") for k in (0, *kinds)])
+    fronts = totals.select("_key", "_slice", *[
+        F.coalesce(F.sum(f"_all_{k}").over(before), F.lit(0)).alias(f"_front_{k}") for k in (0, *kinds)])
+    inside = Window.partitionBy("_key", "_slice").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = cut.select("*", *[moved(k).over(inside).alias(f"_run_{k}") for k in (0, *kinds)]).where("kind = 0")
+    counted = materialize(run.join(small_side(fronts), ["_key", "_slice"]).select(
+        "_key", F.col("t").alias("_moment"), F.col("n").alias("_n"),
+        *[(F.col("_run_0") + F.col("_front_0") - F.col(f"_run_{k}") - F.col(f"_front_{k}")).alias(name)
+          for k, name in zip(kinds, horizons)]))
+
+    def attach(d: DataFrame, counts: DataFrame) -> DataFrame:
+        hit = (F.col(key) == F.col("_key")) & (F.col("_t") == F.col("_moment"))
+        return d.join(counts.drop("_n"), hit).drop("_key", "_moment", "_t")
+
+    # Moments that hold more rows than a slice are at most rows / slice_rows lines; their rows stay where they lie.
+    bursts = counted.where(F.col("_n") > slice_rows)
+    if bursts.isEmpty():
+        done = attach(dated, counted)
+    else:
+        bursts = small_side(bursts)
+        at = (F.col(key) == F.col("_key")) & (F.col("_t") == F.col("_moment"))
+        done = attach(dated, bursts).unionByName(
+            attach(dated.join(bursts, at, "left_anti"), counted.where(F.col("_n") <= slice_rows)))
+    return done.unionByName(undated.drop("_t").withColumns({name: F.lit(None).cast("bigint") for name in horizons}))

@@ -125,7 +125,7 @@ FROM z JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment
 """)
 def order_risk_by_segment(t):
     # Counting first leaves the rows partitioned by customer, which the join below then reuses.
-    rows = sequences.velocity_counts(order_rows(t), "o_custkey", "o_orderdate", {"n_day": 86_400}, slice_seconds=86_400)
+    rows = sequences.velocity_counts(order_rows(t), "o_custkey", "o_orderdate", {"n_day": 86_400})
     rows = profile.attach_group_stats(rows, "o_custkey", "o_totalprice", stats_from=order_rows(t)).select(
         "o_custkey", C.relative_deviation("o_totalprice", "user_mean_order").alias("deviation"),
         C.weekday_of("o_orderdate").alias("weekday"), C.threshold_flag("devices", 2).alias("high_device_change"),

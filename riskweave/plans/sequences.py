@@ -28,8 +28,7 @@ def steps(t):
 
 def windows(t):
     rows = S.sliding_sequences(
-        steps(t), "o_custkey", ["o_orderdate", "o_orderkey"], {f: F.col(f) for f in FIELDS}, 6,
-        slice_by=F.date_trunc("month", "o_orderdate"))
+        steps(t), "o_custkey", ["o_orderdate", "o_orderkey"], {f: F.col(f) for f in FIELDS}, 6)
     return rows.select("o_orderkey", "o_custkey", S.next_step_label(F.col("on_time")).alias("label"), "seq")
 
 

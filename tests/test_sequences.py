@@ -32,7 +32,7 @@ def brute(data, length=6):
 def test_windows_on_both_paths(payments, key_rows):
     df, data = payments
     got = S.sliding_sequences(df, "key", ["day", "id"], {"id": F.col("id"), "late": F.col("late")}, 6,
-                              slice_by=F.col("day"), key_rows=key_rows)
+                              key_rows=key_rows, slice_rows=max(key_rows // 2, 5))
     found = sorted((r["id"], r["label"], [s["id"] for s in r["seq"]]) for r in got.withColumn(
         "label", S.next_step_label(F.col("on_time"))).collect())
     assert found == brute(data)
@@ -71,10 +71,40 @@ def test_velocity_on_both_paths(spark, key_rows):
         assert (r["n_day"], r["n_hour"]) == (count(86_400), count(3_600))
 
 
-def test_velocity_refuses_odd_horizons(spark):
-    df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1))], "k int, ts timestamp_ntz")
-    with pytest.raises(ValueError):
-        S.velocity_counts(df, "k", "ts", {"n": 1000})
+@pytest.mark.parametrize("key_rows", [10**6, 10])
+def test_velocity_takes_any_horizon(spark, key_rows):
+    start = dt.datetime(2024, 1, 1)
+    times = [start + dt.timedelta(microseconds=i * 250_000) for i in range(40)] + [start] * 30
+    df = spark.createDataFrame([(1, t) for t in times], "k int, ts timestamp_ntz")
+    got = S.velocity_counts(df, "k", "ts", {"n": 7, "m": 1}, key_rows=key_rows, slice_rows=8).collect()
+    for r in got:
+        for name, seconds in (("n", 7), ("m", 1)):
+            low = r["ts"] - dt.timedelta(seconds=seconds)
+            assert r[name] == sum(low <= t <= r["ts"] for t in times)
+
+
+def test_burst_of_one_key_is_cut_into_slices_of_bounded_size(spark):
+    """A third of the table lies on one key within one second, half of that in one instant."""
+    rows = 300_000
+    df = spark.range(rows, numPartitions=8).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 500).alias("k"), "id",
+        F.timestamp_micros(F.when(F.col("id") % 6 == 0, F.lit(500_000)).otherwise(F.col("id") * 7919 % 1_000_000)).alias("ts"))
+    hot = df.where("k = -1")
+    cut = S.cut_by_rows(hot, "k", ["ts", "id"], rows // 3, 5_000)
+    sizes = [r["count"] for r in cut.groupBy("_slice").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 15_000 and sum(sizes) == rows // 3
+
+    got = S.sliding_sequences(df, "k", ["ts", "id"], {"id": F.col("id")}, 3, key_rows=10_000, slice_rows=5_000)
+    plain = S.sliding_sequences(df, "k", ["ts", "id"], {"id": F.col("id")}, 3)
+    key = F.sum(F.xxhash64("id", "k", F.transform("seq", lambda e: e["id"])).cast("decimal(30, 0)")).alias("h")
+    assert got.agg(F.count("*"), key).first() == plain.agg(F.count("*"), key).first()
+
+    counts = S.velocity_counts(df, "k", "ts", {"n": 1}, key_rows=10_000, slice_rows=5_000)
+    assert counts.count() == rows
+    moments = hot.groupBy("ts").agg(F.count("*").alias("c")).orderBy("ts").toPandas()
+    upto = dict(zip(moments["ts"], moments["c"].cumsum()))  # all within one second, so everything before counts
+    found = counts.where("k = -1").select("ts", "n").distinct().toPandas()
+    assert len(found) == len(moments) and all(upto[r.ts] == r.n for r in found.itertuples())
 
 
 @pytest.mark.parametrize("key_rows", [10**6, 1])

@@ -15,7 +15,7 @@ def test_sequences_with_missing_order_values_and_keys(spark, key_rows):
     """The first rows of the key have no order value, so they have no slice either."""
     data = [(i, 1, None if i < 3 else i) for i in range(12)] + [(100 + i, None, i) for i in range(20)]
     df = spark.createDataFrame(data, "id int, k int, o int")
-    got = S.sliding_sequences(df, "k", ["o", "id"], {"id": F.col("id")}, 2, slice_by=F.floor(F.col("o") / 4), key_rows=key_rows)
+    got = S.sliding_sequences(df, "k", ["o", "id"], {"id": F.col("id")}, 2, key_rows=key_rows, slice_rows=4)
     assert {r["id"]: [s["id"] for s in r["seq"]] for r in got.collect()} == {i: [i - 2, i - 1] for i in range(2, 12)}
 
 
