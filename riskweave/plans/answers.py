@@ -4,11 +4,14 @@ Questions are user turns, given answers the assistant turns that follow them. A
 stands for one the context cannot answer, and the word 'the' for the refusal phrase.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import answers as R
-from ..operators import neighbours
+from ..operators import neighbours, vector_index
+from ..session import shared_dir
 from .profiling import rounded
 from .quality import NEAREST_SQL
 from .registry import query
@@ -24,6 +27,23 @@ def retrieve_topk(t):
     return rounded(hits)
 
 
+@query("stored_index", """
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 10 = 0),
+n AS (SELECT query_id, vec_id AS neighbour_id, list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(a, embedding::DOUBLE[])]) AS distance
+      FROM q, embeddings WHERE vec_id <> query_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM n)
+SELECT query_id, rank::INT AS rank, neighbour_id, round(distance, 6) AS distance FROM r WHERE rank <= 4
+""")
+def stored_index(t):
+    """An index built from the even vectors, to which the odd ones are added later; then asked for the four nearest."""
+    vectors = t.embeddings.select("vec_id", "embedding")
+    path = f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}"
+    vector_index.build_index(vectors.where("vec_id % 2 = 0"), path, "vec_id")
+    vector_index.append_index(vectors.where("vec_id % 2 <> 0"), path, "vec_id")
+    asked = vectors.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    return rounded(vector_index.search_index(asked, path, 4, exclude_self=True))
+
+
 def profile_sql(table, key):
     return (f"(SELECT {key} AS id, text, [floor(len([x FOR x IN d IF x = b]) * 1000 / greatest(len(d), 1)) FOR b IN range(16)] AS v FROM (SELECT {key}, text, "
             f"[('0x' || substr(md5(x), 1, 1))::BIGINT FOR x IN {WORDS.format(x=CLEAN)}] AS d FROM {table} WHERE text IS NOT NULL))")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.columns import map_values
-from ..operators import prepare, profile, sampling
+from ..operators import categories, prepare, profile, sampling
 from ..sources import files
 from .profiling import NUMERICS, rounded
 from .registry import hash_sql, query
@@ -72,6 +72,26 @@ def dummies_drop_first(t):
     return prepare.dummies_drop_first(t.orders.select("o_orderkey", "o_orderpriority"), ["o_orderpriority"])
 
 
+# Fitted without the first line of every order, so orders of a single line are never seen.
+@query("sparse_categories", """
+WITH f AS (SELECT l_orderkey::VARCHAR AS o, l_returnflag AS m FROM lineitem WHERE l_linenumber > 1),
+o AS (SELECT o, row_number() OVER (ORDER BY o) - 1 AS slot FROM (SELECT DISTINCT o FROM f)),
+m AS (SELECT m, row_number() OVER (ORDER BY m) - 1 + (SELECT count(*) FROM o) AS slot FROM (SELECT DISTINCT m FROM f))
+SELECT l_orderkey, l_linenumber, ((SELECT count(*) FROM o) + (SELECT count(*) FROM m))::INT AS size,
+       concat_ws(',', o.slot + 1, m.slot + 1) AS indices, round(l_quantity, 6) AS first
+FROM lineitem LEFT JOIN o ON l_orderkey::VARCHAR = o.o LEFT JOIN m ON l_returnflag = m.m
+""")
+def sparse_categories(t):
+    """One sparse vector per line: the quantity, its order (as many categories as orders) and its return flag."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    cols = ["l_orderkey", "l_returnflag"]
+    known = categories.fit_categories(rows.where("l_linenumber > 1"), cols)
+    v = categories.encode_categories(rows, known, cols, "v", numeric=["l_quantity"])
+    slots = F.filter("v.indices", lambda i: i > 0)
+    return v.select("l_orderkey", "l_linenumber", (F.col("v.size") - 1).alias("size"), F.array_join(slots.cast("array<string>"), ",").alias("indices"),
+                    F.round(F.col("v.values")[0], 6).alias("first"))
+
+
 @query("label_encode", """
 SELECT c_custkey, (dense_rank() OVER (ORDER BY c_mktsegment) - 1)::BIGINT AS code FROM customer
 """)

@@ -17,9 +17,9 @@ MODELS = {"clv_models", "grid_search", "smote_logistic", "coefficients", "ground
 SLOW = {"fraud_models", "score_applicants", "score_orders", "importance", "boosted_fraud"}
 FITTED = {"boosted_fraud", "open_forest", "fraud_models", "score_applicants", "score_orders", "isolation_forest", "importance", "model_reload", "embed_text"}
 # Python is used only where vectors are searched, words looked up, blocks multiplied, trees grown or walked.
-PYTHON = {"encode_tokens", "encode_pad", "retrieve_topk", "context_prompt", "confusion_multiclass", "smote", "corr_matrix", "top_coefficients"}
+PYTHON = {"stored_index", "encode_tokens", "encode_pad", "retrieve_topk", "context_prompt", "confusion_multiclass", "smote", "corr_matrix", "top_coefficients"}
 # Windows over a whole table whose size was checked or is fixed by a limit.
-BOUNDED = {"vocabulary", "encode_tokens", "encode_pad", "roc_auc", "roc_curve", "label_encode", "category_codes", "smote"}
+BOUNDED = {"vocabulary", "encode_tokens", "encode_pad", "roc_auc", "roc_curve", "label_encode", "category_codes", "smote", "sparse_categories"}
 
 
 @pytest.fixture(scope="module")
