@@ -14,8 +14,8 @@ FOLDER = "/root/testdata/sf0.001"
 MODELS = {"clv_models", "grid_search", "smote_logistic", "coefficients", "grounded_questions", "tree_shap", "late_payment_model", "intent_model"}
 # Fitted while the query is built; what remains in the plan walks isolation trees or scores.
 # Full-size fits take minutes; check.py compares these on sf0.01.
-SLOW = {"fraud_models", "score_applicants", "score_orders", "importance", "boosted_fraud"}
-FITTED = {"boosted_fraud", "open_forest", "fraud_models", "score_applicants", "score_orders", "isolation_forest", "importance", "model_reload", "embed_text"}
+SLOW = {"fraud_models", "score_applicants", "score_orders", "importance", "boosted_fraud", "order_fraud_run"}
+FITTED = {"predicted_tiers", "order_fraud_run", "boosted_fraud", "open_forest", "fraud_models", "score_applicants", "score_orders", "isolation_forest", "importance", "model_reload", "embed_text"}
 # Python is used only where vectors are searched, words looked up, blocks multiplied, trees grown or walked.
 PYTHON = {"stored_index", "encode_tokens", "encode_pad", "retrieve_topk", "context_prompt", "confusion_multiclass", "smote", "corr_matrix", "top_coefficients"}
 # Windows over a whole table whose size was checked or is fixed by a limit.
