@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hash_int, relative_deviation, weekday_of
 from ..models import estimators as E
-from ..models import boosting, explain, forest, isolation, store
+from ..models import boosting, explain, forest, isolation, latent, store
 from ..operators import answers, metrics, neighbours, ordering, prepare, profile, sampling
 from ..operators import sequences as S
 from ..session import cached, shared_dir
@@ -345,6 +345,15 @@ def embed_text(t):
     return vectors.select("doc_id", F.round(F.sqrt(square), 6).alias("length"))
 
 
+@query("latent_retrieval")
+def latent_retrieval(t):
+    """The three documents nearest to every benchmark passage, by embeddings learnt from all documents."""
+    model = latent.fit_latent(t.documents, "text", dim=32)
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), model.embed("text").alias("embedding"))
+    held = t.documents.select(F.col("doc_id").alias("id"), model.embed("text").alias("embedding"))
+    return rounded(neighbours.nearest(asked, held, 3))
+
+
 @query("grounded_questions")
 def grounded_questions(t):
     """Benchmark passages asked of the documents: embed both, fetch the nearest text, build the prompt."""

@@ -11,7 +11,7 @@ from check import compare
 from riskweave import plans
 
 FOLDER = "/root/testdata/sf0.001"
-MODELS = {"clv_models", "grid_search", "smote_logistic", "coefficients", "grounded_questions", "tree_shap", "late_payment_model", "intent_model"}
+MODELS = {"clv_models", "grid_search", "smote_logistic", "coefficients", "grounded_questions", "latent_retrieval", "tree_shap", "late_payment_model", "intent_model"}
 # Fitted while the query is built; what remains in the plan walks isolation trees or scores.
 # Full-size fits take minutes; check.py compares these on sf0.01.
 SLOW = {"fraud_models", "score_applicants", "score_orders", "importance", "boosted_fraud", "order_fraud_run"}
