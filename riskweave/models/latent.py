@@ -56,10 +56,16 @@ def _times(row: np.ndarray, slot: np.ndarray, weight: np.ndarray, matrix: np.nda
     return out
 
 
+def _lists(matrix: np.ndarray) -> pa.Array:
+    """A list per row."""
+    ends = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
+    return pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(matrix).ravel()))
+
+
 def _lines(total: np.ndarray, slots: np.ndarray) -> Iterator[pa.RecordBatch]:
     for lo in range(0, len(slots), WORD_BLOCK):
         some = slots[lo:lo + WORD_BLOCK]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(list(total[some]), pa.list_(pa.float64()))], names=["slot", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), _lists(total[some])], names=["slot", "sums"])
 
 
 def _multiply(shared):
@@ -93,15 +99,20 @@ def _add_up(words: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, np.ndarray] = {}
         for batch in batches:
+            if not batch.num_rows:
+                continue
             slot = batch.column(0).to_numpy(zero_copy_only=False)
             sums = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            order = np.argsort(slot, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(slot[order]) != 0])
+            slot, sums = slot[order][starts], np.add.reduceat(sums[order], starts)
             for b in np.unique(slot // WORD_BLOCK).tolist():
-                mine = slot // WORD_BLOCK == b
-                np.add.at(blocks.setdefault(b, np.zeros((WORD_BLOCK, width))), slot[mine] % WORD_BLOCK, sums[mine])
+                lo, hi = np.searchsorted(slot, [b * WORD_BLOCK, (b + 1) * WORD_BLOCK])
+                blocks.setdefault(b, np.zeros((WORD_BLOCK, width)))[slot[lo:hi] - b * WORD_BLOCK] += sums[lo:hi]
         for b, total in sorted(blocks.items()):
             slots = np.arange(b * WORD_BLOCK, min((b + 1) * WORD_BLOCK, words))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slots, pa.int32()), pa.array(list(total[:len(slots)]), pa.list_(pa.float64()))], names=["slot", "sums"])
+                [pa.array(slots, pa.int32()), _lists(total[:len(slots)])], names=["slot", "sums"])
 
     return run
 
@@ -134,7 +145,7 @@ class Latent:
         def unit(column: pa.Array) -> pa.Array:
             y = _times(*_weighted(column, vocabulary, idf), vectors, len(column))
             length = np.sqrt(np.einsum("ij,ij->i", y, y))
-            return pa.array(list(y / np.where(length > 1e-12, length, np.inf)[:, None]), pa.list_(pa.float64()))
+            return _lists(y / np.where(length > 1e-12, length, np.inf)[:, None])
 
         return unit(words_of(text))
 

@@ -14,7 +14,7 @@ from ..models import estimators as E
 from ..models import boosting, explain, forest, isolation, latent, store
 from ..operators import answers, metrics, neighbours, ordering, prepare, profile, sampling
 from ..operators import sequences as S
-from ..session import cached, shared_dir
+from ..session import cached, materialize, shared_dir
 from ..sources import files
 from . import sequences as seq_plans
 from .columns import device_changes
@@ -349,8 +349,9 @@ def embed_text(t):
 def latent_retrieval(t):
     """The three documents nearest to every benchmark passage, by embeddings learnt from all documents."""
     model = latent.fit_latent(t.documents, "text", dim=32)
-    asked = t.benchmark.select(F.col("item_id").alias("query_id"), model.embed("text").alias("embedding"))
-    held = t.documents.select(F.col("doc_id").alias("id"), model.embed("text").alias("embedding"))
+    # The search reads its sides several times, so each text is embedded once and written.
+    asked = materialize(t.benchmark.select(F.col("item_id").alias("query_id"), model.embed("text").alias("embedding")))
+    held = materialize(t.documents.select(F.col("doc_id").alias("id"), model.embed("text").alias("embedding")))
     return rounded(neighbours.nearest(asked, held, 3))
 
 
