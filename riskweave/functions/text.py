@@ -38,11 +38,21 @@ def paragraphs(c: Column | str) -> Column:
 def word_profile(c: Column | str, buckets: int = 16) -> Column:
     """How a text's words spread over ``buckets`` (at most 16) by the first digit of their md5: thousandths, rounded down.
     Whole numbers, so distances between profiles are exact. An empty text has zeros."""
-    words = tokenize(c)
-    digits = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 1), 16, 10).cast("int") % buckets)
-    n = F.greatest(F.size(words), F.lit(1))
-    share = lambda b: F.floor(F.size(F.filter(digits, lambda d: d == b)) * 1000 / n).cast("float")
-    return F.array(*[share(b) for b in range(buckets)])
+    # A text's digits are one string, bound once: each bucket then only counts characters.
+    first = F.array_join(F.transform(tokenize(c), lambda w: F.substring(F.md5(w), 1, 1)), "")
+
+    def shares(digits: Column) -> Column:
+        n = F.greatest(F.length(digits), F.lit(1))
+
+        def share(bucket: int) -> Column:
+            rest = digits
+            for digit in range(bucket, 16, buckets):
+                rest = F.replace(rest, F.lit(f"{digit:x}"), F.lit(""))
+            return F.floor((F.length(digits) - F.length(rest)).cast("bigint") * 1000 / n).cast("float")
+
+        return F.array(*[share(b) for b in range(buckets)])
+
+    return F.transform(F.array(first), shares)[0]
 
 
 def count_words(c: Column | str) -> Column:

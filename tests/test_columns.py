@@ -131,3 +131,16 @@ def test_argmax_one_hot_loss(spark):
     assert col(spark, [[0.25, 0.75]], A.log_loss(F.lit(1), "x"), "array<double>")[0] == pytest.approx(-math.log(0.75 + 1e-9))
     assert col(spark, [[0.0, 255.0]], A.rescale("x", 255), "array<double>") == [[0.0, 1.0]]
     assert col(spark, [[1.0, 2.0]], A.squared_distance("x", F.array(F.lit(0.0), F.lit(0.0))), "array<double>") == [5.0]
+
+
+def test_word_profile_hashes_every_word_once(spark):
+    import hashlib
+
+    texts = ["", "a", "the cat sat on the mat", "x y z " * 30, None]
+    for buckets in (16, 3):
+        df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", X.word_profile("text", buckets).alias("v"))
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("md5(") <= 1
+        for i, got in df.collect():
+            digits = [int(hashlib.md5(w.encode()).hexdigest()[0], 16) % buckets for w in (texts[i] or "").split()]
+            want = [None if texts[i] is None else digits.count(b) * 1000 // max(1, len(digits)) for b in range(buckets)]
+            assert got == want
