@@ -17,11 +17,11 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import materialize
+from .common import numbered
 
-PAIRS = 8  # pairs drawn for each sampled row
+PAIRS = 8  # pairs drawn for each labelled row
 MARKS = string.punctuation.encode()
 LETTERS = (string.ascii_lowercase.encode(), string.ascii_uppercase.encode(), string.digits.encode(), b" ", b"\n")
 
@@ -74,14 +74,15 @@ class Ranking:
 
 
 def fit(sample: DataFrame, pairs: int = PAIRS, reg: float = 1e-4) -> Ranking:
-    """Weights and threshold from rows (key, text, label) as ``training.labelled_sample`` draws them. With rows of one
+    """Weights and threshold from all rows (key, text, label) as ``training.labelled_rows`` finds them. With rows of one
     label only there is nothing to prefer: all scores are 0.5."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key")
-    rows = materialize(sample.select("key", "label", features("text").alias("x")).withColumn("i", F.row_number().over(order) - 1))
-    size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    held = materialize(sample.select("key", "label", features("text").alias("x")))
+    size = {r["label"]: r["n"] for r in held.groupBy("label").agg(F.count("*").alias("n")).collect()}
     good, bad = size.get(1, 0), size.get(0, 0)
     if not good or not bad:
         return Ranking((0.0,) * WIDTH, 0.0)
+    # Bad rows come first, so a place also numbers the rows of a label.
+    rows = numbered(held, "i", "label", F.xxhash64("key"), "key", "x").withColumn("i", (F.col("i") - F.col("label") * bad).cast("int"))
     draws = rows.select("label", "i", F.explode(F.sequence(F.lit(0), F.lit(pairs - 1))).alias("r"))
     other = lambda n, seed: F.pmod(F.xxhash64("i", "r", F.lit(seed)), F.lit(n)).cast("int")
     drawn = draws.select(F.when(F.col("label") == 1, F.col("i")).otherwise(other(good, 1)).alias("g"),
@@ -91,9 +92,10 @@ def fit(sample: DataFrame, pairs: int = PAIRS, reg: float = 1e-4) -> Ranking:
     # Every other preference is stated the other way round, so that both outcomes occur.
     way = F.when(F.col("r") % 2 == 0, 1.0).otherwise(-1.0)
     train = both.select(array_to_vector(F.zip_with("xg", "xb", lambda g, b: (g - b) * way)).alias("features"), (way > 0).cast("double").alias("label"))
-    train.persist()
-    model = LogisticRegression(fitIntercept=False, regParam=reg, maxIter=60).fit(train)
-    train.unpersist()
+    model = LogisticRegression(fitIntercept=False, regParam=reg, maxIter=60).fit(train)  # keeps its rows in blocks by itself
     raw = model.transform(rows.select(array_to_vector("x").alias("features"))).select(vector_to_array("rawPrediction")[1].alias("s"))
-    threshold = raw.agg(F.percentile("s", F.lit(bad / (good + bad)))).first()[0]
+    place = bad / (good + bad) * (good + bad - 1)
+    low = int(place)
+    near = [r["s"] for r in numbered(raw, "i", "s").where(F.col("i").isin(low, low + 1)).orderBy("i").collect()]
+    threshold = near[0] + (place - low) * (near[-1] - near[0])
     return Ranking(tuple(map(float, model.coefficients.toArray())), float(threshold))

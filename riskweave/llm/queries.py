@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 from . import bpe, exact, lexical, lines, mixing, negatives, neighbours, quality, secrets, simhash, tokens, toxicity, warc
 from .common import bounded_batches, text_of
-from .training import labelled_sample
+from .training import labelled_rows, labelled_sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,8 +98,8 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
-    sample = labelled_sample(docs, table(spark, folder, "labels"), "doc_id", "text", "quality", where=~held_out)
-    rows = docs.select("doc_id", held_out.alias("held_out"), quality.fit(sample).score(text_of("text")).alias("score"))
+    known = labelled_rows(docs, table(spark, folder, "labels"), "doc_id", "text", "quality", where=~held_out)
+    rows = docs.select("doc_id", held_out.alias("held_out"), quality.fit(known).score(text_of("text")).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

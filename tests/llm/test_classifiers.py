@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.llm import neighbours, quality, toxicity
+from riskweave.llm.common import numbered
+from riskweave.llm.queries import op2_quality
 from riskweave.llm.training import labelled_sample
 
 WORDS = ["".join(random.Random(i).choices("abcdefghijklmnop", k=6)) for i in range(300)]
@@ -50,6 +52,26 @@ def test_sample_is_bounded_and_clean(spark, docs):
     assert all(r.label == (0 if r.key == 1 else r.key % 2) for r in rows)
 
 
+def test_quality_query_learns_from_all_labelled_rows(spark, docs, monkeypatch, tmp_path):
+    """However few rows a sample may hold."""
+    from riskweave.llm import training
+
+    monkeypatch.setattr(training.labelled_sample, "__defaults__", (10, None))
+    docs(["a b c"] * 30).drop("ids").write.parquet(str(tmp_path / "documents.parquet"))
+    labels(spark, [(i, i % 2, 0) for i in range(30)]).write.parquet(str(tmp_path / "labels.parquet"))
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows: seen.append(rows.count()) or quality.Ranking((0.0,) * quality.WIDTH, 0.0))
+    rows = op2_quality(spark, str(tmp_path)).collect()
+    assert len(rows) == 30 and seen == [sum(not r.held_out for r in rows)] and seen[0] > 10
+
+
+def test_places_in_a_global_order(spark):
+    rows = spark.range(1000).select("id", (F.col("id") * 7919 % 1000).alias("v"))
+    got = numbered(rows.repartition(7), "i", "v").collect()
+    assert len(got) == 1000 and all(r.i == r.v for r in got)
+    assert numbered(rows.where("id < 0"), "i", "v").count() == 0
+
+
 @pytest.fixture(scope="module")
 def chain_rows():
     rng = random.Random(3)
