@@ -43,37 +43,63 @@ def load_pieces(path: str) -> dict[str, float]:
 
 class Trie:
     """Best scores along the current path. A character that no piece covers costs its UTF-8 bytes, ten below the
-    least score for each; of equal scores the one with fewer tokens counts."""
+    least score for each; of equal scores the one with fewer tokens counts.
+
+    The pieces are a trie themselves: every place of the path holds the beginnings of pieces that reach it, so a character
+    only looks at what can still become a piece."""
 
     def __init__(self, pieces: dict[str, float]):
         self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
         self.unknown = min(pieces.values(), default=0.0) - 10.0
         self.steps = 0  # nodes computed so far
+        self.root: dict = {}
+        for piece, score in pieces.items():
+            node = self.root
+            for char in piece:
+                node = node.setdefault(char, {})
+            node[""] = score
 
     def counts(self, words: Iterable[str]) -> dict[str, int]:
         """Number of tokens of each of the sorted, distinct words."""
         score, count, path, out = [0.0], [0], "", {}
-        pieces, longest = self.pieces, self.longest
+        reach: list[list] = [[]]  # by place: start and trie node of the beginnings of pieces that end there
+        pieces, root, unknown, steps = self.pieces, self.root, self.unknown, self.steps
         for word in words:
             shared = 0
             top = min(len(path), len(word))
-            while shared < top and path[shared] == word[shared]:
-                shared += 1
-            del score[shared + 1 :], count[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                char = word[end - 1]
-                width = 1 if char in pieces else len(char.encode("utf-8"))
-                best = (score[end - 1] + (pieces[char] if char in pieces else self.unknown * width), -(count[end - 1] + width))
-                for start in range(max(0, end - longest), end - 1):
-                    piece = pieces.get(word[start:end])
-                    if piece is not None:
-                        best = max(best, (score[start] + piece, -(count[start] + 1)))
-                score.append(best[0])
-                count.append(-best[1])
-            self.steps += len(word) - shared
+            if path[:top] == word[:top]:
+                shared = top
+            else:
+                while path[shared] == word[shared]:
+                    shared += 1
+            del score[shared + 1 :], count[shared + 1 :], reach[shared + 1 :]
+            for end in range(shared, len(word)):
+                char = word[end]
+                if char in pieces:
+                    best, least = score[end] + pieces[char], count[end] + 1
+                else:
+                    width = len(char.encode("utf-8"))
+                    best, least = score[end] + unknown * width, count[end] + width
+                alive = []
+                for start, node in reach[end]:
+                    node = node.get(char)
+                    if node is not None:
+                        alive.append((start, node))
+                        piece = node.get("")
+                        if piece is not None:
+                            s = score[start] + piece
+                            if s > best or s == best and count[start] < least - 1:
+                                best, least = s, count[start] + 1
+                node = root.get(char)
+                if node is not None:
+                    alive.append((end, node))
+                score.append(best)
+                count.append(least)
+                reach.append(alive)
+            steps += len(word) - shared
             path = word
             out[word] = count[len(word)]
+        self.steps = steps
         return out
 
 

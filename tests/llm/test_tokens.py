@@ -47,3 +47,16 @@ def test_prefixes_are_computed_once():
 def test_long_and_empty(docs):
     assert docs([TEXTS[6]]).select(tokens.token_counts("text", PIECES).alias("n")).first().n.n_tokens > 0
     assert docs([]).select(tokens.token_counts("text", PIECES)).count() == 0
+
+
+def test_only_beginnings_of_pieces_are_looked_up():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+    pieces = Counted({"a": -1.0, "b": -1.0, "ab": -1.5, "abcdefghijklmnop": -2.0})
+    assert tokens.Trie(pieces).counts(["a" * 500, "ab" * 200]) == {"a" * 500: 500, "ab" * 200: 200}
+    assert Counted.asked <= 1000  # fifteen slices a character would be over ten thousand
