@@ -17,6 +17,7 @@ from ..operators.ordering import top_k, top_k_by_abs
 from ..operators.profile import STATS, with_stats
 from ..session import shared_dir
 from .boosting import Boosted
+from .ensembles import RandomForestModel
 from .trees import Tree, numbers
 
 
@@ -50,7 +51,7 @@ TINY = 1e-15  # share of a branch that no training row took
 
 
 def forest_rows(model, spark) -> DataFrame:
-    """Node rows of a fitted forest classifier, in Spark's own model format."""
+    """Node rows of a forest classifier fitted by Spark, in its own model format."""
     path = f"{shared_dir(spark)}/forest-{uuid.uuid4().hex}"
     model.write().save(path)
     return spark.read.parquet(f"{path}/data")
@@ -77,7 +78,14 @@ def nodes_of(rows) -> list[list[dict]]:
     return [[t[i] for i in sorted(t)] for _, t in sorted(trees.items())]
 
 
+def nodes_of_tree(tree: Tree) -> list[dict]:
+    return [dict(zip(("feature", "threshold", "left", "right", "value", "cover"), node)) for node in zip(*tree.parts())]
+
+
 def forest_nodes(model, spark) -> list[list[dict]]:
+    """Node tables of our own forests, or of Spark's."""
+    if isinstance(model, RandomForestModel):
+        return [nodes_of_tree(t) for t in model.trees]
     return nodes_of(forest_rows(model, spark).collect())
 
 
