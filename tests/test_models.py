@@ -119,6 +119,12 @@ def test_isolation_finds_the_outliers(cloud, tmp_path, rows):
     assert rows(again.score(cloud)) == rows(forest.score(cloud))
 
 
+def test_isolation_draws_from_rows_left_by_a_split_with_its_seed(spark):
+    df = spark.range(3000).select("id", F.col("id").cast("double").alias("a"), (F.col("id") % 2).alias("label"))
+    train = sampling.stratified_split(df, "id", "label", 0.5, seed=42).where("is_test = 0")
+    assert len(isolation.fit_isolation_forest(train, "id", ["a"], trees=8, sample=16).trees) == 8
+
+
 def test_isolation_does_not_depend_on_layout(cloud, rows):
     a = isolation.fit_isolation_forest(cloud, "id", ["a", "b"], trees=10, sample=32)
     b = isolation.fit_isolation_forest(cloud.repartition(7), "id", ["a", "b"], trees=10, sample=32)
