@@ -7,6 +7,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from riskweave.models import boosting as B
 from riskweave.models import ensembles as N
 from riskweave.models import estimators as E
 from riskweave.models import store
@@ -77,3 +78,34 @@ def test_refuses_other_labels(table):
     ready = Pipeline(stages=E.preprocess_stages(["a"])).fit(table).transform(table)
     with pytest.raises(ValueError):
         E.random_forest_classifier("b", trees=2).fit(ready)
+
+
+@pytest.mark.parametrize("weight, columns", [(None, None), ("w", 3)])
+def test_trees_grown_by_one_task_are_those_of_the_levels(table, monkeypatch, weight, columns):
+    """Blocks that fit are sent once, so a forest takes a few jobs instead of a shuffle for each level and group of trees."""
+    monkeypatch.setattr(B, "BLOCK_ROWS", 100)
+    ready = Pipeline(stages=E.preprocess_stages(["a", "b", "c"], scale=False)).fit(table).transform(table).repartition(3, "id")
+    spark, context, jobs = table.sparkSession, table.sparkSession.sparkContext, []
+    forests = []
+    for most in (N.SENT_BYTES, 0):
+        monkeypatch.setattr(N, "SENT_BYTES", most)
+        for label, classes in (("label", True), ("value", False)):
+            context.setJobGroup(f"forest-{most}-{label}-{weight}-{columns}", "forest")
+            try:
+                forests.append(N.RandomForest("features", label, 6, 5, 42, classes, weight, columns).fit(ready))
+            finally:
+                spark.sparkContext._jsc.clearJobGroup()
+            jobs.append(len(context.statusTracker().getJobIdsForGroup(f"forest-{most}-{label}-{weight}-{columns}")))
+    assert jobs[0] <= jobs[2] - 4 and jobs[1] <= jobs[3] - 4
+    for one, other in ((forests[0], forests[2]), (forests[1], forests[3])):
+        both = one.transform(ready).select("id", F.col("prediction").alias("p")).join(other.transform(ready).select("id", "prediction"), "id")
+        assert both.where("abs(p - prediction) < 1e-9").count() > 880  # equally good splits are told apart by rounding
+        assert [sum(t.cover[:1]) for t in one.trees] == pytest.approx([sum(t.cover[:1]) for t in other.trees])
+        if weight is None and one is forests[0]:
+            assert [t.parts() for t in one.trees] == [t.parts() for t in other.trees]  # whole numbers: no rounding
+
+
+def test_few_values_are_sent_as_codes():
+    for values in (np.array([2.5, 0.0, 2.5]), np.arange(600.0)):
+        assert N._unpacked(*N.packed(values)).tolist() == values.tolist()
+    assert N.packed(np.zeros(600))[1].dtype == np.uint8 and N.packed(np.arange(600.0))[1] is None

@@ -98,3 +98,49 @@ def test_odd_rows(spark):
         with pytest.raises(ValueError):
             E.gbt_classifier(rounds=2, depth=2).fit(bad)
 
+
+
+def numbers_of(n, seed=0):
+    return table(n, seed).assign(value=lambda d: 1e5 + 300 * d.a + 50 * d.b * (d.c > 1) + np.sin(9 * d.a + d.id))
+
+
+@pytest.mark.parametrize("most", [gradient.JOINT_BYTES, 0])
+def test_numbers_as_spark_in_few_jobs(spark, monkeypatch, most):
+    calls = []
+    real = gradient._sums
+    monkeypatch.setattr(gradient, "_sums", lambda *a: calls.append(a[1]) or real(*a))
+    monkeypatch.setattr(gradient, "JOINT_BYTES", most)
+    monkeypatch.setattr(gradient, "TASK_ROWS", 300)
+    ready = assembled(spark.createDataFrame(numbers_of(1500))).cache()
+    ours = E.boosted_regressor("value", rounds=5, depth=4).fit(ready)
+    theirs = E.gbt_regressor("value", rounds=5, depth=4).fit(ready)
+    assert ours.getNumTrees == 5 and len(calls) == 5 * (2 if most else 4)
+    a, b = (m.transform(ready).select("id", "prediction").orderBy("id").toPandas()["prediction"].to_numpy() for m in (ours, theirs))
+    assert np.isclose(a, b, rtol=1e-9).mean() > 0.99
+    assert sum(ours.featureImportances) == pytest.approx(1)
+
+
+def test_numbers_weighted_stopped_and_stored(spark, tmp_path, rows):
+    ready = assembled(spark.createDataFrame(numbers_of(1500))).cache()
+    theirs = E.gbt_regressor("value", rounds=8, depth=4, rate=0.9).setWeightCol("weight").setParams(validationIndicatorCol="is_val", validationTol=0.001).fit(ready)
+    est = gradient.GradientTrees("features", "value", 8, 4, 0.9, weight="weight", validation="is_val", classes=False)
+    ours = est.fit(ready)
+    assert ours.getNumTrees == theirs.getNumTrees
+    a, b = (m.transform(ready).select("id", "prediction").orderBy("id").toPandas()["prediction"].to_numpy() for m in (ours, theirs))
+    assert np.isclose(a, b, rtol=1e-9).mean() > 0.99
+    ours.write().save(str(tmp_path / "m"))
+    back = gradient.GradientTreesModel.read().load(str(tmp_path / "m"))
+    assert rows(back.transform(ready).select("id", "prediction")) == rows(ours.transform(ready).select("id", "prediction"))
+    assert "probability" not in back.transform(ready).columns
+
+
+def test_numbers_far_from_zero_and_odd_ones(spark):
+    ready = assembled(spark.createDataFrame(numbers_of(300)))
+    far = ready.withColumn("value", F.col("value") + 1e12)  # their squares have no digits left for what tells them apart
+    near, away = (E.boosted_regressor("value", rounds=3, depth=3).fit(d).transform(d).orderBy("id").toPandas()["prediction"].to_numpy() for d in (ready, far))
+    assert away - 1e12 == pytest.approx(near, abs=0.01)
+    alike = E.boosted_regressor("value", rounds=3, depth=2).fit(ready.withColumn("value", F.lit(7.5)))
+    assert all(r["prediction"] == 7.5 for r in alike.transform(ready).collect())
+    for bad in (None, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            E.boosted_regressor("value", rounds=2, depth=2).fit(ready.withColumn("value", F.lit(bad).cast("double")))
