@@ -92,7 +92,7 @@ def test_trees_grown_by_one_task_are_those_of_the_levels(table, monkeypatch, wei
         for label, classes in (("label", True), ("value", False)):
             context.setJobGroup(f"forest-{most}-{label}-{weight}-{columns}", "forest")
             try:
-                forests.append(N.RandomForest("features", label, 6, 5, 42, classes, weight, columns).fit(ready))
+                forests.append(N.RandomForest("features", label, 6, 7, 42, classes, weight, columns).fit(ready))
             finally:
                 spark.sparkContext._jsc.clearJobGroup()
             jobs.append(len(context.statusTracker().getJobIdsForGroup(f"forest-{most}-{label}-{weight}-{columns}")))
