@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import sys
 import uuid
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -15,9 +19,9 @@ from pyspark.sql import functions as F
 
 from ..operators.ordering import top_k, top_k_by_abs
 from ..operators.profile import STATS, with_stats
-from ..session import shared_dir
+from ..session import materialize, shared_dir
 from .boosting import Boosted
-from .ensembles import RandomForestModel
+from .ensembles import RandomForestModel, stacked
 from .trees import Tree, numbers
 
 
@@ -47,6 +51,9 @@ def linear_attribution(df: DataFrame, weights: dict[str, float], fit_on: DataFra
 
 ROWS = 4096  # walked together
 NODES_SENT = 2_000_000  # nodes of the trees that go to the tasks as one broadcast
+TABLE_BYTES = 256_000_000  # tables of all coalitions that a task may hold
+PIECE_ROWS = 1_000_000  # of one bin of the sliced feature that a task answers
+LEAVES = 4096  # entered into a table together
 TINY = 1e-15  # share of a branch that no training row took
 
 
@@ -198,7 +205,8 @@ def attributions(spark, x: Column, width: int, trees: Sequence[Tree]) -> Column:
             held = 0
         groups[-1].append(tree)
         held += len(tree.feature)
-    parts = [_summed(spark.sparkContext.broadcast(group), width)(x) for group in groups]
+    # Plain arrays: executors need no copy of this package to read them.
+    parts = [_summed(spark.sparkContext.broadcast([tuple(vars(t).values()) for t in group]), width)(x) for group in groups]
     total = parts[0]
     for part in parts[1:]:
         total = F.zip_with(total, part, lambda a, b: a + b)
@@ -212,17 +220,178 @@ def _summed(shared, width: int):
             phi = np.zeros((len(batch), width))
             if len(batch):
                 rows = np.vstack(batch.to_numpy())
-                for tree in shared.value:
-                    phi += tree_attributions(tree, rows)
+                for parts in shared.value:
+                    phi += tree_attributions(Tree(*parts), rows)
             yield pd.Series(list(phi), dtype=object)
 
     return attribute
 
 
+# ---------------------------------------------------------------- attributions from tables
+
+@dataclass(frozen=True)
+class Boxes:
+    """The leaves of a forest over bins. ``cuts``: by feature, all thresholds of the trees. ``low``, ``high``: by leaf and
+    feature, the bins that pass. ``share``: by leaf and feature, the training rows that pass where the feature is unknown."""
+
+    cuts: list[np.ndarray]
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray
+    value: np.ndarray
+
+    @property
+    def sizes(self) -> list[int]:
+        return [len(c) + 1 for c in self.cuts]
+
+    def bins_of(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(self.cuts)], axis=1)
+
+    def sliced(self) -> tuple[int, list[int]]:
+        """The feature with most bins, and the others that some tree splits on."""
+        first = int(np.argmax(self.sizes))
+        return first, [f for f, c in enumerate(self.cuts) if len(c) and f != first]
+
+    def table_bytes(self) -> int:
+        """Of the tables with and without the sliced feature."""
+        return 16 * math.prod(self.sizes[f] + 1 for f in self.sliced()[1])
+
+
+def boxes_of(trees: Sequence[Tree], width: int) -> Boxes:
+    after, feature, threshold, value, leaf, roots = stacked(trees)
+    share = np.concatenate([shares_of(t) for t in trees])
+    cuts = [np.unique(threshold[~leaf & (feature == f)]) for f in range(width)]
+    nodes = roots
+    low, high = np.zeros((len(roots), width), np.int32), np.tile(np.array([len(c) for c in cuts], np.int32), (len(roots), 1))
+    known = np.ones((len(roots), width))
+    done: list[tuple] = []
+    while len(nodes):
+        ends = leaf[nodes]
+        done.append((low[ends], high[ends], known[ends], value[nodes[ends]]))
+        nodes, low, high, known = nodes[~ends], low[~ends], high[~ends], known[~ends]
+        f, rows = feature[nodes], np.arange(len(nodes))
+        cut = np.zeros(len(nodes), np.int32)
+        for i, c in enumerate(cuts):
+            cut[f == i] = np.searchsorted(c, threshold[nodes[f == i]])
+        sides = []
+        for side in (0, 1):
+            child, lo, hi, part = after[2 * nodes + side], low.copy(), high.copy(), known.copy()
+            if side:
+                lo[rows, f] = np.maximum(lo[rows, f], cut + 1)
+            else:
+                hi[rows, f] = np.minimum(hi[rows, f], cut)
+            part[rows, f] *= share[child]
+            sides.append((child, lo, hi, part))
+        nodes, low, high, known = (np.concatenate(pair) for pair in zip(*sides))
+    low, high, known, value = (np.concatenate(p) for p in zip(*done))
+    return Boxes(cuts, np.minimum(low, high + 1), high, known, value)
+
+
+def table_of(boxes: Boxes, features: Sequence[int], leaves: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The sums of leaf weights for all coalitions among ``features`` and all their bins. An axis has a feature's bins and, as
+    its last place, the feature unknown; a leaf fills a box of the bins, and its share of it at the last place."""
+    shape = [boxes.sizes[f] + 1 for f in features]
+    strides = [math.prod(shape[i + 1 :]) for i in range(len(shape))]
+    table = np.zeros(math.prod(shape))
+    for i in range(0, len(leaves), LEAVES):
+        own, at, w = leaves[i : i + LEAVES], np.zeros(len(leaves[i : i + LEAVES]), np.int64), weight[i : i + LEAVES]
+        for f, stride in zip(features, strides):  # where a box begins and, negative, ends: running totals fill it
+            end = boxes.high[own, f] + 1
+            inner, some = np.flatnonzero(end < boxes.sizes[f]), boxes.share[own, f]
+            known = np.flatnonzero(some)
+            at, w, own = (np.concatenate(p) for p in zip(
+                (at + boxes.low[own, f] * stride, w, own), (at[inner] + end[inner] * stride, -w[inner], own[inner]),
+                (at[known] + boxes.sizes[f] * stride, w[known] * some[known], own[known])))
+        np.add.at(table, at, w)
+    for axis, size in enumerate(shape):
+        view = table.reshape(math.prod(shape[:axis]), size, -1)
+        for b in range(1, size - 1):
+            view[:, b] += view[:, b - 1]
+    return table
+
+
+def chances(n: int) -> np.ndarray:
+    """By feature and coalition of ``n`` features (a bit each, the first one's highest) what a coalition's value counts."""
+    out = np.zeros((n, 2**n))
+    for c, members in enumerate(product((False, True), repeat=n)):
+        for f in range(n):
+            k = sum(members) - members[f]
+            out[f, c] = (1 if members[f] else -1) * math.factorial(k) * math.factorial(n - k - 1) / math.factorial(n)
+    return out
+
+
+def table_attributions(boxes: Boxes, bins: np.ndarray, tables: dict | None = None) -> np.ndarray:
+    """The trees' summed path-dependent Shapley values for rows in one bin of the sliced feature, given as bins. The value
+    of a coalition is the sum over the leaves of the shares of features outside it, where the row passes inside, and is read
+    from tables of all coalitions and bins: a row costs as many look-ups as there are coalitions, whatever the trees.
+    ``tables`` keeps what other slices need, too."""
+    first, others = boxes.sliced()
+    tables = {} if tables is None else tables
+    if "without" not in tables:
+        tables["without"] = table_of(boxes, others, np.arange(len(boxes.value)), boxes.value * boxes.share[:, first])
+    here = int(bins[0, first])
+    if tables.get("here") != here:
+        passing = np.flatnonzero((boxes.low[:, first] <= here) & (here <= boxes.high[:, first]))
+        tables["with"], tables["here"] = table_of(boxes, others, passing, boxes.value[passing]), here
+    shape = [boxes.sizes[f] + 1 for f in others]
+    strides = [math.prod(shape[i + 1 :]) for i in range(len(shape))]
+    counts = chances(len(others) + 1)
+    phi = np.zeros((len(bins), len(boxes.cuts)))
+    for i in range(0, len(bins), ROWS):
+        rows = bins[i : i + ROWS]
+        places = np.zeros((1, len(rows)), np.int64)
+        for f, stride in zip(others, strides):  # unknown, known
+            places = np.stack([places + boxes.sizes[f] * stride, places + rows[:, f] * stride], axis=1).reshape(-1, len(rows))
+        values = np.concatenate([tables["without"].take(places), tables["with"].take(places)])
+        phi[i : i + ROWS, [first, *others]] = (counts @ values).T
+    return phi
+
+
+def _from_tables(boxes: Boxes, df: DataFrame, key: str, features: str) -> DataFrame:
+    """(key, phi). Rows meet by their bin of the sliced feature, those of a common bin in several tasks."""
+    spark, first = df.sparkSession, boxes.sliced()[0]
+    shared = spark.sparkContext.broadcast(tuple(vars(boxes).values()))
+
+    @F.pandas_udf("array<int>")
+    def binned(batch: pd.Series) -> pd.Series:
+        return pd.Series(list(Boxes(*shared.value).bins_of(np.vstack(batch.to_numpy())).astype(np.int32)) if len(batch) else [], dtype=object)
+
+    rows = materialize(df.select(F.col(key), binned(vector_to_array(features)).alias("bins"))).withColumns({
+        "slice": F.col("bins")[first], "i": F.monotonically_increasing_id()})
+    counts = {r["slice"]: r["count"] for r in rows.groupBy("slice").count().collect()}  # a row per bin of a feature
+    units, start, pieces = 0, [], []
+    for b in range(boxes.sizes[first]):
+        start.append(units)
+        pieces.append(-(-counts.get(b, 0) // PIECE_ROWS))
+        units += pieces[-1]
+    tasks = max(1, min(units, max(2 * spark.sparkContext.defaultParallelism, -(-sum(counts.values()) // PIECE_ROWS))))
+    at = lambda values: F.array(*map(F.lit, values))[F.col("slice")]
+    unit = at(start) + F.pmod(F.col("i"), at(pieces))
+    dealt = rows.repartitionById(tasks, F.floor(unit * tasks / F.lit(max(units, 1))).cast("int")).sortWithinPartitions("slice")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, tables = Boxes(*shared.value), {}
+        for batch in batches:
+            bins = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.int64)
+            edges = np.flatnonzero(np.diff(bins[:, first])) + 1
+            parts = [table_attributions(own, part, tables) for part in np.split(bins, edges) if len(part)]
+            phi = np.concatenate([p.ravel() for p in parts]) if parts else np.empty(0)
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(own.cuts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(phi))], [key, "phi"])
+
+    schema = rows.select(key, F.array(F.lit(0.0)).alias("phi")).schema
+    return dealt.select(key, "bins").mapInArrow(answer, schema)
+
+
 def forest_attribution(model, df: DataFrame, key: str, names: Sequence[str], features: str = "features") -> DataFrame:
     """(key, phi): per-row attribution of the positive class, averaged over the trees. Attributions
-    plus the base value add up to the forest's probability."""
+    plus the base value add up to the forest's probability. Features of few bins are answered from tables of all coalitions;
+    where these would not fit, every row walks every tree."""
     trees = [tree_of(nodes) for nodes in forest_nodes(model, df.sparkSession)]
+    boxes = boxes_of(trees, len(names))
+    if boxes.table_bytes() <= TABLE_BYTES:
+        found = _from_tables(boxes, df, key, features)
+        return found.select(key, F.transform("phi", lambda p: p / len(trees)).alias("phi"))
     phi = attributions(df.sparkSession, vector_to_array(features), len(names), trees)
     return df.select(key, F.transform(phi, lambda p: p / len(trees)).alias("phi"))
 

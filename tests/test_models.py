@@ -188,6 +188,27 @@ def test_forest_attribution_equals_all_coalitions(spark, loans, prepared):
     assert max(summary, key=lambda r: r["mean_abs"])["feature"] == "debt_z"
 
 
+def test_attributions_of_many_rows_walk_no_tree(spark, loans, prepared, monkeypatch):
+    """Keys that repeat or are missing stay as they are, and rows of one bin may meet in several tasks."""
+    ready = prepared.transform(loans)
+    names = E.feature_names(ready)
+    forest = E.random_forest_classifier(trees=3, depth=4).fit(ready)
+    odd = ready.select(F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("k"), "features").limit(60).cache()
+    answer = lambda: sorted((-1 if r["k"] is None else r["k"], *np.round(r["phi"], 9) + 0.0) for r in explain.forest_attribution(forest, odd, "k", names).collect())
+    monkeypatch.setattr(explain, "TABLE_BYTES", 0)
+    walked = answer()
+
+    def refuse(*_):
+        raise AssertionError("walked")
+
+    monkeypatch.setattr(explain, "tree_attributions", refuse)
+    monkeypatch.setattr(explain, "TABLE_BYTES", 256_000_000)
+    monkeypatch.setattr(explain, "PIECE_ROWS", 2)
+    tables = answer()
+    assert len(tables) == 60 and np.array(tables) == pytest.approx(np.array(walked), abs=1e-8)
+    assert explain.forest_attribution(forest, odd.where("k > 99"), "k", names).collect() == []
+
+
 # ---------------------------------------------------------------- text models
 
 def test_intents_and_embeddings(spark):
